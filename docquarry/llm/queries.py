@@ -8,13 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.best_fit import pack_best_fit, token_pieces
+from docquarry.llm.line_crf import fit_quality, quality_result
 from docquarry.llm.token_prefix import prefix_token_counts
+from docquarry.llm.toxicity import fit_toxicity, toxicity_result
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity_result(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_result(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_token_counts(_table(spark, sf_dir, "documents"), budget=2048, store=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
@@ -26,6 +38,8 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity_cnn": op2_toxicity_cnn,
+        "op6_quality_crf": op6_quality_crf,
         "op7_token_prefix": op7_token_prefix,
         "op9_best_fit": op9_best_fit,
     }
