@@ -11,6 +11,7 @@ from docquarry.llm.best_fit import pack_best_fit, token_pieces
 from docquarry.llm.line_crf import fit_quality, quality_result
 from docquarry.llm.token_prefix import prefix_token_counts
 from docquarry.llm.toxicity import fit_toxicity, toxicity_result
+from docquarry.llm.warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,21 @@ def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_result(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages
+), g AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d
+"""
+
+
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_result(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
@@ -39,6 +55,7 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity_cnn": op2_toxicity_cnn,
+        "op5_warc_index": op5_warc_index,
         "op6_quality_crf": op6_quality_crf,
         "op7_token_prefix": op7_token_prefix,
         "op9_best_fit": op9_best_fit,
@@ -46,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_index": OP5_SQL}
