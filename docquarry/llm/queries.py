@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.best_fit import pack_best_fit, token_pieces
+from docquarry.llm.dimension_scan import search_lists
 from docquarry.llm.line_crf import fit_quality, quality_result
 from docquarry.llm.token_prefix import prefix_token_counts
 from docquarry.llm.toxicity import fit_toxicity, toxicity_result
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_lists(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity_result(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
@@ -54,6 +59,7 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_dimension_scan": op1_dimension_scan,
         "op2_toxicity_cnn": op2_toxicity_cnn,
         "op5_warc_index": op5_warc_index,
         "op6_quality_crf": op6_quality_crf,
