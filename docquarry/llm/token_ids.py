@@ -14,9 +14,10 @@ from itertools import chain
 import numpy as np
 
 #: Words kept by one worker; about 200 bytes each. A full table starts anew.
-WORDS_KEPT = 700_000
-#: Words encoded by one call, held apart by a special token.
-CALL_WORDS = 400
+WORDS_KEPT = 1_100_000
+#: Words encoded by one call, held apart by MARK, which is one token where it stands alone.
+CALL_WORDS = 1000
+MARK = "\x01"
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -29,8 +30,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.bar = "<|endoftext|>"
-        self.bar_id = self.tokenizer.token_to_id(self.bar)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark_id = mark[0] if len(mark) == 1 else None
         self.table: dict[str, bytes] = {}
 
     def _library(self, words: list[str]) -> list[bytes]:
@@ -38,36 +39,39 @@ class WordEncoder:
         out: list[bytes] = []
         for at in range(0, len(words), CALL_WORDS):
             some = words[at : at + CALL_WORDS]
-            if self.bar_id is None or any("<|" in w for w in some):
+            joined = f" {MARK} ".join(some)
+            if self.mark_id is None or joined.count(MARK) >= len(some):
                 out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
                 continue
-            ids = np.array(self.tokenizer.encode(self.bar.join(some), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(ids == self.bar_id)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark_id)
             starts, ends = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(ids)]))
             out += [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         return out
 
     def _learn(self, words: set[str]) -> None:
-        """Put unknown words into the table. In Latin-1, lower case and a comma
-        or stop after a word of letters are split off first: the tokenizer
-        does the same, and far fewer words are left to encode."""
-        table, plain = self.table, {}
+        """Put unknown words into the table. A comma or stop after a word of
+        letters is split off first, as the tokenizer does: fewer words are
+        left to encode."""
+        table, parts = self.table, []
         for w in words:
-            base, tail = w, ""
-            try:
-                w.encode("latin-1")
-                base = w.lower()
-                if base[-1:] in (",", ".") and base[:-1].isalpha():
-                    base, tail = base[:-1], base[-1]
-            except UnicodeEncodeError:
-                pass
-            plain[w] = (base, tail)
-        ask = sorted({b for b, _ in plain.values() if b not in table} | {t for _, t in plain.values() if t and t not in table})
+            if w[-1:] in (",", ".") and w[:-1].isalpha() and w[:-1].lower().isalpha():
+                parts.append((w, w[:-1], w[-1]))
+        asked = words.difference(w for w, _, _ in parts)
+        asked.update(x for _, base, tail in parts for x in (base, tail))
+        ask = [w for w in asked if w not in table]
         table.update(zip(ask, self._library(ask), strict=True))
-        for w, (base, tail) in plain.items():
-            table[w] = table[base] + table[tail] if tail else table[base]
+        for w, base, tail in parts:
+            table[w] = table[base] + table[tail]
 
     def words(self, text: str) -> list[str]:
+        """Words between spaces and newlines. Latin-1 texts are put into lower case
+        as the tokenizer does, letter by letter, so lengths stay."""
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
         return text.replace("\n", " ").split(" ")
 
     def ids_by_word(self, texts: list[str]) -> list[list[bytes]]:
