@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm import decontaminate
 from docquarry.llm.best_fit import pack_best_fit, token_pieces
+from docquarry.llm.decontaminate import contained_items
 from docquarry.llm.dimension_scan import search_lists
 from docquarry.llm.line_crf import fit_quality, quality_result
 from docquarry.llm.token_prefix import prefix_token_counts
@@ -28,6 +30,10 @@ def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_result(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), share=0.8)
+
+
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_dimension_scan": op1_dimension_scan,
         "op2_toxicity_cnn": op2_toxicity_cnn,
+        "op3_containment": op3_containment,
         "op5_warc_index": op5_warc_index,
         "op6_quality_crf": op6_quality_crf,
         "op7_token_prefix": op7_token_prefix,
@@ -69,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_index": OP5_SQL}
+    return {"op3_containment": decontaminate.ORACLE, "op5_warc_index": OP5_SQL}
