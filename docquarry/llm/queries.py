@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontaminate
+from docquarry.llm import chosen_path, decontaminate
 from docquarry.llm.best_fit import pack_best_fit, token_pieces
 from docquarry.llm.decontaminate import contained_items
 from docquarry.llm.dimension_scan import search_lists
@@ -59,6 +59,10 @@ def op7_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similar_classes(_table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(token_pieces(_table(spark, sf_dir, "documents"), capacity=2048), capacity=2048)
 
@@ -71,9 +75,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc_index": op5_warc_index,
         "op6_quality_crf": op6_quality_crf,
         "op7_token_prefix": op7_token_prefix,
+        "op8_chosen_path": op8_chosen_path,
         "op9_best_fit": op9_best_fit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_containment": decontaminate.ORACLE, "op5_warc_index": OP5_SQL}
+    return {"op3_containment": decontaminate.ORACLE, "op5_warc_index": OP5_SQL, "op8_chosen_path": chosen_path.ORACLE}
