@@ -12,6 +12,7 @@ from docquarry.llm.best_fit import pack_best_fit, token_pieces
 from docquarry.llm.decontaminate import contained_items
 from docquarry.llm.dimension_scan import search_lists
 from docquarry.llm.line_crf import fit_quality, quality_result
+from docquarry.llm.line_edit import dedup_lines
 from docquarry.llm.token_prefix import prefix_token_counts
 from docquarry.llm.toxicity import fit_toxicity, toxicity_result
 from docquarry.llm.warc import archive_round_trip
@@ -67,6 +68,11 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(token_pieces(_table(spark, sf_dir, "documents"), capacity=2048), capacity=2048)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(_table(spark, sf_dir, "documents"), tau=2, min_bytes=20)
+    return kept.select("doc_id", "n_lines", "n_repeated", "n_similar", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_dimension_scan": op1_dimension_scan,
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_prefix": op7_token_prefix,
         "op8_chosen_path": op8_chosen_path,
         "op9_best_fit": op9_best_fit,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
