@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import chosen_path, decontaminate
 from docquarry.llm.best_fit import pack_best_fit, token_pieces
+from docquarry.llm.bucket_refine import remove_repeats
 from docquarry.llm.decontaminate import contained_items
 from docquarry.llm.dimension_scan import search_lists
 from docquarry.llm.line_crf import fit_quality, quality_result
@@ -35,6 +36,10 @@ def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), share=0.8)
 
 
+def op4_bucket_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_dimension_scan": op1_dimension_scan,
         "op2_toxicity_cnn": op2_toxicity_cnn,
         "op3_containment": op3_containment,
+        "op4_bucket_refine": op4_bucket_refine,
         "op5_warc_index": op5_warc_index,
         "op6_quality_crf": op6_quality_crf,
         "op7_token_prefix": op7_token_prefix,

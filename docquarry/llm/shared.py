@@ -52,11 +52,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Cuts the lineage: what reads the result survives the loss of executors
-    without recomputing what came before.
+    without recomputing what came before. The shuffle files of the finished step
+    are then garbage; a collection lets Spark's cleaner delete them at once.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
