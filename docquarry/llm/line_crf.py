@@ -175,7 +175,7 @@ def quality_scores(model: LineCrf, texts: list[str], bytes_at_once: int = 400_00
             good, size, counts = line_marginals(model, some)
             at = np.cumsum(counts) - counts
             weight = size + 1e-6  # a text of empty lines takes their plain mean
-            out.append(np.add.reduceat(good * weight, at) / np.add.reduceat(weight, at))
+            out.append(np.clip(np.add.reduceat(good * weight, at) / np.add.reduceat(weight, at), 0, 1))
             some, total = [], 0
     return np.concatenate(out) if out else np.zeros(0)
 
