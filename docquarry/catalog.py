@@ -1,15 +1,541 @@
-"""All registered queries outside the corpus subpackage."""
+"""All registered queries outside the corpus subpackage, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from docquarry.functions import questions as q
+from docquarry.functions import text as t
+from docquarry.functions.vectors import cosine
+from docquarry.operators import cache, chunking, context, embedding, ranking, records, retrieval
+from docquarry.streaming import jobs
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as this engine's documents: a project, an owner and a report date each."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "text", "lang", F.col("source").alias("project"), (F.col("doc_id") % 8).alias("user_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("report_date"), "n_chars")
+
+
+DOCS = "docs AS (SELECT doc_id, text, lang, source AS project, doc_id % 8 AS user_id, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS report_date, n_chars FROM documents)"
+COS = "(list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_inner_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_inner_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))))"
+TERMS = "list_filter(string_split(regexp_replace(lower({t}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_FIRST = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.concat(F.lit("m"), "label").alias("model_name"))
+
+
+def probe(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()
+    return list(row["embedding"]) if row else []
+
+
+# vector search
+
+
+@query(f"SELECT vec_id, model_name, round(s, 6) AS score FROM (SELECT vec_id, concat('m', label) AS model_name, {COS.format(a='embedding', b=_FIRST)} AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10")
+def vector_topk(spark, sf_dir):
+    top = retrieval.vector_topk(vectors(spark, sf_dir), probe(spark, sf_dir), 10)
+    return top.select("vec_id", "model_name", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {DOCS} SELECT vec_id, project, round(s, 6) AS score FROM (SELECT vec_id, project, {COS.format(a='embedding', b=_FIRST)} AS s FROM embeddings JOIN docs ON vec_id = doc_id WHERE user_id IN (1, 2, 3) AND report_date >= DATE '2024-02-01' AND report_date <= DATE '2024-10-31') ORDER BY s DESC, vec_id LIMIT 10")
+def vector_topk_filtered(spark, sf_dir):
+    import datetime
+
+    kept = documents(spark, sf_dir).where(retrieval.filters({"user_ids": [1, 2, 3], "report_date_from": datetime.date(2024, 2, 1), "report_date_to": datetime.date(2024, 10, 31)}))
+    joined = vectors(spark, sf_dir).join(kept.select("doc_id", "project"), F.col("vec_id") == F.col("doc_id"))
+    return retrieval.vector_topk(joined, probe(spark, sf_dir), 10).select("vec_id", "project", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, {COS.format(a='embedding', b=_FIRST)} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 10) WHERE s >= 0.35")
+def vector_topk_threshold(spark, sf_dir):
+    return retrieval.vector_topk(vectors(spark, sf_dir), probe(spark, sf_dir), 10, threshold=0.35).select("vec_id", F.round("score", 6).alias("score"))
+
+
+_BATCH = f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, e.vec_id, {COS.format(a='e.embedding', b='q.embedding')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(a='e.embedding', b='q.embedding')} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE len(e.embedding) = len(q.embedding)) WHERE rank <= 5"
+
+
+def _batch(spark, sf_dir, k=5):
+    held = vectors(spark, sf_dir)
+    asked = held.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.vector_topk_batch(held, asked, k)
+
+
+@query(f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM ({_BATCH})")
+def vector_topk_batch(spark, sf_dir):
+    return _batch(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT vec_id, 0.0::DOUBLE AS score FROM embeddings")
+def zero_norm_cosine(spark, sf_dir):
+    held = vectors(spark, sf_dir)
+    return held.select("vec_id", cosine(F.col("embedding"), F.transform("embedding", lambda x: x * 0)).alias("score"))
+
+
+# statistics and relational reads
+
+
+@query("SELECT count(*) AS n FROM embeddings")
+def store_stats_total(spark, sf_dir):
+    return records.store_stats(vectors(spark, sf_dir))
+
+
+@query("SELECT CAST(len(embedding) AS INTEGER) AS dimensions, count(*) AS n FROM embeddings GROUP BY 1")
+def store_stats_by_dim(spark, sf_dir):
+    return records.store_stats(vectors(spark, sf_dir).withColumn("dimensions", F.size("embedding")), "dimensions")
+
+
+@query("SELECT concat('m', label) AS model_name, count(*) AS n FROM embeddings GROUP BY 1")
+def store_stats_by_model(spark, sf_dir):
+    return records.store_stats(vectors(spark, sf_dir), "model_name")
+
+
+def _chunks(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.col("doc_id").alias("chunk_id"))
+
+
+def _store(spark, sf_dir):
+    return vectors(spark, sf_dir).withColumnRenamed("vec_id", "chunk_id")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = d.doc_id)")
+def docs_missing_vectors(spark, sf_dir):
+    return records.documents_missing_vectors(documents(spark, sf_dir), _chunks(spark, sf_dir), _store(spark, sf_dir)).select("doc_id")
+
+
+@query("SELECT DISTINCT doc_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE label IS NULL OR label <> 3")
+def docs_old_model(spark, sf_dir):
+    return records.documents_of_other_model(documents(spark, sf_dir), _chunks(spark, sf_dir), _store(spark, sf_dir), "m3").select("doc_id")
+
+
+@query("SELECT doc_id, source AS project FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+def docs_with_vectors(spark, sf_dir):
+    return documents(spark, sf_dir).join(vectors(spark, sf_dir), F.col("doc_id") == F.col("vec_id"), "left_semi").select("doc_id", "project")
+
+
+@query(f"WITH {DOCS} SELECT doc_id, project, report_date FROM docs ORDER BY report_date DESC, doc_id LIMIT 20 OFFSET 40")
+def doc_list_page(spark, sf_dir):
+    return records.page(documents(spark, sf_dir), 3, 20, "report_date")[0].select("doc_id", "project", "report_date")
+
+
+@query("SELECT doc_id, source AS project FROM documents WHERE source ILIKE '%RC1%' OR lang ILIKE '%RC1%'")
+def doc_search_ilike(spark, sf_dir):
+    return records.search_names(documents(spark, sf_dir), "rc1", "project", "lang").select("doc_id", "project")
+
+
+@query(f"WITH {DOCS} SELECT doc_id, report_date FROM docs WHERE (report_date BETWEEN DATE '2024-03-10' AND DATE '2024-03-20') OR (year(report_date) = 2024 AND month(report_date) = 5) OR report_date = DATE '2024-07-04'")
+def report_date_filter(spark, sf_dir):
+    f = records.report_date_filter
+    return documents(spark, sf_dir).where(f("report_date", "2024-03-10:2024-03-20") | f("report_date", "2024-05") | f("report_date", "2024-07-04")).select("doc_id", "report_date")
+
+
+@query("SELECT lang AS status, count(*) AS n FROM documents GROUP BY lang")
+def status_histogram(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy(F.col("lang").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.doc_id, coalesce(c.n, 0) AS chunks_count FROM documents d LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c ON d.doc_id = c.conv_id")
+def child_counts(spark, sf_dir):
+    kids = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "doc_id")
+    return records.child_counts(documents(spark, sf_dir), kids).select("doc_id", "chunks_count")
+
+
+@query("SELECT DISTINCT source AS project FROM documents WHERE source <> ''")
+def distinct_projects(spark, sf_dir):
+    return documents(spark, sf_dir).where("project <> ''").select("project").distinct()
+
+
+@query("SELECT doc_id % 500 AS scope, min(lang) AS lang FROM documents GROUP BY 1 HAVING count(DISTINCT lang) = 1")
+def single_model_projects(spark, sf_dir):
+    return records.single_model(documents(spark, sf_dir).withColumn("scope", F.col("doc_id") % 500), "scope", "lang")
+
+
+@query("SELECT d.doc_id, count(*) AS expected, CAST(sum(CASE WHEN e.vec_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY d.doc_id")
+def embedding_gaps(spark, sf_dir):
+    return records.embedding_gaps(_chunks(spark, sf_dir), _store(spark, sf_dir))
+
+
+@query(f"""WITH {DOCS}, q AS (SELECT o_orderkey AS query_id, CAST(o_orderdate AS DATE) AS target FROM orders WHERE o_orderkey % 10 = 0),
+dd AS (SELECT DISTINCT report_date AS d FROM docs)
+SELECT query_id, arg_min(d, struct_pack(g := abs(date_diff('day', target, d)), d := d)) AS nearest FROM q, dd GROUP BY query_id""")
+def nearest_report_date(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    return context.nearest_date(documents(spark, sf_dir), orders.select(F.col("o_orderkey").alias("query_id"), F.col("o_orderdate").cast("date").alias("target")))
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS file_hash FROM documents GROUP BY text")
+def content_hash_dedup(spark, sf_dir):
+    from docquarry.sources.files import new_content
+
+    none = spark.createDataFrame([], "file_hash string")
+    return new_content(documents(spark, sf_dir), none, "text", "doc_id").select("doc_id", "file_hash")
+
+
+@query("""WITH old AS (SELECT doc_id AS key, lang AS value FROM documents WHERE doc_id % 3 = 0), new AS (SELECT doc_id AS key, source AS value FROM documents WHERE doc_id % 2 = 0)
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE key NOT IN (SELECT key FROM new)""")
+def upsert_by_key(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return records.upsert(docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("key"), F.col("lang").alias("value")), docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("key"), F.col("project").alias("value")), ["key"])
+
+
+@query("SELECT doc_id, user_id FROM (SELECT doc_id, doc_id % 8 AS user_id FROM documents) WHERE user_id <> 3")
+def account_purge(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    none = docs.select("user_id").limit(0)
+    return records.purge_user(3, docs, _chunks(spark, sf_dir), _store(spark, sf_dir), none, none)["documents"].select("doc_id", "user_id")
+
+
+@query("SELECT vec_id, concat('m', label) AS model_name FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def cascade_delete(spark, sf_dir):
+    gone = documents(spark, sf_dir).where("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
+    return retrieval.delete_vectors(vectors(spark, sf_dir), gone, "vec_id").select("vec_id", "model_name")
+
+
+# chunks and text
+
+_CUT = """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''),
+w AS (
+  SELECT doc_id, 0 AS s, -1 AS i, 0 AS e, n FROM d
+  UNION ALL
+  SELECT x.doc_id, x.s, x.i, CASE WHEN x.s + 1000 >= x.n THEN x.n ELSE x.s + coalesce(
+     CASE WHEN x.p1 > 200 THEN x.p1 + 2 END, CASE WHEN x.p2 > 200 THEN x.p2 + 1 END, CASE WHEN x.p3 > 200 THEN x.p3 + 1 END, CASE WHEN x.p4 > 200 THEN x.p4 + 1 END, CASE WHEN x.p5 > 200 THEN x.p5 + 1 END, 1000) END, x.n
+  FROM (SELECT w.doc_id, w.n, w.i + 1 AS i, s1 AS s, seg,
+     CASE WHEN instr(rev, chr(10) || chr(10)) > 0 THEN length(seg) - instr(rev, chr(10) || chr(10)) - 1 ELSE -1 END AS p1,
+     CASE WHEN instr(rev, chr(10)) > 0 THEN length(seg) - instr(rev, chr(10)) ELSE -1 END AS p2,
+     CASE WHEN instr(rev, '.') > 0 THEN length(seg) - instr(rev, '.') ELSE -1 END AS p3,
+     CASE WHEN instr(rev, ',') > 0 THEN length(seg) - instr(rev, ',') ELSE -1 END AS p4,
+     CASE WHEN instr(rev, ' ') > 0 THEN length(seg) - instr(rev, ' ') ELSE -1 END AS p5
+     FROM (SELECT w.*, s1, substr(text, s1 + 1, 1000) AS seg, reverse(substr(text, s1 + 1, 1000)) AS rev FROM
+        (SELECT w.*, CASE WHEN w.i = -1 THEN 0 ELSE greatest(w.e - 200, w.s + 1) END AS s1 FROM w WHERE w.i = -1 OR w.e < w.n) w JOIN d ON d.doc_id = w.doc_id) w) x)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end FROM w WHERE i >= 0"""
+
+
+@query(f"SELECT c.*, md5(substr(text, char_start + 1, char_end - char_start)) AS content_hash FROM ({_CUT}) c JOIN documents USING (doc_id)")
+def chunk_documents(spark, sf_dir):
+    cut = chunking.chunk_texts(documents(spark, sf_dir))
+    return cut.select("doc_id", "chunk_index", "char_start", "char_end", F.md5("content").alias("content_hash"))
+
+
+@query(f"SELECT doc_id, count(*) AS chunks, CAST(sum(char_end - char_start) AS BIGINT) AS chars FROM ({_CUT}) GROUP BY doc_id")
+def chunk_stats(spark, sf_dir):
+    cut = chunking.chunk_texts(documents(spark, sf_dir))
+    return cut.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.col("char_end") - F.col("char_start")).cast("long").alias("chars"))
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", t.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, part.h AS heading, part.b AS body FROM (SELECT doc_id, unnest([{'h': 'Head', 'b': substr(text, 1, 40)}, {'h': 'Tail', 'b': substr(text, 41, 40)}]) AS part FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), '#', '') AS text FROM documents)) WHERE part.b <> ''")
+def chunk_headings(spark, sf_dir):
+    flat = F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit("#"), F.lit(""))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("# Head\n"), F.substring(flat, 1, 40), F.lit("\n## Tail\n"), F.substring(flat, 41, 40), F.lit("\n")).alias("text"))
+    return chunking.split_sections(docs).select("doc_id", "heading", "body")
+
+
+@query("SELECT doc_id, concat('Title', chr(10), 'see here and ', lang, ' now') AS plain FROM documents")
+def markdown_strip(spark, sf_dir):
+    marked = F.concat(F.lit("## Title\nsee [here](http://a.b) ![x](y.png)and **"), F.col("lang"), F.lit("** `now`\n"))
+    return documents(spark, sf_dir).select("doc_id", t.strip_markdown(marked).alias("plain"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_has_all({TERMS.format(t='text')}, ['the', 'and', 'with'])")
+def fts_match_and(spark, sf_dir):
+    return retrieval.match_terms(documents(spark, sf_dir), every=["the", "and", "with"]).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {TERMS.format(t='text')} AS w FROM documents) WHERE list_contains(w, 'the') AND list_has_any(w, ['idiot', 'license', 'licensed']) AND NOT list_contains(w, 'gnu')")
+def fts_match_bool(spark, sf_dir):
+    return retrieval.match_terms(documents(spark, sf_dir), every=["the"], some=["idiot", "license", "licensed"], none=["gnu"]).select("doc_id")
+
+
+_FTS = f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+SELECT query_id, doc_id, sum(w) / any_value(n_terms) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(w) / any_value(n_terms), 9) DESC, doc_id) AS rank FROM
+ (SELECT doc_id, term, 0.1 * list_sum(list_transform(range(1, count(*) + 1), lambda j: 1.0 / (j * j))) / 1.64493406685 AS w FROM (SELECT doc_id, unnest({TERMS.format(t='text')}) AS term FROM documents) GROUP BY doc_id, term)
+ JOIN (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format(t='text')}[1:3]) AS term FROM benchmark)) USING (term)
+ GROUP BY query_id, doc_id HAVING count(*) = any_value(n_terms)) WHERE rank <= 10"""
+
+
+def _fts(spark, sf_dir, k=10):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(t.terms(F.col("text")), 1, 3)).alias("term"))
+    hits = retrieval.text_topk(documents(spark, sf_dir), asked, 10**6)
+    exact = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    return hits.withColumn("rank", F.row_number().over(exact)).where(F.col("rank") <= k)
+
+
+@query(f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({_FTS})")
+def fts_rank_topk(spark, sf_dir):
+    return _fts(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT doc_id, term, CAST(count(*) AS INTEGER) AS n, CAST(min(pos) AS INTEGER) AS first FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {TERMS.format(t='text')} AS w FROM documents WHERE lang = 'fr')) GROUP BY ALL")
+def fts_postings(spark, sf_dir):
+    held = retrieval.postings(documents(spark, sf_dir).where("lang = 'fr'"))
+    return held.select("doc_id", "term", F.size("positions").alias("n"), F.element_at("positions", 1).cast("int").alias("first"))
+
+
+# fusion and ranking
+
+_A = "SELECT query_id, rank, vec_id AS chunk_id FROM (" + _BATCH.replace("rank <= 5", "rank <= 15") + ")"
+_B = "SELECT a AS query_id, CAST(row_number() OVER (PARTITION BY a ORDER BY b) AS INTEGER) AS rank, b AS chunk_id FROM (SELECT q.vec_id AS a, e.vec_id AS b FROM embeddings q JOIN embeddings e ON e.label = q.label WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id) <= 15)"
+_FUSED = f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, s / max(s) OVER (PARTITION BY query_id) AS score FROM (
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, r, leg, chunk_id) AS rank FROM (
+SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS s, min(rank) AS r, min(leg) AS leg FROM (SELECT *, 0 AS leg FROM ({_A}) UNION ALL SELECT *, 1 AS leg FROM ({_B})) GROUP BY query_id, chunk_id)) WHERE rank <= 15"""
+
+
+def _legs(spark, sf_dir):
+    held = vectors(spark, sf_dir)
+    first = _batch(spark, sf_dir, 15).select("query_id", "rank", F.col("vec_id").alias("chunk_id"))
+    asked = held.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "model_name")
+    by = Window.partitionBy("query_id").orderBy("chunk_id")
+    second = asked.join(held.select(F.col("vec_id").alias("chunk_id"), "model_name"), "model_name").withColumn("rank", F.row_number().over(by)).where("rank <= 15").select("query_id", "rank", "chunk_id")
+    return first, second
+
+
+@query(f"SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ({_FUSED})")
+def rrf_fusion(spark, sf_dir):
+    return retrieval.fuse(*_legs(spark, sf_dir), 15).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {DOCS} SELECT query_id, rank, chunk_id, project, round(score, 6) AS score FROM ({_FUSED}) JOIN docs ON chunk_id = doc_id""")
+def hybrid_search(spark, sf_dir):
+    fused = retrieval.fuse(*_legs(spark, sf_dir), 15)
+    return fused.join(documents(spark, sf_dir).select("doc_id", "project"), F.col("chunk_id") == F.col("doc_id")).select("query_id", "rank", "chunk_id", "project", F.round("score", 6).alias("score"))
+
+
+@query(f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM (
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, variant, r, chunk_id) AS rank FROM (
+SELECT query_id // 100 AS query_id, query_id AS variant, rank AS r, vec_id AS chunk_id, score FROM ({_BATCH}) QUALIFY row_number() OVER (PARTITION BY query_id // 100, vec_id ORDER BY query_id, rank) = 1))""")
+def multi_query_merge(spark, sf_dir):
+    hits = _batch(spark, sf_dir).select(F.floor(F.col("query_id") / 100).alias("query_id"), F.col("query_id").alias("variant"), "rank", F.col("vec_id").alias("chunk_id"), "score")
+    return retrieval.merge_variants(hits).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH h AS (SELECT * FROM ({_BATCH})), g AS (SELECT *, lead(score) OVER w AS nxt, score - lead(score) OVER w AS gap, count(*) OVER (PARTITION BY query_id) AS n, max(score) OVER (PARTITION BY query_id) AS top FROM h WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+m AS (SELECT query_id, max(gap) AS mg, arg_max(nxt, struct_pack(g := gap, r := -rank)) AS s FROM g WHERE gap IS NOT NULL GROUP BY query_id),
+p AS (SELECT g.*, score >= greatest(0.3, CASE WHEN mg > 0.15 THEN s ELSE 0.85 * top END) AS pass FROM g LEFT JOIN m USING (query_id)),
+a AS (SELECT *, max(CAST(pass AS INTEGER)) OVER (PARTITION BY query_id) AS found FROM p)
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM a WHERE n = 1 OR (pass AND rank <= 10) OR (found = 0 AND rank = 1 AND score >= 0.25)""")
+def elbow_threshold(spark, sf_dir):
+    return ranking.elbow_cut(_batch(spark, sf_dir), 0.3).withColumn("score", F.round("score", 6))
+
+
+def _with_text(spark, sf_dir, k=5):
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), "doc_id", "report_date", F.col("project").alias("document_title"))
+    return _batch(spark, sf_dir, k).join(docs, "vec_id")
+
+
+@query()
+def mmr_select(spark, sf_dir):
+    return ranking.diversify(_with_text(spark, sf_dir, 10), 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def rerank_overlap(spark, sf_dir):
+    asked = documents(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 80).alias("question"))
+    hits = _with_text(spark, sf_dir, 8).join(asked, "query_id")
+    return ranking.rerank(hits, ranking.OverlapReranker()).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"WITH w AS (SELECT doc_id, {_WORDS} AS s FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")
+def jaccard_pairs(spark, sf_dir):
+    sets = documents(spark, sf_dir).select("doc_id", t.word_set(F.col("text")).alias("s"))
+    other = sets.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("o"))
+    return sets.join(other, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.round(t.jaccard(F.col("s"), F.col("o")), 6).alias("jaccard"))
+
+
+@query(f"SELECT query_id, x.doc_id, chunk_id, round(score, 4) AS score, substr(text, 1, 200) AS excerpt FROM (SELECT query_id, vec_id // 4 AS doc_id, vec_id AS chunk_id, score FROM ({_BATCH}) QUALIFY row_number() OVER (PARTITION BY query_id, vec_id // 4 ORDER BY score DESC, rank) = 1) x JOIN documents d ON d.doc_id = x.chunk_id")
+def best_chunk_per_document(spark, sf_dir):
+    hits = _with_text(spark, sf_dir).withColumn("chunk_id", F.col("vec_id")).withColumn("doc_id", F.floor(F.col("vec_id") / 4))
+    return ranking.citations(hits)
+
+
+@query(f"SELECT query_id, count(*) AS n, round(avg(score), 6) AS mean_score, CASE WHEN count(*) >= 3 AND avg(score) >= 0.6 THEN 'high' ELSE 'low' END AS confidence FROM ({_BATCH}) GROUP BY query_id")
+def confidence(spark, sf_dir):
+    return ranking.confidence(_batch(spark, sf_dir)).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query(f"WITH {DOCS} SELECT query_id, bool_or(report_date < DATE '2025-07-01' - INTERVAL 1 YEAR) AS has_old FROM ({_BATCH}) JOIN docs ON vec_id = doc_id GROUP BY query_id")
+def old_document_flag(spark, sf_dir):
+    return ranking.has_old_documents(_with_text(spark, sf_dir), F.lit("2025-07-01").cast("date"), "report_date")
+
+
+@query(f"SELECT query_id, vec_id, CAST(CASE WHEN rank <= 2 THEN rank WHEN rank = 5 THEN 3 ELSE rank + 1 END AS INTEGER) AS place FROM ({_BATCH})")
+def lost_in_the_middle(spark, sf_dir):
+    return ranking.edges_first(_batch(spark, sf_dir)).select("query_id", "vec_id", "place")
+
+
+@query("""WITH h AS (SELECT user_id AS query_id, d.doc_id AS rank, ceil(length(concat('[Source: ', project, ']', chr(10), text)) / 4.0) AS tokens FROM (SELECT doc_id, text, source AS project, doc_id % 8 AS user_id FROM documents) d),
+s AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS run FROM h)
+SELECT query_id, count(*) AS n_chunks, CAST(sum(tokens) AS BIGINT) AS n_tokens FROM s WHERE run <= 8000 GROUP BY query_id""")
+def context_pack(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    hits = docs.select(F.col("user_id").alias("query_id"), F.col("doc_id").alias("rank"), F.col("project").alias("document_title"), F.col("text").alias("content"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("page_number"))
+    return context.pack_context(hits, 8000).select("query_id", "n_chunks", "n_tokens")
+
+
+# questions
+
+_CLASS = " ".join(f"WHEN {' OR '.join(f'''contains(lower(text), '{w}')''' for w in words)} THEN '{name}'" for name, words in (("comparative", q.COMPARATIVE), ("analytical", q.ANALYTICAL), ("factual", q.FACTUAL)))
+
+
+@query(f"SELECT conv_id, turn, CASE {_CLASS} ELSE 'generic' END AS type FROM conversations")
+def classify_questions(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", q.classify(F.col("text")).alias("type"))
+
+
+@query("SELECT conv_id, turn, CAST(CASE WHEN n <= 3 THEN 0 WHEN n <= 6 THEN 1 WHEN n <= 10 THEN 2 ELSE 3 END AS INTEGER) AS score FROM (SELECT conv_id, turn, len(regexp_split_to_array(trim(text), '\\s+')) AS n FROM conversations)")
+def complexity_score(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", q.complexity(F.col("text")).alias("score"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN d WHEN 1 THEN CAST(date_trunc('month', d) AS DATE) WHEN 2 THEN CAST(date_trunc('quarter', d) AS DATE) ELSE CAST(date_trunc('year', d) AS DATE) END AS date_from,
+CASE o_orderkey % 4 WHEN 0 THEN d WHEN 1 THEN last_day(d) WHEN 2 THEN last_day(CAST(date_trunc('quarter', d) + INTERVAL 2 MONTH AS DATE)) ELSE make_date(year(d), 12, 31) END AS date_to FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def date_filters(spark, sf_dir):
+    d = F.col("o_orderdate").cast("date")
+    said = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(d, "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 1, F.date_format(d, "yyyy-MM")).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("Q"), F.quarter(d).cast("string"), F.lit(" "), F.year(d).cast("string"))).otherwise(F.year(d).cast("string"))
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("reports of "), said, F.lit(" please")).alias("question"))
+    dates = q.date_range(F.col("question"), F.lit("2026-05-20").cast("date"))
+    return asked.withColumn("d", dates).select("o_orderkey", F.col("d.from").alias("date_from"), F.col("d.to").alias("date_to"))
+
+
+def _aliases(spark):
+    return spark.createDataFrame([("the", "Orion", True), ("and", "Nova", True), ("with", "API", True), ("of", "Apex", False)], "alias string, canonical string, active boolean")
+
+
+@query("""WITH a AS (SELECT * FROM (VALUES ('the', 'Orion'), ('and', 'Nova'), ('with', 'API')) t(alias, canonical)),
+w AS (SELECT DISTINCT conv_id, turn, text, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM conversations),
+f AS (SELECT conv_id, turn, string_agg(canonical, ' ' ORDER BY canonical) AS more FROM w JOIN a ON word = alias WHERE NOT contains(lower(text), lower(canonical)) GROUP BY ALL)
+SELECT conv_id, turn, md5(concat_ws(' ', text, more)) AS expanded FROM conversations LEFT JOIN f USING (conv_id, turn)""")
+def alias_expand(spark, sf_dir):
+    asked = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("question"))
+    return records.expand_aliases(asked, _aliases(spark)).select("query_id.conv_id", "query_id.turn", F.md5("expanded").alias("expanded"))
+
+
+@query("SELECT item_id AS query_id, max(source) AS project FROM benchmark JOIN (SELECT DISTINCT source FROM documents) s ON contains(lower(concat('report of ', 'src', item_id % 20, ' today')), lower(source)) AND list_contains(string_split(concat('report of ', 'src', item_id % 20, ' today'), ' '), source) GROUP BY 1")
+def project_extraction(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("report of src"), (F.col("item_id") % 20).cast("string"), F.lit(" today")).alias("question"))
+    names = documents(spark, sf_dir).select(F.col("project").alias("name")).distinct()
+    return records.longest_match(records.match_names(asked, names)).select("query_id", F.col("name").alias("project"))
+
+
+# caches, versions, sessions
+
+
+@query("SELECT DISTINCT concat('embedding:m:', md5(text)) AS key FROM documents WHERE concat('embedding:m:', md5(text)) NOT IN (SELECT concat('embedding:m:', md5(text)) FROM documents WHERE doc_id % 2 = 0)")
+def embedding_cache_misses(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    known = docs.where("doc_id % 2 = 0").select(embedding.cache_key("text", "m").alias("key"))
+    return embedding.cache_misses(docs, known, "m", "text").select("key")
+
+
+@query("SELECT user_id AS doc_id, count(*) + 1 AS version FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def document_versions(spark, sf_dir):
+    return cache.document_versions(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")))
+
+
+def _entries(spark, sf_dir):
+    docs = F.array(F.col("vec_id") % 50, F.col("vec_id") % 70)
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("entry_id"), F.col("embedding").alias("query_vector"), (F.col("vec_id") % 2).alias("user_id"), F.lit("h").alias("model_hash"), F.lit(1).alias("version"), docs.alias("doc_ids"),
+        F.map_from_entries(F.transform(F.array_distinct(docs), lambda d: F.struct(d, F.lit(2).cast("long")))).alias("doc_versions"), F.lit("2024-01-02").cast("timestamp").alias("created_at"),
+    )
+
+
+_STALE = "SELECT DISTINCT entry_id FROM (SELECT vec_id AS entry_id, unnest([vec_id % 50, vec_id % 70]) AS d FROM embeddings) LEFT JOIN (SELECT user_id, count(*) + 1 AS v FROM events WHERE event_id % 10 = 0 GROUP BY user_id) ON user_id = d WHERE coalesce(v, 1) <> 2"
+
+
+@query(_STALE)
+def cache_staleness(spark, sf_dir):
+    some = table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.col("user_id").alias("doc_id"))
+    return cache.stale_entries(_entries(spark, sf_dir), cache.document_versions(some))
+
+
+@query(f"SELECT CAST(q.vec_id AS BIGINT) AS query_id, e.vec_id AS entry_id, round({COS.format(a='q.embedding', b='e.embedding')}, 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id % 2 = e.vec_id % 2 WHERE {COS.format(a='q.embedding', b='e.embedding')} >= 0.95 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(a='q.embedding', b='e.embedding')} DESC, e.vec_id) = 1")
+def semantic_cache_lookup(spark, sf_dir):
+    entries = _entries(spark, sf_dir)
+    asked = entries.select(F.col("entry_id").alias("query_id"), F.col("query_vector").alias("query"), "user_id", "model_hash", "version")
+    none = spark.createDataFrame([], "doc_id long, version long")
+    fresh = entries.withColumn("doc_ids", F.array().cast("array<bigint>"))
+    found = cache.cache_lookup(fresh, asked, none, F.lit("2024-01-03").cast("timestamp"), newest=10**6)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def _messages(spark, sf_dir):
+    talk = table(spark, sf_dir, "conversations")
+    return talk.select(F.col("conv_id").alias("session_id"), "turn", "role", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")).alias("created_at"))
+
+
+@query("""SELECT conv_id AS session_id, md5(string_agg(concat(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END, coalesce(text, '')), chr(10) ORDER BY turn)) AS history
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n BETWEEN 2 AND 5 GROUP BY conv_id""")
+def chat_history_window(spark, sf_dir):
+    return context.history(_messages(spark, sf_dir)).select("session_id", F.md5("history").alias("history"))
+
+
+@query("SELECT conv_id AS session_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def session_rollup(spark, sf_dir):
+    rolled = cache.session_rollup(_messages(spark, sf_dir))
+    return rolled.select("session_id", "message_count", F.element_at("messages", -1)["turn"].alias("last_turn"))
+
+
+@query("SELECT conv_id AS session_id, substr(arg_min(text, turn) FILTER (role = 'assistant'), 1, 50) AS title FROM conversations GROUP BY conv_id")
+def session_title(spark, sf_dir):
+    return cache.session_rollup(_messages(spark, sf_dir)).select("session_id", "title")
+
+
+def _activity(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").cast("timestamp").alias("last_activity_at"), F.count("*").alias("message_count")).withColumns({"user_id": F.col("session_id"), "deleted_at": F.lit(None).cast("timestamp")})
+
+
+@query("SELECT user_id AS session_id FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 30 DAYS + INTERVAL 29 DAYS")
+def stale_sessions(spark, sf_dir):
+    last = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]  # one row
+    now = F.lit(last).cast("timestamp") if last else F.current_timestamp()
+    return cache.expire_sessions(_activity(spark, sf_dir), now, days=1).where("deleted_at IS NOT NULL").select("session_id")
+
+
+@query("""SELECT user_id, min(ts) AS started_at, max(ts) AS last_at, count(*) AS n FROM (
+SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 24 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def idle_gap_sessions(spark, sf_dir):
+    return jobs.idle_sessions(table(spark, sf_dir, "events"))
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def rate_limit_windows(spark, sf_dir):
+    return jobs.rate_limit(table(spark, sf_dir, "events"), most=1, width="1 hour")
