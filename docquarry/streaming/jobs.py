@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def file_stream(spark: SparkSession, path: str, glob: str = "*", max_files: int = 1000) -> DataFrame:
     """Files as they arrive, at most ``max_files`` a batch."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).load(path)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).load(path)
 
 
 def ingest(files: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:

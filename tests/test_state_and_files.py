@@ -81,9 +81,10 @@ def docx():
 
 
 def test_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
     for name, raw in {"a.txt": b"plain \xc3\xa9", "b.csv": b"caf\xe9,1", "c.md": b"# H\n**b**", "d.docx": docx(), "e.pdf": b"%PDF-1.4", "f.pdf": b"no", "g.exe": b"MZ", "h.txt": b"", "i.txt": b"plain \xc3\xa9"}.items():
-        (tmp_path / name).write_bytes(raw)
-    held = files.validate(files.read_files(spark, str(tmp_path)))
+        (tmp_path / "in" / name).write_bytes(raw)
+    held = files.validate(files.read_files(spark, str(tmp_path / "in")))
     bad = {r.name: r.problem for r in held.where("problem IS NOT NULL").collect()}
     assert bad == {"f.pdf": "not a PDF", "g.exe": "type not allowed"}  # Spark does not list files of no bytes
     good = held.where("problem IS NULL")
@@ -92,7 +93,7 @@ def test_files(spark, tmp_path):
     assert {r.name for r in files.new_content(good, spark.createDataFrame([], "file_hash string")).collect()} == {"a.txt", "b.csv", "c.md", "d.docx", "e.pdf"}
     out, log = str(tmp_path / "out"), str(tmp_path / "log")
     for _ in range(2):
-        jobs.ingest(jobs.file_stream(spark, str(tmp_path), "*.txt"), lambda b: b.select("path", F.length("content").alias("n")), out, log).awaitTermination()
+        jobs.ingest(jobs.file_stream(spark, str(tmp_path / "in"), "*.txt"), lambda b: b.select("path", F.length("content").alias("n")), out, log).awaitTermination()
     assert spark.read.parquet(out).count() == 2
 
 
