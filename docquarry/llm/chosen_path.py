@@ -28,13 +28,17 @@ from docquarry.llm.shared import staged, text_of
 from docquarry.llm.shingles import WORDS, clean_text
 
 COORDS = 128
-#: Coordinates sampled at a split: the least whole number of at least 1 / 0.8.
-SPLIT = 2
+#: Children of a node, and coordinates sampled for each: sets must share all of them, which
+#: similar ones do with probability 0.8**2 and sets with one common passage hardly ever.
+SPLIT, TAKE = 3, 2
 SMALL = 256
 #: Estimated similarity from which two sets are candidates, and from which a set
 #: leaves the bucket with its pivot. A set with J >= 0.8 to one that left (J about
-#: 0.75 or more to the pivot) has J >= 0.55 to the pivot, far above LINK.
-LINK, LEAVE = 0.4, 0.75
+#: 0.7 or more to the pivot) has J >= 0.5 to the pivot, above LINK.
+LINK, LEAVE = 0.4, 0.7
+#: Candidate texts up to this number are picked by a broadcast of their digests
+#: (some 50 bytes each); beyond, by a shuffle join.
+BROADCAST_TEXTS = 300_000
 #: Shingles of one block in verification; larger groups are verified by pairs of blocks.
 BLOCK_SHINGLES = 1_500_000
 BLOCK_TEXTS = 2048
@@ -77,23 +81,28 @@ def minhash(tokens: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
-def chosen(path: np.ndarray, level: int) -> np.ndarray:
-    """The coordinates sampled at each node (path) of the tree: [nodes, SPLIT], different ones."""
-    h = mix(path + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+def chosen(path: np.ndarray, level: int, child: int) -> np.ndarray:
+    """The coordinates sampled for a child of each node (path) of the tree: [nodes, TAKE], different ones."""
+    h = mix(path + np.uint64(level * SPLIT + child + 1) * np.uint64(0x9E3779B97F4A7C15))
     one = (h >> np.uint64(8)) % np.uint64(COORDS)
     two = (one + np.uint64(1) + (h >> np.uint64(36)) % np.uint64(COORDS - 1)) % np.uint64(COORDS)
     return np.stack([one, two], 1).astype(np.int64)
 
 
 def children(path: np.ndarray, sigs: np.ndarray, level: int) -> np.ndarray:
-    """The child buckets of each row: its path and the value of a sampled coordinate."""
-    picked = chosen(path, level)
-    values = np.take_along_axis(sigs, picked, 1).astype(np.uint64)
-    return mix(path[:, None] * np.uint64(0xD1342543DE82EF95) + values + (picked.astype(np.uint64) << np.uint64(33)))
+    """The child buckets of each row: its path and the values of the sampled coordinates."""
+    out = []
+    for child in range(SPLIT):
+        values = np.take_along_axis(sigs, chosen(path, level, child), 1).astype(np.uint64)
+        below = path * np.uint64(0xD1342543DE82EF95) + np.uint64(child)
+        for k in range(TAKE):
+            below = mix(below + values[:, k])
+        out.append(below)
+    return np.stack(out, 1)
 
 
 def runs_needed(similarity: float, miss: float) -> int:
-    return max(1, math.ceil(math.log(miss) / (SPLIT * math.log(1 - similarity))))
+    return max(1, math.ceil(math.log(miss) / (SPLIT * math.log(1 - similarity**TAKE))))
 
 
 def _sigs(column: pd.Series) -> np.ndarray:
@@ -137,7 +146,7 @@ def pivot_links(path: np.ndarray, node: np.ndarray, sigs: np.ndarray) -> tuple[n
     return np.concatenate(a) if a else node[:0], np.concatenate(b) if b else node[:0]
 
 
-def candidate_links(sketches: DataFrame, runs: int, levels: int = 16) -> DataFrame:
+def candidate_links(sketches: DataFrame, levels: int = 16) -> DataFrame:
     """``a, b``: links that tie together all texts that may be similar.
 
     ``sketches`` has node, sig and paths (the buckets of the first split).
@@ -161,8 +170,11 @@ def candidate_links(sketches: DataFrame, runs: int, levels: int = 16) -> DataFra
                 like = (sigs == _sigs(frame["pivot_sig"])).mean(1)
                 link = (like >= LINK) & (node != frame["pivot"])
                 stay = ((like < LEAVE) & (node != frame["pivot"])).to_numpy()
-                below = children(frame["path"].to_numpy()[stay].astype(np.uint64), sigs[stay], here).astype(np.int64)
-                yield pd.DataFrame({"path": below.ravel(), "node": np.repeat(node[stay], SPLIT), "pivot": None})
+                many = frame["paths"].to_numpy()[stay]
+                times = np.array([len(p) for p in many], np.int64)
+                paths = np.concatenate(many) if len(many) else np.zeros(0, np.int64)
+                below = children(paths.astype(np.uint64), np.repeat(sigs[stay], times, axis=0), here).astype(np.int64)
+                yield pd.DataFrame({"path": below.ravel(), "node": np.repeat(np.repeat(node[stay], times), SPLIT), "pivot": None})
                 yield pd.DataFrame({"path": 0, "node": node[link], "pivot": frame["pivot"][link]})
 
         return split
@@ -179,7 +191,9 @@ def candidate_links(sketches: DataFrame, runs: int, levels: int = 16) -> DataFra
         if level > levels:
             raise RuntimeError(f"buckets of over {SMALL} texts are left after {levels} splits")
         pivots = large.select("pivot").distinct().join(sig.withColumnRenamed("node", "pivot"), "pivot").withColumnRenamed("sig", "pivot_sig")
-        parted = staged(large.join(sig, "node").join(pivots, "pivot").select("path", "node", "sig", "pivot", "pivot_sig").mapInPandas(by_pivot(level), "path long, node long, pivot long"), f"split-{level}")
+        # a text often meets the same pivot in several buckets: they are compared once
+        met = large.groupBy("pivot", "node").agg(F.collect_list("path").alias("paths"))
+        parted = staged(met.join(sig, "node").join(pivots, "pivot").select("paths", "node", "sig", "pivot", "pivot_sig").mapInPandas(by_pivot(level), "path long, node long, pivot long"), f"split-{level}")
         found = found.unionByName(parted.where("pivot IS NOT NULL").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
         live = parted.where("pivot IS NULL").select("path", "node").distinct()
         level += 1
@@ -262,7 +276,7 @@ def verify(texts: DataFrame, num: int, den: int) -> DataFrame:
     return ready.mapInPandas(compare, "node long, links long, root long")
 
 
-def similar_classes(docs: DataFrame, num: int = 4, den: int = 5, miss: float = 1e-9) -> DataFrame:
+def similar_classes(docs: DataFrame, num: int = 4, den: int = 5, miss: float = 1e-10) -> DataFrame:
     """``doc_id, class_id, n_links, digest``: one row per document.
 
     Documents are linked if the Jaccard similarity of their shingle sets is at least
@@ -291,10 +305,13 @@ def similar_classes(docs: DataFrame, num: int = 4, den: int = 5, miss: float = 1
     copies = sketched.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
     distinct = sketched.where("size > 0").dropDuplicates(["digest"]).select("digest", "size", "sig", "paths", F.monotonically_increasing_id().alias("node"))
     sketches = staged(distinct, "sketches")
-    groups = connected_components(candidate_links(sketches, runs))
+    groups = connected_components(candidate_links(sketches))
     named = staged(groups.select("node", F.col("root").alias("grp")).join(sketches.select("node", "digest", "size"), "node").join(copies, "digest"), "groups")
     # the texts of candidate groups only; equal ones count once
-    texts = with_digest.join(named, "digest").select("node", "grp", "clean", "copies", "size", "digest").dropDuplicates(["digest"]).drop("digest")
+    wanted = named.select("digest")
+    if wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        wanted = F.broadcast(wanted)
+    texts = with_digest.join(wanted, "digest", "left_semi").join(named, "digest").select("node", "grp", "clean", "copies", "size", "digest").dropDuplicates(["digest"]).drop("digest")
     checked = staged(verify(texts, num, den), "verified")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     tied = checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))

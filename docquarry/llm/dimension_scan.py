@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.shared import staged
 
-#: Columns read before each test; later blocks grow.
-BLOCKS = (8, 8, 16, 32, 64, 128)
-#: Strength of the test: a true neighbour fails one with probability about exp(-c * EPSILON**2).
-EPSILON = 2.1
+#: Columns added before each test; from the last on, the rest in steps of it.
+BLOCKS = (16, 16, 32, 64, 128)
+#: Strength of the test: a larger one abandons less and misses less.
+EPSILON = 1.5
+#: Share of pairs left from which on a block is computed for all pairs by one matrix product.
+DENSE = 0.05
 QUERY_ROWS = 4096
 
 
@@ -46,50 +48,51 @@ class ListModel:
         return (self.centroids**2).sum(1)[None] - 2 * lifted @ self.centroids.T
 
 
-def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products summed component by component: equal rows get equal scores."""
-    out = np.zeros(len(x))
+def scan(columns: np.ndarray, qs: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that may lie within the queries' squared distances ``bounds``.
+
+    ``columns`` is [dims, rows], rotated, and so are the queries. After each block of
+    columns, pairs whose partial distance fails the test are abandoned. While many
+    pairs are left a block is added for all of them at once, later for those left.
+    """
+    dims, n = columns.shape
+    partial = np.zeros((len(qs), n))
+    q_at = r_at = None
+    d, k = 0, 0
+    while d < dims:
+        size = min(BLOCKS[min(k, len(BLOCKS) - 1)], dims - d)
+        block, own = columns[d : d + size], qs[:, d : d + size]
+        k, d = k + 1, d + size
+        limit = bounds * (d / dims) * (1 + EPSILON / np.sqrt(d)) ** 2 if d < dims else bounds * (1 + 1e-9) + 1e-9
+        if q_at is None:
+            partial += (own * own).sum(1)[:, None] + (block * block).sum(0)[None] - 2 * (own @ block)
+            alive = partial <= limit[:, None]
+            if d == dims or alive.mean() < DENSE:
+                q_at, r_at = np.nonzero(alive)
+                partial = partial[q_at, r_at]
+        else:
+            gap = block[:, r_at] - own[q_at].T
+            partial = partial + np.einsum("dn,dn->n", gap, gap)
+            keep = partial <= limit[q_at]
+            q_at, r_at, partial = q_at[keep], r_at[keep], partial[keep]
+    return q_at, r_at
+
+
+def pair_scores(qs: np.ndarray, x: np.ndarray, q_at: np.ndarray, r_at: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, summed component by component: equal rows get equal scores."""
+    out = np.zeros(len(q_at))
     for d in range(x.shape[1]):
-        out += x[:, d] * q[d]
+        out += x[r_at, d] * qs[q_at, d]
     return out
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= cut)
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
-
-
-def scan(columns: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
-    """Rows of a list that may lie within the squared distance ``bound`` of q.
-
-    ``columns`` is [dims, rows], rotated; q is rotated too.
-    """
-    dims, n = columns.shape
-    alive, partial, d = None, np.zeros(n), 0
-    for size in BLOCKS:
-        if d >= dims:
-            break
-        block = columns[d : d + size] if alive is None else columns[d : d + size, alive]
-        gap = block - q[d : d + size, None]
-        partial = partial + np.einsum("dn,dn->n", gap, gap)
-        d = min(d + size, dims)
-        limit = bound * (d / dims) * (1 + EPSILON / np.sqrt(d)) ** 2 if d < dims else bound * (1 + 1e-9) + 1e-9
-        keep = np.flatnonzero(partial <= limit)
-        alive = keep if alive is None else alive[keep]
-        partial = partial[keep]
-        if not len(alive):
-            break
-    while d < dims and len(alive):  # beyond the listed blocks
-        gap = columns[d : d + 128, alive] - q[d : d + 128, None]
-        partial = partial + np.einsum("dn,dn->n", gap, gap)
-        d = min(d + 128, dims)
-        keep = np.flatnonzero(partial <= (bound * (d / dims) * (1 + EPSILON / np.sqrt(d)) ** 2 if d < dims else bound * (1 + 1e-9) + 1e-9))
-        alive, partial = alive[keep], partial[keep]
-    return alive
+def best_of_each(query: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores of each query, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, query))
+    q = query[order]
+    first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return order[rank < k]
 
 
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -136,7 +139,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def search_lists(vectors: DataFrame, query_filter, k: int = 20, sample_rows: int = 8192, lists: int | None = None, target: float = 0.98, list_rows: int = 4096) -> DataFrame:
+def search_lists(vectors: DataFrame, query_filter, k: int = 20, sample_rows: int = 8192, lists: int | None = None, target: float = 0.96, list_rows: int = 4096) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``vectors`` that ``query_filter`` (a Column) picks.
 
     The model is fitted on at most ``sample_rows`` rows; every row is indexed or
@@ -178,21 +181,23 @@ def search_lists(vectors: DataFrame, query_filter, k: int = 20, sample_rows: int
         for frame in frames:
             if not len(frame):
                 continue
-            qs, ids = _matrix(frame["v"]), frame["vec_id"].to_numpy()
-            order = np.argsort(own.near_lists(np.concatenate([qs, np.zeros((len(qs), 1))], 1)), axis=1, kind="stable")[:, : own.probes]
             out = []
-            for q, i, near in zip(qs, ids.tolist(), order.tolist(), strict=True):
-                rough = own.sample @ q
-                rough[own.sample_ids == i] = -np.inf
-                keep = min(k, len(rough))
-                some = np.flatnonzero(rough >= np.partition(rough, len(rough) - keep)[len(rough) - keep] - 1e-9 * (1 + own.longest**2))
-                some = some[own.sample_ids[some] != i]
-                score = exact_scores(own.sample[some], q)
-                top = some[best(score, own.sample_ids[some], k)]
-                score = exact_scores(own.sample[top], q)
-                bound = float(score[-1]) if len(top) == k else -np.inf
-                out += [(i, -1, 0, None, 0.0, int(v), float(s)) for v, s in zip(own.sample_ids[top], score, strict=True)]
-                out += [(i, at, part, q, bound, None, None) for at in near for part in range(parts.get(at, 0))]
+            for at in range(0, len(frame), 128):
+                qs, ids = _matrix(frame["v"].iloc[at : at + 128]), frame["vec_id"].to_numpy()[at : at + 128]
+                near = np.argsort(own.near_lists(np.concatenate([qs, np.zeros((len(qs), 1))], 1)), axis=1, kind="stable")[:, : own.probes]
+                rough = qs @ own.sample.T
+                rough[ids[:, None] == own.sample_ids[None]] = -np.inf
+                keep = min(k, rough.shape[1])
+                cut = np.partition(rough, rough.shape[1] - keep, axis=1)[:, rough.shape[1] - keep]
+                q_at, r_at = np.nonzero((rough >= cut[:, None] - 1e-9 * (1 + own.longest**2)) & (rough > -np.inf))
+                score = pair_scores(qs, own.sample, q_at, r_at)
+                top = best_of_each(q_at, score, own.sample_ids[r_at], k)
+                bound = np.full(len(qs), -np.inf)
+                full = np.bincount(q_at[top], minlength=len(qs)) >= k
+                np.minimum.at(low := np.full(len(qs), np.inf), q_at[top], score[top])
+                bound[full] = low[full]
+                out += [(i, -1, 0, None, 0.0, v, w) for i, v, w in zip(ids[q_at[top]].tolist(), own.sample_ids[r_at[top]].tolist(), score[top].tolist(), strict=True)]
+                out += [(i, m, part, q, w, None, None) for i, q, w, lists_of in zip(ids.tolist(), qs, bound.tolist(), near.tolist(), strict=True) for m in lists_of for part in range(parts.get(m, 0))]
             yield pd.DataFrame(out, columns=["query_id", "list", "part", "q", "bound", "vec_id", "score"]).astype({"vec_id": "Int64"})
 
     queries = found.where(query_filter)
@@ -205,19 +210,20 @@ def search_lists(vectors: DataFrame, query_filter, k: int = 20, sample_rows: int
         own = shared.value
         x, ids = _matrix(held["v"]), held["vec_id"].to_numpy()
         columns = np.ascontiguousarray((own.lift(x) @ own.rotation).T)
-        qs = _matrix(asked["q"])
-        turned = np.concatenate([qs, np.zeros((len(qs), 1))], 1) @ own.rotation
-        base = own.longest**2 + (qs * qs).sum(1)
         out = []
-        for i, q, t, b, bound in zip(asked["query_id"].tolist(), qs, turned, base, asked["bound"].tolist(), strict=True):
-            some = scan(columns, t, b - 2 * bound) if bound > -np.inf else np.arange(len(ids))
-            some = some[ids[some] != i]
-            if len(some):
-                score = exact_scores(x[some], q)
-                some, score = some[score >= bound], score[score >= bound]
-                top = best(score, ids[some], k)
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[some[top]], "score": score[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        for at in range(0, len(asked), 256):
+            some = asked.iloc[at : at + 256]
+            qs, query, bound = _matrix(some["q"]), some["query_id"].to_numpy(), some["bound"].to_numpy()
+            turned = np.concatenate([qs, np.zeros((len(qs), 1))], 1) @ own.rotation
+            q_at, r_at = scan(columns, turned, own.longest**2 + (qs * qs).sum(1) - 2 * bound)
+            fine = query[q_at] != ids[r_at]
+            q_at, r_at = q_at[fine], r_at[fine]
+            score = pair_scores(qs, x, q_at, r_at)
+            fine = score >= bound[q_at]
+            q_at, r_at, score = q_at[fine], r_at[fine], score[fine]
+            top = best_of_each(q_at, score, ids[r_at], k)
+            out.append(pd.DataFrame({"query_id": query[q_at[top]], "vec_id": ids[r_at[top]], "score": score[top]}))
+        return pd.concat(out)
 
     part_of = F.lit(1)
     if parts:

@@ -15,17 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.chosen_path import whole_runs
 from docquarry.llm.components import connected_components
 from docquarry.llm.edit_distance import within
 from docquarry.llm.rolling import RangeHash, mix, runs_of
-from docquarry.llm.shared import staged, text_of
+from docquarry.llm.shared import broadcast_if_small, staged, text_of
 
 #: Rows of one key that are paired in one task; larger keys are cut into blocks, paired block by block.
 KEY_ROWS = 2000
+#: Rows of fixed width that are broadcast at most, and line numbers in all of them.
+BROADCAST_ROWS = 500_000
 
 _parity_rng = np.random.default_rng(31)
 _PARITY_BIT = np.uint64(1) << (_parity_rng.permutation(256).astype(np.uint64) % np.uint64(64))
@@ -81,10 +83,6 @@ def parities(lines: list[bytes]) -> np.ndarray:
     return np.bitwise_xor.reduceat(_PARITY_BIT[raw], starts) if len(lines) else np.zeros(0, np.uint64)
 
 
-def trimmed(line: Column) -> Column:
-    return F.trim(line)
-
-
 def line_table(docs: DataFrame, min_bytes: int) -> DataFrame:
     """A row for each line of each text: ``doc`` (id and hash of the text), ``line_no``,
     ``lid`` (hash of the trimmed line, null if under ``min_bytes``), and the
@@ -171,7 +169,7 @@ def similar_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20) -> DataFra
 
     met = staged(signed.repartition("key").sortWithinPartitions("key", "lid").mapInPandas(meet, "key long, lid long, parity long, indexed boolean"), "met-lines").dropDuplicates(["key", "lid", "indexed"])
     wanted = met.select("lid").distinct()
-    texts = staged(lines.join(wanted, "lid").dropDuplicates(["lid"]), "line-texts")
+    texts = staged(lines.join(broadcast_if_small(wanted, BROADCAST_ROWS), "lid").dropDuplicates(["lid"]), "line-texts")
     tasks = _blocked(met, "key").join(texts, "lid").select("task", "side", "key", "lid", "parity", "indexed", "line")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,7 +260,7 @@ def dedup_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20, min_texts: i
     lines = staged(line_table(docs, min_bytes), "lines")
     similar = staged(similar_lines(docs, tau, min_bytes), "line-classes")
     held = lines.where("lid IS NOT NULL")
-    named = held.join(similar.select("lid", "root", "links"), "lid", "left").withColumn("cls", F.coalesce("root", "lid"))
+    named = held.join(broadcast_if_small(similar.select("lid", "root", "links"), BROADCAST_ROWS), "lid", "left").withColumn("cls", F.coalesce("root", "lid"))
     counts = named.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "line_no")).alias("first")).where("n > 1")
     # neighbours count once a text: copies of a text are one
     around = named.join(counts.select("cls"), "cls", "left_semi").select("cls", "thash", "before", "after").distinct()
@@ -279,7 +277,10 @@ def dedup_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20, min_texts: i
         F.sum(F.when(F.col("similar"), F.col("k")).otherwise(0)).alias("n_similar"),
         F.flatten(F.collect_list(F.when(F.size("gone") > 0, F.col("gone")))).alias("gone"),
     ).where("n_repeated > 0 OR n_similar > 0")
-    found = per_text.select(F.col("doc_id").alias("_id"), F.col("thash").alias("_thash"), F.col("n_repeated").alias("_rep"), F.col("n_similar").alias("_sim"), F.col("gone").alias("_gone"))
+    found = staged(per_text.select(F.col("doc_id").alias("_id"), F.col("thash").alias("_thash"), F.col("n_repeated").alias("_rep"), F.col("n_similar").alias("_sim"), F.col("gone").alias("_gone")), "line-decisions")
+    held_rows = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_gone")), F.lit(0)).alias("numbers")).first()
+    if max(held_rows["rows"], held_rows["numbers"]) <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     base = docs.withColumn("text", text_of())
     joined = base.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_thash")), "left")
     gone = F.coalesce("_gone", F.array().cast("array<int>"))

@@ -75,3 +75,8 @@ def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def held_out(column: str = "doc_id") -> Column:
     """Rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
