@@ -32,6 +32,8 @@ class WordEncoder:
         self.tokenizer.no_padding()
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark_id = mark[0] if len(mark) == 1 else None
+        #: Strings that the library takes for special tokens only in their own case.
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table: dict[str, bytes] = {}
 
     def _library(self, words: list[str]) -> list[bytes]:
@@ -66,10 +68,13 @@ class WordEncoder:
 
     def words(self, text: str) -> list[str]:
         """Words between spaces and newlines. Latin-1 texts are put into lower case
-        as the tokenizer does, letter by letter, so lengths stay."""
+        as the tokenizer does, letter by letter, so lengths stay; not those
+        that would then hold a special token."""
         try:
             text.encode("latin-1")
-            text = text.lower()
+            lower = text.lower()
+            if not any(x in lower for x in self.special):
+                text = lower
         except UnicodeEncodeError:
             pass
         return text.replace("\n", " ").split(" ")

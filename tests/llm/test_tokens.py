@@ -10,7 +10,7 @@ from docquarry.llm.token_ids import default_path, encoder
 from docquarry.llm.token_prefix import PrefixCounts, prefix_token_counts
 from tests.llm.helpers import empty_docs, make_docs
 
-TEXTS = ["Hello, world's  foo\tbar.\n\nΣΑΣ é é .. !!, x<|endoftext|>y <| a123 don't. İx", "", " ", "a" * 300 + " ÀB. ÉA, don't, it's.", "İ. ß, ÀÉ,", "a\x01b c", "\x01", "…, a.. b.,\r\n　x"]
+TEXTS = ["Hello, world's  foo\tbar.\n\nΣΑΣ é é .. !!, x<|endoftext|>y <| a123 don't. İx", "", " ", "a" * 300 + " ÀB. ÉA, don't, it's.", "İ. ß, ÀÉ,", "a\x01b c", "\x01", "A<|ENDOFTEXT|>b <|StartOfText|>C<|endoftext|>", "…, a.. b.,\r\n　x"]
 
 
 @pytest.fixture(scope="module")
