@@ -40,8 +40,8 @@ LINK, LEAVE = 0.4, 0.7
 #: (some 50 bytes each); beyond, by a shuffle join.
 BROADCAST_TEXTS = 300_000
 #: Shingles of one block in verification; larger groups are verified by pairs of blocks.
-BLOCK_SHINGLES = 1_500_000
-BLOCK_TEXTS = 2048
+BLOCK_SHINGLES = 500_000
+BLOCK_TEXTS = 1024
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,7 +211,7 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int)
     common = np.zeros((len(left), len(right)), np.float32)
     order = np.argsort(inverse, kind="stable")
     inverse, rows = inverse[order], rows[order]
-    width = 4096
+    width = 2048
     for at in range(0, int(inverse[-1]) + 1 if len(inverse) else 0, width):
         lo, hi = np.searchsorted(inverse, [at, at + width])
         table = np.zeros((len(left) + (0 if right is left else len(right)), width), np.float32)
@@ -222,14 +222,18 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int)
     return (num + den) * common.astype(np.float64) >= num * (a + b)
 
 
-def least_roots(links: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """The least name that each row reaches over the symmetric links."""
-    roots = names.copy()
+def tied_roots(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least name that each row of ``left`` and of ``right`` reaches over the links between them."""
+
+    def least(table: np.ndarray, names: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.where(table[at : at + 256], names, np.iinfo(np.int64).max).min(1) for at in range(0, len(table), 256)])
+
     while True:
-        new = np.minimum(roots, np.where(links, roots[None, :], np.iinfo(np.int64).max).min(1))
-        if (new == roots).all():
-            return roots
-        roots = new
+        new_right = np.minimum(right, least(links.T, left))
+        new_left = np.minimum(left, least(links, new_right))
+        if (new_left == left).all() and (new_right == right).all():
+            return left, right
+        left, right = new_left, new_right
 
 
 def verify(texts: DataFrame, num: int, den: int) -> DataFrame:
@@ -261,14 +265,12 @@ def verify(texts: DataFrame, num: int, den: int) -> DataFrame:
                         continue
                     like = similar(sets, sets, num, den)
                     np.fill_diagonal(like, False)
-                    out.append(pd.DataFrame({"node": node, "links": like @ copies, "root": least_roots(like, node)}))
+                    out.append(pd.DataFrame({"node": node, "links": like @ copies, "root": tied_roots(like, node, node)[0]}))
                 else:
                     left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
                     like = similar([sets[i] for i in left], [sets[i] for i in right], num, den)
-                    both = np.zeros((len(node), len(node)), bool)
-                    both[np.ix_(left, right)] = like
-                    both |= both.T
-                    out.append(pd.DataFrame({"node": node, "links": both @ copies, "root": least_roots(both, node)}))
+                    roots = np.concatenate(tied_roots(like, node[left], node[right]))
+                    out.append(pd.DataFrame({"node": node[np.concatenate([left, right])], "links": np.concatenate([like @ copies[right], like.T @ copies[left]]), "root": roots}))
             if out:
                 yield pd.concat(out)
 
@@ -292,11 +294,13 @@ def similar_classes(docs: DataFrame, num: int = 4, den: int = 5, miss: float = 1
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = shingle_sets(frame["clean"].tolist())
-            sigs = np.stack([minhash(s) for s in sets]) if sets else np.zeros((0, COORDS), np.uint32)
-            paths = np.concatenate([children(np.full(len(sigs), r), sigs, 0) for r in roots], 1).astype(np.int64)
-            sizes = [len(s) for s in sets]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "digest": frame["digest"], "size": sizes, "sig": [s.tobytes() for s in sigs], "paths": [np.unique(p) if n else p[:0] for p, n in zip(paths, sizes, strict=True)]})
+            for at in range(0, len(frame), 1000):
+                some = frame.iloc[at : at + 1000]
+                sets = shingle_sets(some["clean"].tolist())
+                sigs = np.stack([minhash(s) for s in sets]) if sets else np.zeros((0, COORDS), np.uint32)
+                paths = np.concatenate([children(np.full(len(sigs), r), sigs, 0) for r in roots], 1).astype(np.int64)
+                sizes = [len(s) for s in sets]
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "digest": some["digest"].to_numpy(), "size": sizes, "sig": [s.tobytes() for s in sigs], "paths": [np.unique(p) if n else p[:0] for p, n in zip(paths, sizes, strict=True)]})
 
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean_text(text_of()).alias("clean"))
     with_digest = clean.select("doc_id", "clean", F.md5("clean").alias("digest"))
