@@ -146,6 +146,24 @@ def pivot_links(path: np.ndarray, node: np.ndarray, sigs: np.ndarray) -> tuple[n
     return np.concatenate(a) if a else node[:0], np.concatenate(b) if b else node[:0]
 
 
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each node to the least node that it reaches over the links a, b: they tie the same nodes."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    roots = np.arange(len(names))
+    while True:
+        low = np.minimum(roots[a], roots[b])
+        new = roots.copy()
+        for ends in (a, b, roots[a], roots[b]):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == roots).all():
+            break
+        roots = new
+    far = roots != np.arange(len(names))
+    return names[far], names[roots[far]]
+
+
 def candidate_links(sketches: DataFrame, levels: int = 16) -> DataFrame:
     """``a, b``: links that tie together all texts that may be similar.
 
@@ -159,7 +177,8 @@ def candidate_links(sketches: DataFrame, levels: int = 16) -> DataFrame:
     def brute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_runs(frames, "path"):
             a, b = pivot_links(frame["path"].to_numpy(), frame["node"].to_numpy(), _sigs(frame["sig"]))
-            yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+            node, root = contracted(a, b)
+            yield pd.DataFrame({"a": node, "b": root})
 
     def by_pivot(here: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,9 +256,10 @@ def tied_roots(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[
 
 
 def verify(texts: DataFrame, num: int, den: int) -> DataFrame:
-    """``node, links, root`` for the texts (node, grp, clean, copies, size) of candidate groups.
+    """``node, links, root, inner`` for the texts (node, grp, clean, copies, size) of candidate groups.
 
     ``links`` counts documents of other, similar texts; ``root`` ties similar texts.
+    ``inner`` marks the one row of each node from the comparison of its own block.
     A group that fits one block is compared in one task; a larger one is cut into
     blocks by a hash of the node, and each pair of blocks is a task of bounded size.
     """
@@ -265,17 +285,30 @@ def verify(texts: DataFrame, num: int, den: int) -> DataFrame:
                         continue
                     like = similar(sets, sets, num, den)
                     np.fill_diagonal(like, False)
-                    out.append(pd.DataFrame({"node": node, "links": like @ copies, "root": tied_roots(like, node, node)[0]}))
+                    out.append(pd.DataFrame({"node": node, "links": like @ copies, "root": tied_roots(like, node, node)[0], "inner": True}))
                 else:
                     left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
                     like = similar([sets[i] for i in left], [sets[i] for i in right], num, den)
                     roots = np.concatenate(tied_roots(like, node[left], node[right]))
-                    out.append(pd.DataFrame({"node": node[np.concatenate([left, right])], "links": np.concatenate([like @ copies[right], like.T @ copies[left]]), "root": roots}))
+                    out.append(pd.DataFrame({"node": node[np.concatenate([left, right])], "links": np.concatenate([like @ copies[right], like.T @ copies[left]]), "root": roots, "inner": False}))
             if out:
                 yield pd.concat(out)
 
     ready = task.repartition("task").sortWithinPartitions("task", "node")
-    return ready.mapInPandas(compare, "node long, links long, root long")
+    return ready.mapInPandas(compare, "node long, links long, root long, inner boolean")
+
+
+def block_ties(checked: DataFrame) -> DataFrame:
+    """``a, b``: links with the components of verified texts.
+
+    Texts are tied to their root within their own block; across blocks only
+    those roots are tied, so a large group adds a few links for each pair of its
+    blocks and not one for each text and block.
+    """
+    local = checked.where("inner").select("node", F.col("root").alias("local"))
+    across = checked.where("NOT inner AND node <> root").join(local, "node").select(F.col("local").alias("a"), "root").distinct()
+    across = across.join(local.withColumnRenamed("node", "root"), "root").select("a", F.col("local").alias("b")).where("a <> b").distinct()
+    return local.where("node <> local").select(F.col("node").alias("a"), F.col("local").alias("b")).unionByName(across)
 
 
 def similar_classes(docs: DataFrame, num: int = 4, den: int = 5, miss: float = 1e-10) -> DataFrame:
@@ -318,8 +351,7 @@ def similar_classes(docs: DataFrame, num: int = 4, den: int = 5, miss: float = 1
     texts = with_digest.join(wanted, "digest", "left_semi").join(named, "digest").select("node", "grp", "clean", "copies", "size", "digest").dropDuplicates(["digest"]).drop("digest")
     checked = staged(verify(texts, num, den), "verified")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    tied = checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    classes = connected_components(tied)
+    classes = connected_components(block_ties(checked))
     least = classes.join(named.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("class_id"))
     by_digest = named.select("node", "digest").join(links, "node").join(classes, "node", "left").join(least, "root", "left").select("digest", "links", "class_id", F.col("root").isNotNull().alias("tied"))
     joined = members.join(copies, "digest").join(by_digest, "digest", "left")

@@ -75,6 +75,15 @@ def test_chosen_path_finds_every_link(spark, monkeypatch, small, block):
     assert got == similar_want(rows)
 
 
+def test_contracted_links_tie_the_same_nodes():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 60, 300):
+        a, b = rng.integers(0, 200, n), rng.integers(0, 200, n)
+        node, root = chosen_path.contracted(a, b)
+        assert roots(200, zip(a.tolist(), b.tolist())) == roots(200, zip(node.tolist(), root.tolist()))
+        assert len(np.unique(node)) == len(node)
+
+
 def test_chosen_path_empty(spark):
     assert chosen_path.similar_classes(empty_docs(spark)).count() == 0
 
