@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.chosen_path import whole_runs
+from docquarry.llm.chosen_path import contracted, whole_runs
 from docquarry.llm.components import connected_components
 from docquarry.llm.edit_distance import within
 from docquarry.llm.rolling import RangeHash, mix, runs_of
@@ -180,6 +180,7 @@ def similar_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20) -> DataFra
             parity, indexed = frame["parity"].to_numpy().view(np.uint64), frame["indexed"].to_numpy()
             across = side >= 0
             links, roots = np.zeros(len(frame), np.int64), lid.copy()
+            tied: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for which in (False, True):
                 at = np.flatnonzero(across == which)
                 found = list(_pairs(task[at], lid[at], parity[at], indexed[at], side[at] if which else None, tau))
@@ -193,20 +194,19 @@ def similar_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20) -> DataFra
                     # a pair may meet under several keys: it counts under the least of them
                     same = (own_keys[a][:, :, None] == own_keys[b][:, None, :]) & (index[None, :, None] | index[None, None, :]) & (own_keys[a] != 0)[:, :, None]
                     least = np.where(same.any(2), own_keys[a], np.iinfo(np.uint64).max).min(1)
-                    first = least.view(np.int64) == key[a]
-                    _, once = np.unique(np.stack([task[a], np.minimum(lid[a], lid[b]), np.maximum(lid[a], lid[b])], 1), axis=0, return_index=True)
-                    count = np.zeros(len(a), bool)
-                    count[once] = True
-                    count &= first
-                    np.add.at(links, a[count], 1)
-                    np.add.at(links, b[count], 1)
-                    while len(a):  # roots of what is tied within the task
-                        low = np.minimum(roots[a], roots[b])
-                        before = roots.copy()
-                        np.minimum.at(roots, a, low)
-                        np.minimum.at(roots, b, low)
-                        if (roots == before).all():
-                            break
+                    tied.append((a, b, least.view(np.int64) == key[a]))
+            if not tied:
+                continue
+            # over all chunks: a root that one chunk overwrites would lose its ties
+            a, b, first = (np.concatenate(x) for x in zip(*tied, strict=True))
+            node, root = contracted(lid[a], lid[b])
+            if len(node):
+                place = np.minimum(np.searchsorted(node, lid), len(node) - 1)
+                roots = np.where(node[place] == lid, root[place], lid)
+            a, b = a[first], b[first]
+            _, once = np.unique(np.stack([task[a], np.minimum(lid[a], lid[b]), np.maximum(lid[a], lid[b])], 1), axis=0, return_index=True)
+            np.add.at(links, a[once], 1)
+            np.add.at(links, b[once], 1)
             keep = (links > 0) | (roots != lid)
             yield pd.DataFrame({"lid": lid[keep], "links": links[keep], "root": roots[keep]})
 

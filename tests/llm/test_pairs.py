@@ -216,6 +216,22 @@ def test_similar_lines(spark, monkeypatch, tau, rows):
     assert {r.lid: (r.root, r.links) for r in line_edit.similar_lines(docs, tau=tau).collect()} == want
 
 
+def test_similar_lines_of_a_hot_key(spark):
+    # one head for all lines, so that over 20,000 pairs of rows share its keys; tied are only w - y - x of each triple
+    rng = random.Random(4)
+    head, lines = "every line of the table starts with this", []
+    for _ in range(110):
+        tail = rng.sample("abcdefghijklmnopqrst", 20)
+        w, x = list(tail), list(tail)
+        w[3], w[4] = tail[4], tail[3]
+        x[12], x[13] = tail[13], tail[12]
+        lines += [head + "".join(t) for t in (w, tail, x)]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string").repartition(4)
+    lid = [r.h for r in spark.createDataFrame(list(enumerate(lines)), "k long, line string").orderBy("k").select(F.xxhash64("line").alias("h")).collect()]
+    want = {lid[k + i]: (min(lid[k : k + 3]), 1 + (i == 1)) for k in range(0, len(lines), 3) for i in range(3)}
+    assert {r.lid: (r.root, r.links) for r in line_edit.similar_lines(docs).collect()} == want
+
+
 def test_line_removal(spark):
     boiler = ["All rights are reserved by the house.", "All rights are reserved by the mouse."]
     rng = random.Random(1)
