@@ -11,6 +11,7 @@ edit distance.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,14 @@ from docquarry.llm.components import connected_components
 from docquarry.llm.edit_distance import within
 from docquarry.llm.rolling import RangeHash, mix, runs_of
 from docquarry.llm.shared import broadcast_if_small, staged, text_of
+from docquarry.llm.shingles import WORDS
 
 #: Rows of one key that are paired in one task; larger keys are cut into blocks, paired block by block.
 KEY_ROWS = 2000
 #: Rows of fixed width that are broadcast at most, and line numbers in all of them.
 BROADCAST_ROWS = 500_000
+#: Least shingle hashes that stand for a text, and the share of a text that lines must make up before it is compared.
+SKETCH, LINE_SHARE = 512, 0.05
 
 _parity_rng = np.random.default_rng(31)
 _PARITY_BIT = np.uint64(1) << (_parity_rng.permutation(256).astype(np.uint64) % np.uint64(64))
@@ -84,14 +88,12 @@ def parities(lines: list[bytes]) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """A row for each line of each text: ``doc`` (id and hash of the text), ``line_no``,
-    ``lid`` (hash of the trimmed line, null if under ``min_bytes``), and the
-    hashes of the lines before and after."""
+    """A row for each line of each text: ``doc_id``, ``thash`` (hash of the text), ``bytes`` (of the text), ``line_no``,
+    ``lid`` (hash of the trimmed line, null if under ``min_bytes``) and ``size`` (its bytes)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    hashes = F.transform(F.split("text", "\n"), lambda x: F.when(F.octet_length(F.trim(x)) >= min_bytes, F.xxhash64(F.trim(x))))
-    whole = rows.select("doc_id", F.xxhash64("text").alias("thash"), hashes.alias("h"))
-    near = F.transform(F.col("h"), lambda x, i: F.struct(x.alias("lid"), F.when(i > 0, F.get("h", i - 1)).alias("before"), F.get("h", i + 1).alias("after")))
-    return whole.select("doc_id", "thash", F.posexplode(near).alias("line_no", "x")).select("doc_id", "thash", "line_no", "x.lid", "x.before", "x.after")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.when(F.octet_length(F.trim(x)) >= min_bytes, F.xxhash64(F.trim(x))).alias("lid"), F.octet_length(F.trim(x)).alias("size")))
+    whole = rows.select("doc_id", F.xxhash64("text").alias("thash"), F.octet_length("text").alias("bytes"), lines.alias("h"))
+    return whole.select("doc_id", "thash", "bytes", F.posexplode("h").alias("line_no", "x")).select("doc_id", "thash", "bytes", "line_no", "x.lid", "x.size")
 
 
 def _pairs(key: np.ndarray, lid: np.ndarray, parity: np.ndarray, indexed: np.ndarray, block: np.ndarray | None, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -243,16 +245,54 @@ def whole_small_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held.assign(large=(held["key"] == large_key) if large_key is not None else False)
 
 
-def dedup_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20, min_texts: int = 3, spread: float = 0.8) -> DataFrame:
+def sketch_of(text: str) -> np.ndarray:
+    """The SKETCH least hashes of the text's distinct word shingles, sorted; a text of fewer words is one shingle."""
+    raw = np.frombuffer(" ".join(re.findall(r"[^\W_]+", text.lower())).encode(), np.uint8)
+    ends = np.append(np.flatnonzero(raw == 32), len(raw))
+    starts = np.append(0, ends[:-1] + 1)
+    last = ends[WORDS - 1 :] if len(ends) >= WORDS else ends[-1:]
+    return np.unique(RangeHash(raw).of(starts[: len(last)], last))[:SKETCH]
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of the shingles behind two sketches: exact if their union has at most SKETCH, else estimated from the least SKETCH of it."""
+    union = np.union1d(a, b)[:SKETCH]
+    return float(np.isin(union, np.intersect1d(a, b)).mean())
+
+
+def copied_texts(docs: DataFrame, pairs: DataFrame, alike: float) -> DataFrame:
+    """The ``thash, other`` of pairs whose texts have at least ``alike`` of their word shingles in common."""
+    wanted = pairs.select("thash").unionByName(pairs.select(F.col("other").alias("thash"))).distinct()
+    texts = docs.select(text_of().alias("text")).select(F.xxhash64("text").alias("thash"), "text")
+
+    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.drop_duplicates("thash")
+            yield pd.DataFrame({"thash": frame["thash"], "sketch": [sketch_of(x).tobytes() for x in frame["text"]]})
+
+    some = texts.join(broadcast_if_small(wanted, BROADCAST_ROWS), "thash", "left_semi")
+    sketches = staged(some.mapInPandas(sketch, "thash long, sketch binary").dropDuplicates(["thash"]), "text-sketches")
+    both = pairs.join(sketches, "thash").join(sketches.select(F.col("thash").alias("other"), F.col("sketch").alias("other_sketch")), "other")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            like = [likeness(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(frame["sketch"], frame["other_sketch"], strict=True)]
+            yield frame.loc[np.array(like, float) >= alike, ["thash", "other"]]
+
+    return both.select("thash", "other", "sketch", "other_sketch").mapInPandas(compare, "thash long, other long")
+
+
+def dedup_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20, alike: float = 0.5) -> DataFrame:
     """All columns of ``docs`` (text replaced) with ``n_lines``, ``n_repeated``, ``n_similar`` and ``n_removed``.
 
     Lines of one class (equal, or tied by edits) are occurrences of one line.
-    Removed are (a) later occurrences within a text, and (b) occurrences after the
-    first in the corpus (by doc_id, nulls first, then text hash and line number) of classes that stand in at
-    least ``min_texts`` different texts and in as many different surroundings: on one side, the number
-    of different neighbouring lines is at least ``spread`` of the number of texts. Lines
-    that merely travel with a copied document stay: copies of documents are the
-    business of document deduplication, which would no longer see them.
+    Removed are later occurrences within a text, and occurrences after the
+    first in the corpus (by doc_id, nulls first, then text hash and line number), however
+    many there are and whatever stands around them. Only lines that merely travel with a copied
+    document stay: copies of documents are the business of document deduplication, which would no
+    longer see them. That is decided for each text and the text of the first occurrence: they are
+    equal, or the lines first seen there make up at least a LINE_SHARE of the larger text and
+    the two have at least ``alike`` of their word shingles in common.
 
     Lines under ``min_bytes`` bytes and empty lines stay. A null text is an empty one, with one line. Rows
     equal in id and text are treated alike. Columns of the new names are replaced.
@@ -261,15 +301,14 @@ def dedup_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20, min_texts: i
     similar = staged(similar_lines(docs, tau, min_bytes), "line-classes")
     held = lines.where("lid IS NOT NULL")
     named = held.join(broadcast_if_small(similar.select("lid", "root", "links"), BROADCAST_ROWS), "lid", "left").withColumn("cls", F.coalesce("root", "lid"))
-    counts = named.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "line_no")).alias("first")).where("n > 1")
-    # neighbours count once a text: copies of a text are one
-    around = named.join(counts.select("cls"), "cls", "left_semi").select("cls", "thash", "before", "after").distinct()
-    spots = around.groupBy("cls").agg(F.count_distinct("thash").alias("texts"), F.count_distinct("before").alias("b"), F.count_distinct("after").alias("a"))
-    wide = counts.join(spots, "cls").select("cls", "first", ((F.col("texts") >= min_texts) & (F.greatest("a", "b") >= F.lit(spread) * F.col("texts"))).alias("wide"))
-    marked = named.join(wide, "cls", "left")
-    in_text = marked.groupBy("doc_id", "thash", "cls").agg(F.min("line_no").alias("line_no"), F.max("links").alias("links"), F.collect_set("line_no").alias("all"), F.first("wide").alias("wide"), F.first("first").alias("first"))
-    here = F.struct("doc_id", "thash", "line_no")
-    elsewhere = F.coalesce(F.col("wide"), F.lit(False)) & (here != F.col("first"))
+    counts = named.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "line_no", "bytes")).alias("first")).where("n > 1").select("cls", "first")
+    marked = named.join(counts, "cls", "left")
+    in_text = staged(marked.groupBy("doc_id", "thash", "cls").agg(F.min("line_no").alias("line_no"), F.max("links").alias("links"), F.collect_set("line_no").alias("all"), F.first("first").alias("first"), F.sum("size").alias("size"), F.first("bytes").alias("bytes")), "lines-in-texts")
+    shared = in_text.where("thash <> first.thash").groupBy("doc_id", "thash", F.col("first.thash").alias("other")).agg(F.sum("size").alias("shared"), F.greatest(F.max("bytes"), F.max("first.bytes")).alias("larger"))
+    pairs = staged(shared.where(F.col("shared") >= F.lit(LINE_SHARE) * F.col("larger")).select("thash", "other").distinct(), "text-pairs")
+    copied = staged(copied_texts(docs, pairs, alike), "copied-texts").withColumn("copied", F.lit(True))
+    in_text = in_text.withColumn("other", F.col("first.thash")).join(broadcast_if_small(copied, BROADCAST_ROWS), ["thash", "other"], "left")
+    elsewhere = F.coalesce(F.col("thash") != F.col("other"), F.lit(False)) & F.col("copied").isNull()
     # sets of line numbers within one text: bounded by the text
     decided = in_text.select("doc_id", "thash", F.size("all").alias("k"), F.col("first").isNotNull().alias("repeated"), (F.coalesce("links", F.lit(0)) > 0).alias("similar"), F.when(elsewhere, F.col("all")).otherwise(F.array_remove("all", F.col("line_no"))).alias("gone"))
     per_text = decided.groupBy("doc_id", "thash").agg(

@@ -254,6 +254,45 @@ def test_line_removal(spark):
     assert line_edit.dedup_lines(awkward).count() == awkward.count()
 
 
+def test_lines_go_whatever_stands_around_them(spark):
+    rng = random.Random(2)
+    name = lambda: words(rng, 8, 10**6)
+    hot, footer, paragraph, twice, near = name(), name(), name(), name(), [name() for _ in range(4)]
+    docs = {}
+    for k in range(40):
+        body = [name() for _ in range(12)]
+        # the hot line between few neighbours, a paragraph between blank lines, a footer after a short line
+        docs[k] = [*body[:4], near[k % 2], hot, near[2 + k % 2], *body[4:8], "", paragraph, "", *body[8:], "--", footer]
+        if k in (8, 30):
+            docs[k].insert(2, twice)
+    docs[50] = [x for x in docs[5] if x != docs[5][1]]  # near copies of 5 and 0, by whole lines and by words
+    docs[51] = [x if i % 5 else x + " more" for i, x in enumerate(docs[0])]
+    docs[52] = [hot, footer]  # nothing but repeated lines
+    got = {r.doc_id: r for r in line_edit.dedup_lines(spark.createDataFrame([(k, "\n".join(x)) for k, x in docs.items()], "doc_id long, text string").repartition(3)).collect()}
+    shingled = {k: shingles("\n".join(x)) for k, x in docs.items()}
+    like = lambda a, b: len(shingled[a] & shingled[b]) / len(shingled[a] | shingled[b]) >= 0.5
+    assert like(50, 5) and like(51, 0) and not like(52, 0)
+    first = {}
+    for k, x in docs.items():
+        for line in x:
+            first.setdefault(line, k)
+    for k, x in docs.items():
+        want = [line for line in x if len(line) < 20 or first[line] == k or like(first[line], k)]
+        assert got[k].text.split("\n") == (want or [""]) and got[k].n_removed == len(x) - len(want)
+    assert [sum(line in r.text.split("\n") for r in got.values()) for line in (hot, paragraph, twice)] == [1, 2, 1] and got[50].text.count(docs[5][0]) == 1
+
+
+def test_text_likeness():
+    rng = random.Random(5)
+    texts = [words(rng, n) for n in (40, 300, 3000)] + ["", "-- --", "one two", "é ß Σ 漢字 A_b " * 3]
+    for text in texts:
+        w = clean(text).split()
+        other = " ".join("x" if i % 37 == 5 else x for i, x in enumerate(w))
+        a, b = shingles(text), shingles(other)
+        want = len(a & b) / len(a | b) if a | b else float(w == other.split())
+        assert abs(line_edit.likeness(line_edit.sketch_of(text), line_edit.sketch_of(other)) - want) <= (0.08 if len(a | b) > line_edit.SKETCH else 0)
+
+
 def test_minhash_estimates():
     rng = np.random.default_rng(1)
     shared = rng.integers(0, 1 << 60, 800).astype(np.uint64)
