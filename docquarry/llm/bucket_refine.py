@@ -12,7 +12,11 @@ about 70 bytes and splits the work:
 3. What is left of a bucket is refined: its places start in buckets of 50-grams, and sorting
    by the pair of a place's bucket and the bucket 50 bytes on gives buckets of
    100-grams, whose identifiers, reused with an offset of 100, give those of
-   200-grams. Places alone in a bucket drop out at every step.
+   200-grams. Places alone in a bucket drop out at every step. The last step of a bucket
+   of very many rows is shared between tasks: its places are grouped by the pair of
+   bucket identifiers (of the 100-grams at the place and 100 bytes on).
+
+Texts are named by 64 and 32 bits of two hashes.
 """
 
 from __future__ import annotations
@@ -34,8 +38,12 @@ GRAM = 64
 #: First places of a string among which its anchor is chosen.
 CHOICE = SPAN - GRAM + 1
 PICK = 16
-#: Rows of a bucket that one task refines; the strings of larger ones are dealt out by their own hash.
+#: Rows of a bucket whose refinement one task finishes; the last step of larger ones is a shuffle.
 BUCKET_ROWS = 4096
+#: Bytes of text that are hashed, and of stretches that are refined, at once.
+PIECE = 1 << 20
+#: Anchors of a task among which equal stretches are combined before the shuffle, and rows of one frame out.
+BATCH_ROWS, OUT_ROWS = 500_000, 100_000
 #: Anchors of a bucket held at once while its equal stretches are sorted out.
 SORT_ROWS = 200_000
 
@@ -103,43 +111,98 @@ def spans_of(flags: np.ndarray, base: int) -> list[tuple[int, int]]:
     return [(base + int(a), base + int(b) - 1 + SPAN) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-ANCHORS = "gram long, stretch long, thash long, start long, bytes int, many boolean, done boolean"
+ANCHORS = "gram long, stretch long, thash long, tag int, start int, bytes int, many boolean, done boolean"
+NAME = ["thash", "tag"]
+
+
+def with_name(docs: DataFrame) -> DataFrame:
+    """``text`` (null: empty) with its name, ``thash`` and ``tag``."""
+    return docs.withColumn("text", text_of()).withColumns({"thash": F.xxhash64(text_of()), "tag": F.hash(text_of())})
+
+
+def pieces(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Texts in turn, in pieces of PIECE bytes: the bytes, the ends of the texts in them, their
+    numbers and the place of each in its text, and whether its text goes on behind the piece.
+
+    A long text is cut where a stretch begins, so that all its stretches stay whole.
+    """
+    at = 0
+    while at < len(raws):
+        if len(raws[at]) > PIECE:
+            begin = 0
+            while True:
+                raw = np.frombuffer(raws[at], np.uint8, min(PIECE, len(raws[at]) - begin), begin)
+                more = begin + PIECE < len(raws[at])
+                cut = yield raw, np.array([len(raw)]), np.array([at]), np.array([begin]), more
+                if not more:
+                    break
+                begin += cut
+            at += 1
+            continue
+        stop, total = at, 0
+        while stop < len(raws) and total + len(raws[stop]) <= PIECE:
+            total += len(raws[stop])
+            stop += 1
+        yield np.frombuffer(b"".join(raws[at:stop]), np.uint8), np.cumsum([len(r) for r in raws[at:stop]]), np.arange(at, stop), np.zeros(stop - at, np.int64), False
+        at = stop
+
+
+def combined(rows: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Anchor rows of one task. Equal stretches in them are settled at once (done); one of
+    them stands for all (many), so that a frequent passage sends a row per batch and not
+    a row per copy."""
+    gram, stretch, thash, tag, start, size = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((start, tag, thash, stretch, gram))
+    same = np.ones(len(order) - 1, bool)
+    for x in (gram, stretch):
+        same &= x[order[1:]] == x[order[:-1]]
+    again = same.copy()
+    for x in (thash, tag, start):
+        again &= x[order[1:]] == x[order[:-1]]
+    fresh = np.concatenate(([True], ~again))  # copies of one text say the same
+    begins = np.concatenate(([True], ~same))[fresh]
+    order = order[fresh]
+    twice = (np.bincount(np.cumsum(begins) - 1) > 1)[np.cumsum(begins) - 1]
+    dealt = mix(start.astype(np.uint64) ^ thash.view(np.uint64)).view(np.int64)
+    for at, key, many, done in ((order[~twice], gram, False, False), (order[twice & begins], gram, True, False), (order[twice], dealt, False, True)):
+        for lo in range(0, len(at), OUT_ROWS):
+            some = at[lo : lo + OUT_ROWS]
+            yield pd.DataFrame({"gram": key[some], "stretch": stretch[some], "thash": thash[some], "tag": tag[some], "start": start[some], "bytes": size[some], "many": many, "done": done})
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
     """A row for each anchor: the bucket, the hash of its stretch of owned strings, and
-    where that stretch lies. Equal stretches within a batch are settled at
-    once (done); one of them stands for all (many), so that a frequent passage
-    sends a row per batch and not a row per copy."""
+    where that stretch lies."""
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for frame in frames:
-            rows = []
+            thash, tag = frame["thash"].to_numpy(), frame["tag"].to_numpy()
             raws = [t.encode() for t in frame["text"]]
-            hashes_of = frame["thash"].to_numpy()
-            at = 0
-            while at < len(raws):
-                stop, total = at, 0
-                while stop < len(raws) and (stop == at or total + len(raws[stop]) < 1 << 20):
-                    total += len(raws[stop])
-                    stop += 1
-                raw = np.frombuffer(b"".join(raws[at:stop]), np.uint8)
-                ends = np.cumsum([len(r) for r in raws[at:stop]])
-                starts = ends - np.array([len(r) for r in raws[at:stop]])
+            turns, cut = pieces(raws), None
+            while True:
+                try:
+                    raw, ends, number, base, more = turns.send(cut)
+                except StopIteration:
+                    break
+                starts = np.concatenate(([0], ends[:-1]))
                 hashes, anchor, first, last = owners(raw, starts, ends)
-                if len(anchor):
-                    doc = np.searchsorted(ends, anchor, "right")
-                    stretch = hashes.of(first, last + SPAN) ^ mix((anchor - first).astype(np.uint64))
-                    rows.append(pd.DataFrame({"gram": hashes.of(anchor, anchor + GRAM).view(np.int64), "stretch": stretch.view(np.int64), "thash": hashes_of[at:stop][doc], "start": first - starts[doc], "bytes": (last + SPAN - first).astype(np.int32)}))
-                at = stop
-            if not rows:
-                continue
-            out = pd.concat(rows, ignore_index=True).drop_duplicates(["gram", "stretch", "thash", "start"])
-            copies = out.groupby(["gram", "stretch"])["start"].transform("size").to_numpy() > 1
-            stand_in = copies & ~out.duplicated(["gram", "stretch"]).to_numpy()
-            done = out[copies].assign(many=False, done=True)
-            done["gram"] = mix(done["start"].to_numpy().astype(np.uint64) ^ done["thash"].to_numpy().view(np.uint64)).view(np.int64)
-            yield pd.concat([out[~copies].assign(many=False, done=False), out[stand_in].assign(many=True, done=False), done])
+                cut = int(first[-1]) if more else None
+                if more:  # the last stretch may go on
+                    anchor, first, last = anchor[:-1], first[:-1], last[:-1]
+                if not len(anchor):
+                    continue
+                doc = np.searchsorted(ends, anchor, "right")
+                stretch = hashes.of(first, last + SPAN) ^ mix((anchor - first).astype(np.uint64))
+                place = (base[doc] + first - starts[doc]).astype(np.int32)
+                rows.append((hashes.of(anchor, anchor + GRAM).view(np.int64), stretch.view(np.int64), thash[number[doc]], tag[number[doc]], place, (last + SPAN - first).astype(np.int32)))
+                held += len(anchor)
+                if held > BATCH_ROWS:
+                    yield from combined(rows)
+                    rows, held = [], 0
+        if rows:
+            yield from combined(rows)
 
     return texts.mapInPandas(emit, ANCHORS)
 
@@ -180,7 +243,7 @@ def _held_runs(frames: Iterator[pd.DataFrame], keys: list[str], most: int) -> It
         yield held, open_key is not None, True
 
 
-PLACES = "gram long, thash long, start long, bytes int, kind int"
+PLACES = "gram long, thash long, tag int, start int, bytes int, kind int"
 SETTLED, OPEN, WITNESS = 0, 1, 2
 
 
@@ -192,12 +255,12 @@ def sort_buckets(anchors: DataFrame) -> DataFrame:
         for part, large, _ in _held_runs(frames, ["gram", "stretch"], SORT_ROWS):
             ready = part[part["done"]]
             if len(ready):
-                yield ready[["gram", "thash", "start", "bytes"]].assign(kind=SETTLED)
+                yield ready[["gram", *NAME, "start", "bytes"]].assign(kind=SETTLED)
             part = part[~part["done"]]
             if not len(part):
                 continue
             gram = part["gram"].to_numpy()
-            fine = np.stack([gram, part["stretch"].to_numpy(), part["thash"].to_numpy(), part["start"].to_numpy()], 1)
+            fine = np.stack([gram, part["stretch"].to_numpy(), *(part[c].to_numpy().astype(np.int64) for c in (*NAME, "start"))], 1)
             new = np.ones(len(part), bool)
             new[1:] = (fine[1:] != fine[:-1]).any(1)  # copies of one text say the same
             many = np.logical_or.reduceat(part["many"].to_numpy(), np.flatnonzero(new))
@@ -209,63 +272,89 @@ def sort_buckets(anchors: DataFrame) -> DataFrame:
             bucket = np.cumsum(np.concatenate(([True], gram[1:] != gram[:-1]))) - 1
             has_open = np.bincount(bucket, weights=~settled)[bucket] > 0
             alone = ((np.bincount(bucket) == 1)[bucket]) & ~settled & (not large)
-            out = part[["gram", "thash", "start", "bytes"]].assign(kind=np.where(settled, SETTLED, OPEN))[~alone]
+            out = part[["gram", *NAME, "start", "bytes"]].assign(kind=np.where(settled, SETTLED, OPEN))[~alone]
             witness = settled & begins & (has_open | large)
-            yield pd.concat([out, part[witness][["gram", "thash", "start", "bytes"]].assign(kind=WITNESS)])
+            yield pd.concat([out, part[witness][["gram", *NAME, "start", "bytes"]].assign(kind=WITNESS)])
 
-    return anchors.repartition("gram").sortWithinPartitions("gram", "stretch", "thash", "start").mapInPandas(settle, PLACES)
+    return anchors.repartition("gram").sortWithinPartitions("gram", "stretch", *NAME, "start").mapInPandas(settle, PLACES)
+
+
+def small_parts(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A sorted frame cut between buckets, in parts of about PIECE bytes."""
+    starts = runs_of(part["gram"].to_numpy())
+    ends = np.append(starts[1:], len(part))
+    reach = np.cumsum(part["raw"].map(len).to_numpy())
+    lo = 0
+    while lo < len(starts):
+        before = reach[starts[lo] - 1] if starts[lo] else 0
+        hi = max(lo + 1, int(np.searchsorted(reach[ends - 1], before + PIECE, "right")))
+        yield part.iloc[starts[lo] : ends[hi - 1]]
+        lo = hi
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """``thash, ranges``: byte ranges (start * 2**31 + length, unsorted, maybe overlapping) covered by repeated strings of each text."""
-    texts = docs.select(text_of().alias("text")).select("text", F.xxhash64("text").alias("thash")).where(F.octet_length("text") >= SPAN)
+    """``thash, tag, ranges``: byte ranges (start * 2**31 + length, unsorted, maybe overlapping) covered by repeated strings of each text."""
+    texts = with_name(docs.select("text")).where(F.octet_length("text") >= SPAN)
     places = staged(sort_buckets(anchor_rows(texts)), "places")
-    wanted = places.where(F.col("kind") != SETTLED).groupBy("thash").agg(F.collect_list(F.struct("gram", "start", "bytes", "kind")).alias("want"))
+    wanted = places.where(F.col("kind") != SETTLED).groupBy(*NAME).agg(F.collect_list(F.struct("gram", "start", "bytes", "kind")).alias("want"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["gram", *NAME, "start", "kind", "raw"]
         for frame in frames:
             rows = []
-            for text, thash, want in zip(frame["text"], frame["thash"], frame["want"], strict=True):
+            for text, thash, tag, want in frame.drop_duplicates(NAME)[["text", *NAME, "want"]].itertuples(index=False):
                 raw = text.encode()
-                rows += [(w["gram"], thash, w["start"], w["kind"], raw[w["start"] : w["start"] + w["bytes"]]) for w in want]
-            yield pd.DataFrame(rows, columns=["gram", "thash", "start", "kind", "raw"])
+                rows += [(w["gram"], thash, tag, w["start"], w["kind"], raw[w["start"] : w["start"] + w["bytes"]]) for w in want]
+                if len(rows) > OUT_ROWS // 4:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     # copies of a text give equal rows, which count once below
-    stretches = texts.join(wanted, "thash").mapInPandas(cut, "gram long, thash long, start long, kind int, raw binary")
+    stretches = texts.join(wanted, NAME).mapInPandas(cut, "gram long, thash long, tag int, start int, kind int, raw binary")
+
+    def refined(part: pd.DataFrame) -> pd.DataFrame:
+        """The repeated ranges of whole buckets."""
+        found = []
+        for flags, thash, tag, start, kind in zip(refine(part["raw"].tolist(), part["gram"].to_numpy()), part["thash"], part["tag"], part["start"], part["kind"], strict=True):
+            if kind == OPEN and flags.any():
+                found += [(thash, tag, a, b - a) for a, b in spans_of(flags, start)]
+        return pd.DataFrame(found, columns=[*NAME, "start", "bytes"]).assign(near=None, far=None, open=True)
+
+    def places_of(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """A row for each place of a part of a large bucket, with the identifiers of its two halves' buckets."""
+        raw, half = part["raw"].tolist(), SPAN // 2
+        hashes = RangeHash(np.frombuffer(b"".join(raw), np.uint8))
+        size = np.array([len(r) for r in raw], np.int64)
+        n = size - SPAN + 1
+        row = np.repeat(np.arange(len(raw)), n)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        spot = (np.cumsum(size) - size)[row] + inner
+        ids = [hashes.of(spot + k, spot + k + half).view(np.int64) for k in (0, half)]
+        out = pd.DataFrame({"thash": part["thash"].to_numpy()[row], "tag": part["tag"].to_numpy()[row], "start": part["start"].to_numpy()[row] + inner, "bytes": SPAN, "near": ids[0], "far": ids[1], "open": part["kind"].to_numpy()[row] == OPEN})
+        twice = out.duplicated(["near", "far"], keep=False).to_numpy()
+        yield out[twice & out["open"]].assign(near=None, far=None)
+        out["open"] &= ~twice
+        yield out[~(twice & out.duplicated(["near", "far"]).to_numpy())]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, large, _ in _held_runs(frames, ["gram", "thash"], BUCKET_ROWS):
-            part = part.drop_duplicates(["gram", "thash", "start"])
-            for at in range(0, len(part), 100_000) if large else (0,):
-                some = part.iloc[at : at + 100_000] if large else part
-                raw = some["raw"].tolist()
-                if large:  # the strings themselves are dealt out
-                    joined = np.frombuffer(b"".join(raw), np.uint8)
-                    size = np.array([len(r) for r in raw], np.int64)
-                    row = np.repeat(np.arange(len(raw)), size - SPAN + 1)
-                    begin = np.cumsum(size) - size
-                    inner = np.arange(len(row)) - np.repeat(np.cumsum(size - SPAN + 1) - (size - SPAN + 1), size - SPAN + 1)
-                    spot = begin[row] + inner
-                    out = pd.DataFrame({"thash": some["thash"].to_numpy()[row], "start": some["start"].to_numpy()[row] + inner, "bytes": SPAN, "hash": RangeHash(joined).of(spot, spot + SPAN).view(np.int64), "open": some["kind"].to_numpy()[row] == OPEN})
-                    twice = out.duplicated("hash", keep=False)
-                    done = out[twice & out["open"]].assign(hash=None)
-                    yield pd.concat([done, out[~(twice & out.duplicated("hash"))].assign(open=lambda d, t=twice: d["open"] & ~t[d.index])]) if twice.any() else out
-                    continue
-                found = []
-                open_ = (some["kind"] == OPEN).to_numpy()
-                for flags, thash, start, wants in zip(refine(raw, some["gram"].to_numpy()), some["thash"].to_numpy(), some["start"].to_numpy(), open_, strict=True):
-                    if wants and flags.any():
-                        found += [(thash, a, b - a) for a, b in spans_of(flags, int(start))]
-                out = pd.DataFrame(found, columns=["thash", "start", "bytes"])
-                yield out.assign(hash=None, open=True)
-
-    seen = staged(stretches.repartition("gram").sortWithinPartitions("gram", "thash", "start").mapInPandas(search, "thash long, start long, bytes int, hash long, open boolean"), "ranges")
-    single = seen.where("hash IS NOT NULL")
-    # strings of large buckets: a hash met by two rows (or by many within a batch) repeats
-    counts = single.groupBy("hash").agg(F.min(F.struct("thash", "start")).alias("a"), F.max(F.struct("thash", "start")).alias("b"), F.bool_or(~F.col("open")).alias("witness")).where("a <> b").select("hash")
-    late = single.where("open").join(counts, "hash").select("thash", "start", "bytes")
-    ranges = places.where(F.col("kind") == SETTLED).select("thash", "start", "bytes").unionByName(seen.where("hash IS NULL").select("thash", "start", "bytes")).unionByName(late)
-    return ranges.groupBy("thash").agg(F.collect_list(F.col("start") * F.lit(1 << 31) + F.col("bytes")).alias("ranges"))
+            part = part.drop_duplicates(["gram", *NAME, "start"])
+            if large:
+                for at in range(0, len(part), BUCKET_ROWS):
+                    yield from places_of(part.iloc[at : at + BUCKET_ROWS])
+            else:
+                for some in small_parts(part):
+                    yield refined(some)
+
+    seen = staged(stretches.repartition("gram").sortWithinPartitions("gram", *NAME, "start").mapInPandas(search, "thash long, tag int, start int, bytes int, near long, far long, open boolean"), "ranges")
+    single = seen.where("near IS NOT NULL")
+    # places of large buckets: a pair of identifiers met by two places repeats
+    place = F.struct(*NAME, "start")
+    pairs = single.groupBy("near", "far").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("near", "far")
+    late = single.where("open").join(pairs, ["near", "far"]).select(*NAME, "start", "bytes")
+    ranges = places.where(F.col("kind") == SETTLED).select(*NAME, "start", "bytes").unionByName(seen.where("near IS NULL").select(*NAME, "start", "bytes")).unionByName(late)
+    return ranges.groupBy(*NAME).agg(F.collect_list(F.col("start").cast("long") * F.lit(1 << 31) + F.col("bytes")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -275,9 +364,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     documents, and strings are judged on the input. Texts that occur twice (repeated
     rows too) repeat whole if they have 200 bytes. An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("thash", F.xxhash64("text"))
-    copies = rows.where(F.octet_length("text") >= SPAN).groupBy("thash").agg(F.count("*").alias("n")).where("n > 1")
-    found = staged(repeated_ranges(docs).join(copies, "thash", "full").select("thash", "ranges", F.col("n").isNotNull().alias("whole")), "repeats")
+    rows = with_name(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    copies = rows.where(F.octet_length("text") >= SPAN).groupBy(*NAME).agg(F.count("*").alias("n")).where("n > 1")
+    found = staged(repeated_ranges(docs).join(copies, NAME, "full").select(*NAME, "ranges", F.col("n").isNotNull().alias("whole")), "repeats")
 
     def strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -301,6 +390,6 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             done["doc_id"] = done["doc_id"].astype("Int64")
             yield done
 
-    joined = rows.join(found, "thash", "left").select("doc_id", "text", "ranges", "whole")
+    joined = rows.join(found, NAME, "left").select("doc_id", "text", "ranges", "whole")
     result = joined.mapInPandas(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return result if keep_text else result.drop("kept")

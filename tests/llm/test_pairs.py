@@ -150,11 +150,11 @@ def passage_texts(seed):
     return [*out, "ab" * 400, "ab" * 300 + "x" * 250, "é" * 260, "y" * 200, "z" * 201]
 
 
-@pytest.mark.parametrize("bucket,sort", [(4096, 200_000), (3, 4)])
+@pytest.mark.parametrize("bucket,sort,piece,batch", [(4096, 200_000, 1 << 20, 500_000), (3, 4, 1500, 40)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_repeated_strings(spark, monkeypatch, bucket, sort, seed):
-    monkeypatch.setattr(bucket_refine, "BUCKET_ROWS", bucket)
-    monkeypatch.setattr(bucket_refine, "SORT_ROWS", sort)
+def test_repeated_strings(spark, monkeypatch, bucket, sort, piece, batch, seed):
+    for name, value in {"BUCKET_ROWS": bucket, "SORT_ROWS": sort, "PIECE": piece, "BATCH_ROWS": batch}.items():
+        monkeypatch.setattr(bucket_refine, name, value)
     docs = make_docs(spark).select("doc_id", "text", "grp").unionByName(spark.createDataFrame([(200 + k, t, "g") for k, t in enumerate(passage_texts(seed))], "doc_id long, text string, grp string")).repartition(5)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # many small batches
     try:
