@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import rolling
 from docquarry.llm.rolling import RangeHash, mix, runs_of
-from docquarry.llm.shared import staged, text_of
+from docquarry.llm.shared import broadcast_if_small, staged, text_of
 
 SPAN = 200
 GRAM = 64
@@ -40,6 +40,8 @@ CHOICE = SPAN - GRAM + 1
 PICK = 16
 #: Rows of a bucket whose refinement one task finishes; the last step of larger ones is a shuffle.
 BUCKET_ROWS = 4096
+#: Large buckets (one number each) that are broadcast at most.
+BROADCAST_ROWS = 500_000
 #: Bytes of text that are hashed, and of stretches that are refined, at once.
 PIECE = 1 << 20
 #: Anchors of a task among which equal stretches are combined before the shuffle, and rows of one frame out.
@@ -292,26 +294,59 @@ def small_parts(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         lo = hi
 
 
+def places_of(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A row for each place of stretches of large buckets, with the identifiers of its two halves' buckets.
+
+    Places that repeat within the part are settled at once; one of them stands for all.
+    """
+    raw, half = part["raw"].tolist(), SPAN // 2
+    hashes = RangeHash(np.frombuffer(b"".join(raw), np.uint8))
+    size = np.array([len(r) for r in raw], np.int64)
+    n = size - SPAN + 1
+    row = np.repeat(np.arange(len(raw)), n)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    spot = (np.cumsum(size) - size)[row] + inner
+    ids = [hashes.of(spot + k, spot + k + half).view(np.int64) for k in (0, half)]
+    out = pd.DataFrame({c: part[c].to_numpy()[row] for c in ("gram", *NAME, "start", "kind")}).assign(raw=None, bytes=SPAN, near=ids[0], far=ids[1])
+    out["start"] += inner
+    twice = out.duplicated(["near", "far"], keep=False).to_numpy()
+    yield out[twice & (out["kind"] == OPEN)].assign(near=None, far=None)
+    out.loc[twice, "kind"] = WITNESS
+    yield out[~(twice & out.duplicated(["near", "far"]).to_numpy())]
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``thash, tag, ranges``: byte ranges (start * 2**31 + length, unsorted, maybe overlapping) covered by repeated strings of each text."""
     texts = with_name(docs.select("text")).where(F.octet_length("text") >= SPAN)
     places = staged(sort_buckets(anchor_rows(texts)), "places")
-    wanted = places.where(F.col("kind") != SETTLED).groupBy(*NAME).agg(F.collect_list(F.struct("gram", "start", "bytes", "kind")).alias("want"))
+    open_places = places.where(F.col("kind") != SETTLED)
+    # at most one row for each BUCKET_ROWS places
+    large = open_places.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).select("gram", F.lit(True).alias("large"))
+    marked = open_places.join(broadcast_if_small(large, BROADCAST_ROWS), "gram", "left")
+    wanted = marked.groupBy(*NAME).agg(F.collect_list(F.struct("gram", "start", "bytes", "kind", F.coalesce("large", F.lit(False)).alias("large"))).alias("want"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Stretches of small buckets, and the places of large ones."""
         columns = ["gram", *NAME, "start", "kind", "raw"]
         for frame in frames:
-            rows = []
+            rows: dict[bool, list[tuple]] = {False: [], True: []}
             for text, thash, tag, want in frame.drop_duplicates(NAME)[["text", *NAME, "want"]].itertuples(index=False):
                 raw = text.encode()
-                rows += [(w["gram"], thash, tag, w["start"], w["kind"], raw[w["start"] : w["start"] + w["bytes"]]) for w in want]
-                if len(rows) > OUT_ROWS // 4:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
+                for w in want:
+                    rows[w["large"]].append((w["gram"], thash, tag, w["start"], w["kind"], raw[w["start"] : w["start"] + w["bytes"]]))
+                if len(rows[False]) > OUT_ROWS // 4:
+                    yield pd.DataFrame(rows[False], columns=columns).assign(bytes=0, near=None, far=None)
+                    rows[False] = []
+                if len(rows[True]) > BUCKET_ROWS:
+                    yield from places_of(pd.DataFrame(rows[True], columns=columns))
+                    rows[True] = []
+            yield pd.DataFrame(rows[False], columns=columns).assign(bytes=0, near=None, far=None)
+            if rows[True]:
+                yield from places_of(pd.DataFrame(rows[True], columns=columns))
 
     # copies of a text give equal rows, which count once below
-    stretches = texts.join(wanted, NAME).mapInPandas(cut, "gram long, thash long, tag int, start int, kind int, raw binary")
+    schema = "gram long, thash long, tag int, start int, kind int, raw binary, bytes int, near long, far long"
+    stretches = staged(texts.join(wanted, NAME).mapInPandas(cut, schema), "stretches")
 
     def refined(part: pd.DataFrame) -> pd.DataFrame:
         """The repeated ranges of whole buckets."""
@@ -319,41 +354,23 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         for flags, thash, tag, start, kind in zip(refine(part["raw"].tolist(), part["gram"].to_numpy()), part["thash"], part["tag"], part["start"], part["kind"], strict=True):
             if kind == OPEN and flags.any():
                 found += [(thash, tag, a, b - a) for a, b in spans_of(flags, start)]
-        return pd.DataFrame(found, columns=[*NAME, "start", "bytes"]).assign(near=None, far=None, open=True)
-
-    def places_of(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """A row for each place of a part of a large bucket, with the identifiers of its two halves' buckets."""
-        raw, half = part["raw"].tolist(), SPAN // 2
-        hashes = RangeHash(np.frombuffer(b"".join(raw), np.uint8))
-        size = np.array([len(r) for r in raw], np.int64)
-        n = size - SPAN + 1
-        row = np.repeat(np.arange(len(raw)), n)
-        inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        spot = (np.cumsum(size) - size)[row] + inner
-        ids = [hashes.of(spot + k, spot + k + half).view(np.int64) for k in (0, half)]
-        out = pd.DataFrame({"thash": part["thash"].to_numpy()[row], "tag": part["tag"].to_numpy()[row], "start": part["start"].to_numpy()[row] + inner, "bytes": SPAN, "near": ids[0], "far": ids[1], "open": part["kind"].to_numpy()[row] == OPEN})
-        twice = out.duplicated(["near", "far"], keep=False).to_numpy()
-        yield out[twice & out["open"]].assign(near=None, far=None)
-        out["open"] &= ~twice
-        yield out[~(twice & out.duplicated(["near", "far"]).to_numpy())]
+        return pd.DataFrame(found, columns=[*NAME, "start", "bytes"])
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, large, _ in _held_runs(frames, ["gram", "thash"], BUCKET_ROWS):
-            part = part.drop_duplicates(["gram", *NAME, "start"])
-            if large:
-                for at in range(0, len(part), BUCKET_ROWS):
-                    yield from places_of(part.iloc[at : at + BUCKET_ROWS])
-            else:
-                for some in small_parts(part):
-                    yield refined(some)
-
-    seen = staged(stretches.repartition("gram").sortWithinPartitions("gram", *NAME, "start").mapInPandas(search, "thash long, tag int, start int, bytes int, near long, far long, open boolean"), "ranges")
-    single = seen.where("near IS NOT NULL")
+        for part, _, _ in _held_runs(frames, ["gram", "thash"], 1 << 62):
+            for some in small_parts(part.drop_duplicates(["gram", *NAME, "start"])):
+                yield refined(some)
+
+    small = stretches.where("raw IS NOT NULL").select("gram", *NAME, "start", "kind", "raw")
+    seen = small.repartition("gram").sortWithinPartitions("gram", *NAME, "start").mapInPandas(search, "thash long, tag int, start int, bytes int")
+    single = stretches.where("near IS NOT NULL")
     # places of large buckets: a pair of identifiers met by two places repeats
     place = F.struct(*NAME, "start")
     pairs = single.groupBy("near", "far").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("near", "far")
-    late = single.where("open").join(pairs, ["near", "far"]).select(*NAME, "start", "bytes")
-    ranges = places.where(F.col("kind") == SETTLED).select(*NAME, "start", "bytes").unionByName(seen.where("near IS NULL").select(*NAME, "start", "bytes")).unionByName(late)
+    late = single.where(F.col("kind") == OPEN).join(pairs, ["near", "far"])
+    columns = [*NAME, "start", "bytes"]
+    ranges = places.where(F.col("kind") == SETTLED).select(*columns).unionByName(seen).unionByName(late.select(*columns))
+    ranges = ranges.unionByName(stretches.where("raw IS NULL AND near IS NULL").select(*columns))
     return ranges.groupBy(*NAME).agg(F.collect_list(F.col("start").cast("long") * F.lit(1 << 31) + F.col("bytes")).alias("ranges"))
 
 
