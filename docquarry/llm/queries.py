@@ -14,7 +14,8 @@ from docquarry.llm.decontaminate import contained_items
 from docquarry.llm.dimension_scan import search_lists
 from docquarry.llm.line_crf import fit_quality, quality_result
 from docquarry.llm.line_edit import dedup_lines
-from docquarry.llm.token_prefix import prefix_token_counts
+from docquarry.llm.shared import staged
+from docquarry.llm.token_prefix import prefix_token_counts, token_totals
 from docquarry.llm.toxicity import fit_toxicity, toxicity_result
 from docquarry.llm.warc import archive_round_trip
 
@@ -61,8 +62,8 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = prefix_token_counts(_table(spark, sf_dir, "documents"), budget=2048, store=False)
-    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
+    tables = staged(prefix_token_counts(_table(spark, sf_dir, "documents"), budget=2048), "prefix-counts")
+    return token_totals(tables, budget=2048)
 
 
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

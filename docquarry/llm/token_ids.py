@@ -8,13 +8,21 @@ words that are not in it go through the library.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from itertools import chain
 
 import numpy as np
-
-#: Words kept by one worker; about 200 bytes each. A full table starts anew.
-WORDS_KEPT = 1_100_000
+import regex
+
+#: Words kept by one worker, some 150 bytes each besides what they hold themselves, and the bytes
+#: that they and their ids may hold. A full table starts anew.
+WORDS_KEPT, BYTES_KEPT = 1_100_000, 80_000_000
+#: Characters from which on a word is never kept.
+LONG = 256
+#: Characters encoded by one call within a long word.
+STEP = 65_536
 #: Words encoded by one call, held apart by MARK, which is one token where it stands alone.
 CALL_WORDS = 1000
 MARK = "\x01"
@@ -34,7 +42,15 @@ class WordEncoder:
         self.mark_id = mark[0] if len(mark) == 1 else None
         #: Strings that the library takes for special tokens only in their own case.
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        #: Bytes of each token: a token has a letter for each.
+        self.width = np.zeros(1 + max(spec["model"]["vocab"].values()), np.int64)
+        for token, i in spec["model"]["vocab"].items():
+            self.width[i] = len(token.removesuffix(suffix))
         self.table: dict[str, bytes] = {}
+        self.bytes_held = 0
 
     def _library(self, words: list[str]) -> list[bytes]:
         """The ids (little-endian 32 bits) of each word."""
@@ -51,6 +67,49 @@ class WordEncoder:
             out += [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         return out
 
+    def _very_long(self, word: str) -> bytes:
+        """The ids of a word of any length, STEP characters at a time: pieces of the tokenizer are
+        never encoded across, and a piece is cut where both sides agree on a token."""
+        if len(word) <= STEP or not unicodedata.is_normalized("NFC", word) or any(x in word.lower() for x in self.special):
+            return self._library([word])[0]
+        # letter by letter, as the tokenizer does
+        text = "".join("".join(map(str.lower, word[at : at + STEP])) for at in range(0, len(word), STEP))
+        out, begin = [], 0
+        for piece in self.pieces.finditer(text):
+            if piece.end() - begin > STEP:
+                if piece.start() > begin:
+                    out.append(self._library([text[begin : piece.start()]])[0])
+                begin = piece.start()
+            if piece.end() - begin > STEP:
+                out += self._cut_piece(piece.group())
+                begin = piece.end()
+        if begin < len(text):
+            out.append(self._library([text[begin:]])[0])
+        return b"".join(out)
+
+    def _cut_piece(self, piece: str) -> list[bytes]:
+        """Ids of a piece, in parts. Tokens before one that also begins the encoding of what
+        follows are those of the whole: neighbours decide whether tokens stand together."""
+        out, at, size = [], 0, STEP
+        while at + size < len(piece):
+            part = piece[at : at + size]
+            ids = np.frombuffer(self._library([part])[0], "<u4")
+            places = np.cumsum(self.width[ids]) - self.width[ids]  # in bytes
+            starts = np.cumsum([0, *(len(c.encode()) for c in part)])
+            for k in range(len(ids) - 64, 0, -64):
+                char = int(np.searchsorted(starts, places[k]))
+                if starts[char] != places[k]:
+                    continue
+                follows = np.frombuffer(self._library([piece[at + char : at + char + 256]])[0], "<u4")
+                if len(follows) > 64 and follows[0] == ids[k]:
+                    out.append(ids[:k].tobytes())
+                    at, size = at + char, STEP
+                    break
+            else:
+                size *= 2
+        out.append(self._library([piece[at:]])[0])
+        return out
+
     def _learn(self, words: set[str]) -> None:
         """Put unknown words into the table. A comma or stop after a word of
         letters is split off first, as the tokenizer does: fewer words are
@@ -62,9 +121,11 @@ class WordEncoder:
         asked = words.difference(w for w, _, _ in parts)
         asked.update(x for _, base, tail in parts for x in (base, tail))
         ask = [w for w in asked if w not in table]
-        table.update(zip(ask, self._library(ask), strict=True))
+        ids = self._library(ask)
+        table.update(zip(ask, ids, strict=True))
         for w, base, tail in parts:
             table[w] = table[base] + table[tail]
+        self.bytes_held += 2 * (sum(map(len, ask)) + sum(map(len, ids)))
 
     def words(self, text: str) -> list[str]:
         """Words between spaces and newlines. Latin-1 texts are put into lower case
@@ -82,14 +143,24 @@ class WordEncoder:
     def ids_by_word(self, texts: list[str]) -> list[list[bytes]]:
         """For each text the ids of its words, as bytes of 32-bit numbers."""
         split = [self.words(t) for t in texts]
-        if len(self.table) > WORDS_KEPT:
+        if len(self.table) > WORDS_KEPT or self.bytes_held > BYTES_KEPT:
             self.table.clear()
+            self.bytes_held = 0
         get = self.table.get
         new = {w for w in chain.from_iterable(split) if get(w) is None}
+        long = [w for w in new if len(w) >= LONG]
+        new.difference_update(long)
         if new:
             self._learn(new)
-        known = self.table.__getitem__
-        return [list(map(known, s)) for s in split]
+        if not long:
+            known = self.table.__getitem__
+            return [list(map(known, s)) for s in split]
+        passing = {w: self._very_long(w) for w in long}
+        return [[passing[w] if w in passing else self.table[w] for w in s] for s in split]
+
+    def counts(self, words: list[str]) -> list[int]:
+        """Tokens of each word; none of them is kept."""
+        return [len(x) // 4 for x in (self._library(words) if all(len(w) <= STEP for w in words) else map(self._very_long, words))]
 
 
 def encoder(path: str) -> WordEncoder:

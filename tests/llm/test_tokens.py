@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from docquarry.llm import token_ids
 from docquarry.llm.best_fit import best_fit_plan, pack_best_fit, token_pieces
 from docquarry.llm.token_ids import default_path, encoder
 from docquarry.llm.token_prefix import PrefixCounts, prefix_token_counts
@@ -29,6 +31,49 @@ def test_prefix_counts_match_the_library(library, text):
         assert table.fits(budget) == max(k for k in range(len(text) + 1) if every[k] <= budget)
 
 
+LONG_TEXTS = ["abcxyzthequickbrownfoxaaaaaaaaaa" * 9, "don're'll..'s'sale1a2B--__==//+AbC'", "A<|endoftext|>b<|startoftext|>C..<|endof", "straßeÀÉİıΣσ漢字仮名", "e\u0301a-\u1112\u1161\u11ab" * 4, "👍🏽👍😂😂😂😂😂😂x", "-=" * 40 + "ing" * 30]
+
+
+@pytest.mark.parametrize("text", [*TEXTS, *LONG_TEXTS, "one " + " two ".join(LONG_TEXTS)])
+def test_prefix_counts_inside_long_words(library, monkeypatch, text):
+    monkeypatch.setattr(token_ids, "LONG", 2)
+    table = PrefixCounts(encoder(default_path()), text)
+    every = table.every()
+    composed = unicodedata.is_normalized("NFC", text)
+    assert table.total == len(library.encode(text, add_special_tokens=False).ids) == every[-1]
+    for k in range(len(text) + 1):
+        if composed or not (k < len(text) and text[k] in "\u0301\u1161\u11ab"):
+            assert every[k] == len(library.encode(text[:k], add_special_tokens=False).ids)
+    for budget in range(0, table.total + 2, 1 + table.total // 20):
+        assert table.fits(budget) == max(k for k in range(len(text) + 1) if every[k] <= budget)
+
+
+def test_long_words_are_encoded_in_parts(library, monkeypatch):
+    monkeypatch.setattr(token_ids, "LONG", 2)
+    monkeypatch.setattr(token_ids, "STEP", 700)
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list(letters), n)) for n in (2500, 6000) for letters in ("abcdefghijklmnopqrstuvwxyzé", "aab", "漢字仮名交文", "-=+'/.", "aB3-'s", "😂👍")]
+    texts += [" ".join(texts), "ing" * 2000, "a" * 5000, "<|endoftext|>".join(texts)]
+    for text in texts:
+        got = b"".join(encoder(default_path()).ids_by_word([text])[0])
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_very_long_word_takes_bounded_work(library):
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", np.uint8)
+    blob = letters[rng.integers(0, 64, 300_000)].tobytes().decode()
+    runs = "".join(rng.choice(["the", "quick", "zx", "ingly"], 80_000))
+    for text in (blob, "so " + runs, "=" * 400_000):
+        enc = encoder(default_path())
+        held = len(enc.table)
+        table = PrefixCounts(enc, text)
+        k = table.fits(2048)
+        count = lambda n: len(library.encode(text[:n], add_special_tokens=False).ids)
+        assert count(k) <= 2048 and all(count(n) > 2048 for n in range(k + 1, k + 40))
+        assert len(enc.table) <= held + 2
+
+
 def test_prefix_operator(spark, library):
     docs = make_docs(spark)
     want = Counter((r.doc_id, len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
