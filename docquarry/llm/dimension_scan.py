@@ -1,12 +1,17 @@
 """Largest-inner-product search by an adaptive dimension scan of inverted lists.
 
 Every vector gets one more component that makes all lengths equal, so that the
-largest inner product is the least distance; a k-means model of a bounded
-sample deals the vectors into lists. A query probes its nearest lists. Within a
+largest inner product is the least distance; k-means on a bounded
+sample deals all vectors into lists, whose number grows with the root of the table's
+rows: each list is a coarse centroid plus one of the centroids of what is left after
+it. A query probes its nearest lists. Within a
 list the vectors lie rotated by a random orthogonal matrix and stored in blocks
 of columns: after each block, a hypothesis test on the partial distance
 abandons candidates that are very unlikely to beat the query's bound. Survivors
 are scored exactly, on the original vectors in double precision.
+
+The bound of a query comes from a few seed rows in the lists that it probes: its k-th
+best score among them. Those k rows are candidates found, like the survivors of the scan.
 """
 
 from __future__ import annotations
@@ -24,28 +29,50 @@ from docquarry.llm.shared import staged
 #: Columns added before each test; from the last on, the rest in steps of it.
 BLOCKS = (16, 16, 32, 64, 128)
 #: Strength of the test: a larger one abandons less and misses less.
-EPSILON = 1.5
+EPSILON = 2.1
 #: Share of pairs left from which on a block is computed for all pairs by one matrix product.
 DENSE = 0.05
-QUERY_ROWS = 4096
+#: Queries compared with a part of a list at once, and queries of a list beyond which the list is read by several tasks.
+QUERY_ROWS, LIST_QUERIES = 64, 1_000_000
+#: Coarse centroids, and centroids of what is left after them, at most.
+COARSE, FINE = 512, 512
+#: Rows that give the bounds: at most so many, and at most this share of the table.
+SEEDS, SEED_SHARE = 1024, 0.125
 
 
 @dataclass
 class ListModel:
     longest: float  # the largest length of a vector
-    centroids: np.ndarray  # [lists, dims + 1]
+    coarse: np.ndarray  # [lists, dims + 1]
+    fine: np.ndarray  # [lists of each, dims + 1]
     rotation: np.ndarray
     probes: int
-    sample_ids: np.ndarray
-    sample: np.ndarray
     k: int
+    seed_ids: np.ndarray
+    seeds: np.ndarray
+    seed_lists: np.ndarray
+    sizes: np.ndarray  # rows of each list
+
+    @property
+    def lists(self) -> int:
+        return len(self.coarse) * len(self.fine)
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.longest**2 - (x * x).sum(1), 0))
         return np.concatenate([x, rest[:, None]], axis=1)
 
     def near_lists(self, lifted: np.ndarray) -> np.ndarray:
-        return (self.centroids**2).sum(1)[None] - 2 * lifted @ self.centroids.T
+        """Squared distance to each list's centre, up to the same number for a row."""
+        one = (self.coarse**2).sum(1)[None] - 2 * lifted @ self.coarse.T
+        if len(self.fine) == 1:
+            return one
+        two = (self.fine**2).sum(1)[None] - 2 * lifted @ self.fine.T
+        return (one[:, :, None] + two[:, None, :] + 2 * (self.coarse @ self.fine.T)[None]).reshape(len(lifted), -1)
+
+    def list_of(self, x: np.ndarray) -> np.ndarray:
+        lifted, step = self.lift(x), max(1, (1 << 22) // self.lists)
+        parts = [self.near_lists(lifted[at : at + step]).argmin(1) for at in range(0, len(lifted), step)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def scan(columns: np.ndarray, qs: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,31 +131,45 @@ def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine).groupBy("vec_id").agg(F.max("v").alias("v"))
 
 
+def k_means(rows: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    centres = rows[rng.permutation(len(rows))[:n]].copy()
+    nearest = lambda: ((centres**2).sum(1)[None] - 2 * rows @ centres.T).argmin(1)
+    for _ in range(rounds):
+        at = nearest()
+        count = np.bincount(at, minlength=n)
+        for d in range(rows.shape[1]):
+            total = np.bincount(at, weights=rows[:, d], minlength=n)
+            centres[:, d] = np.where(count, total / np.maximum(count, 1), centres[:, d])
+    return centres
+
+
 def fit_lists(sample_ids: np.ndarray, sample: np.ndarray, n: int, longest: float, k: int, lists: int | None, target: float, seed: int = 11) -> ListModel:
     """k-means on the sample; probes are set so that ``target`` of the true neighbours
     of sample queries (found by brute force within the sample) lie in probed lists."""
     rng = np.random.default_rng(seed)
-    lists = lists or int(np.clip(round(np.sqrt(n) / 2), 1, 2048))
-    lists = max(1, min(lists, len(sample) // 16))
+    lists = lists or max(1, round(np.sqrt(n) / 2))
+    most = max(1, len(sample) // 16)
+    coarse = min(lists, most, COARSE)
+    fine = min(-(-lists // coarse), most, FINE)
     dims = sample.shape[1] + 1
-    model = ListModel(longest, np.zeros((1, dims)), np.linalg.qr(rng.normal(size=(dims, dims)))[0], 1, sample_ids, sample, k)
+    seeds = rng.permutation(len(sample))[: max(k + 1, min(SEEDS, int(n * SEED_SHARE)))]
+    none = np.zeros((1, dims))
+    model = ListModel(longest, none, none, np.linalg.qr(rng.normal(size=(dims, dims)))[0], 1, k, sample_ids[seeds], sample[seeds], none, none)
     lifted = model.lift(sample)
-    model.centroids = lifted[rng.permutation(len(lifted))[:lists]].copy()
-    for _ in range(8):
-        at = model.near_lists(lifted).argmin(1)
-        count = np.bincount(at, minlength=lists)
-        for d in range(dims):
-            total = np.bincount(at, weights=lifted[:, d], minlength=lists)
-            model.centroids[:, d] = np.where(count, total / np.maximum(count, 1), model.centroids[:, d])
-    at = model.near_lists(lifted).argmin(1)
+    model.coarse = k_means(lifted, coarse, rng)
+    if fine > 1:
+        model.fine = k_means(lifted - model.coarse[model.list_of(sample)], fine, rng)
+    at = model.list_of(sample)
+    model.seed_lists = at[seeds]
     tried = rng.permutation(len(sample))[:200]
-    asked = np.concatenate([sample[tried], np.zeros((len(tried), 1))], 1)
-    order = np.argsort(np.argsort(model.near_lists(asked), axis=1), axis=1)
     found = sample[tried] @ sample.T
     found[np.arange(len(tried)), tried] = -np.inf
     top = np.argsort(-found, axis=1)[:, : min(k, len(sample) - 1)]
-    ranks = np.take_along_axis(order, at[top], axis=1)
-    model.probes = min(lists, int(np.quantile(ranks, target)) + 1) if ranks.size else lists
+    ranks = []
+    for q, near in zip(tried.tolist(), top, strict=True):
+        gaps = model.near_lists(np.append(sample[q], 0)[None])[0]
+        ranks.append((gaps[None] < gaps[at[near]][:, None]).sum(1))
+    model.probes = min(model.lists, int(np.quantile(ranks, target)) + 1) if top.size else model.lists
     return model
 
 
@@ -139,16 +180,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def search_lists(vectors: DataFrame, query_filter, k: int = 20, sample_rows: int = 8192, lists: int | None = None, target: float = 0.96, list_rows: int = 4096) -> DataFrame:
+def search_lists(vectors: DataFrame, query_filter, k: int = 20, sample_rows: int = 8192, lists: int | None = None, target: float = 0.97, list_rows: int = 32_768, with_seeds: bool = True) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``vectors`` that ``query_filter`` (a Column) picks.
 
-    The model is fitted on at most ``sample_rows`` rows; every row is indexed or
-    is in the sample, which each query scores whole (that also gives the bound to
-    start from, and at least k results where there are so many rows). Of equal
+    The model is fitted on at most ``sample_rows`` rows; every row is indexed, those of the sample too. A query
+    probes more lists than the model says where those hold too few rows for k results. Of equal
     vectors only the k + 1 smallest ids can be among any k nearest, so a
     vector that many rows share does not swell its list. Lists beyond ``list_rows``
-    are split. Rows whose length is not the most frequent one take no part. Empty tables give
-    empty results.
+    are split; a part is held once while the queries that probe it stream past, and read
+    by several tasks only where LIST_QUERIES of them do. Ties go to the smaller id. Rows whose
+    length is not the most frequent one take no part, nor do those that ``valid_vectors`` leaves out. Empty tables give
+    empty results. ``with_seeds=False`` leaves out the rows that gave the bound, to measure the scan alone.
     """
     spark = vectors.sparkSession
     found = staged(valid_vectors(vectors), "vectors")
@@ -161,78 +203,95 @@ def search_lists(vectors: DataFrame, query_filter, k: int = 20, sample_rows: int
     distinct = found.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1).select("vec_id", "v")
     rows = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()  # bounded by sample_rows
     model = fit_lists(rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"]), n, longest, k, lists, target)
-    shared = spark.sparkContext.broadcast(model)  # bounded: sample_rows and 2048 centroids of `dims` numbers
+    shared = spark.sparkContext.broadcast(model)  # bounded: SEEDS rows and COARSE + FINE centroids of `dims` numbers
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        known = set(own.sample_ids.tolist())
         for frame in frames:
-            frame = frame[~frame["vec_id"].isin(known)]
             if len(frame):
-                yield frame.assign(list=own.near_lists(own.lift(_matrix(frame["v"]))).argmin(1).astype("int32"))
+                yield frame.assign(list=shared.value.list_of(_matrix(frame["v"])).astype(np.int32))
 
     dealt = staged(distinct.mapInPandas(assign, "vec_id long, v array<double>, list int"), "lists")
-    filled = {int(r["list"]): int(r["n"]) for r in dealt.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row per list
-    parts = {key: -(-size // list_rows) for key, size in filled.items()}
+    model.sizes = np.zeros(model.lists, np.int64)
+    for r in dealt.groupBy("list").agg(F.count("*").alias("n")).collect():  # one row per list, COARSE * FINE at most
+        model.sizes[r["list"]] = r["n"]
+    filled = spark.sparkContext.broadcast(model)
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sample hits (list -1), and a row for each list part to scan."""
-        own = shared.value
+        """Seed hits (list -1), and a row for each list to scan."""
+        own = filled.value
+        empty = np.where(own.sizes > 0, 0, np.inf)
+        step = max(1, min(128, (1 << 22) // own.lists))
         for frame in frames:
-            if not len(frame):
-                continue
-            out = []
-            for at in range(0, len(frame), 128):
-                qs, ids = _matrix(frame["v"].iloc[at : at + 128]), frame["vec_id"].to_numpy()[at : at + 128]
-                near = np.argsort(own.near_lists(np.concatenate([qs, np.zeros((len(qs), 1))], 1)), axis=1, kind="stable")[:, : own.probes]
-                rough = qs @ own.sample.T
-                rough[ids[:, None] == own.sample_ids[None]] = -np.inf
-                keep = min(k, rough.shape[1])
-                cut = np.partition(rough, rough.shape[1] - keep, axis=1)[:, rough.shape[1] - keep]
-                q_at, r_at = np.nonzero((rough >= cut[:, None] - 1e-9 * (1 + own.longest**2)) & (rough > -np.inf))
-                score = pair_scores(qs, own.sample, q_at, r_at)
-                top = best_of_each(q_at, score, own.sample_ids[r_at], k)
+            for at in range(0, len(frame), step):
+                qs, ids = _matrix(frame["v"].iloc[at : at + step]), frame["vec_id"].to_numpy()[at : at + step]
+                gaps = own.near_lists(np.concatenate([qs, np.zeros((len(qs), 1))], 1)) + empty
+                order = np.argsort(gaps, axis=1, kind="stable")
+                enough = (np.cumsum(own.sizes[order], axis=1) <= k).sum(1) + 1
+                probed = np.arange(own.lists)[None] < np.maximum(own.probes, enough)[:, None]
+                probed &= np.take_along_axis(np.isfinite(gaps), order, 1)
+                chosen = np.zeros_like(probed)
+                np.put_along_axis(chosen, order, probed, axis=1)
+                score = np.where(chosen[:, own.seed_lists] & (ids[:, None] != own.seed_ids[None]), qs @ own.seeds.T, -np.inf)
                 bound = np.full(len(qs), -np.inf)
-                full = np.bincount(q_at[top], minlength=len(qs)) >= k
-                np.minimum.at(low := np.full(len(qs), np.inf), q_at[top], score[top])
-                bound[full] = low[full]
-                out += [(i, -1, 0, None, 0.0, v, w) for i, v, w in zip(ids[q_at[top]].tolist(), own.sample_ids[r_at[top]].tolist(), score[top].tolist(), strict=True)]
-                out += [(i, m, part, q, w, None, None) for i, q, w, lists_of in zip(ids.tolist(), qs, bound.tolist(), near.tolist(), strict=True) for m in lists_of for part in range(parts.get(m, 0))]
-            yield pd.DataFrame(out, columns=["query_id", "list", "part", "q", "bound", "vec_id", "score"]).astype({"vec_id": "Int64"})
+                if score.shape[1] >= k:
+                    cut = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                    q_at, r_at = np.nonzero((score >= cut[:, None] - 1e-9 * (1 + own.longest**2)) & np.isfinite(score) & np.isfinite(cut)[:, None])
+                    exact = pair_scores(qs, own.seeds, q_at, r_at)
+                    top = best_of_each(q_at, exact, own.seed_ids[r_at], k)
+                    bound[np.isfinite(cut)] = np.inf
+                    np.minimum.at(bound, q_at[top], exact[top])
+                    yield pd.DataFrame({"query_id": ids[q_at[top]], "list": -1, "q": None, "bound": None, "vec_id": own.seed_ids[r_at[top]], "score": exact[top]})
+                q_at, list_at = np.nonzero(chosen)
+                yield pd.DataFrame({"query_id": ids[q_at], "list": list_at.astype(np.int32), "q": [qs[i] for i in q_at], "bound": bound[q_at], "vec_id": pd.array([None] * len(q_at), "Int64"), "score": None})
 
     queries = found.where(query_filter)
-    probed = staged(queries.mapInPandas(probe, "query_id long, list int, part int, q array<double>, bound double, vec_id long, score double"), "probes")
-    first = probed.where("list = -1").select("query_id", "vec_id", "score")
+    probed = staged(queries.mapInPandas(probe, "query_id long, list int, q array<double>, bound double, vec_id long, score double"), "probes")
 
-    def scan_part(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        own = shared.value
-        x, ids = _matrix(held["v"]), held["vec_id"].to_numpy()
-        columns = np.ascontiguousarray((own.lift(x) @ own.rotation).T)
-        out = []
-        for at in range(0, len(asked), 256):
-            some = asked.iloc[at : at + 256]
-            qs, query, bound = _matrix(some["q"]), some["query_id"].to_numpy(), some["bound"].to_numpy()
-            turned = np.concatenate([qs, np.zeros((len(qs), 1))], 1) @ own.rotation
-            q_at, r_at = scan(columns, turned, own.longest**2 + (qs * qs).sum(1) - 2 * bound)
-            fine = query[q_at] != ids[r_at]
-            q_at, r_at = q_at[fine], r_at[fine]
-            score = pair_scores(qs, x, q_at, r_at)
-            fine = score >= bound[q_at]
-            q_at, r_at, score = q_at[fine], r_at[fine], score[fine]
-            top = best_of_each(q_at, score, ids[r_at], k)
-            out.append(pd.DataFrame({"query_id": query[q_at[top]], "vec_id": ids[r_at[top]], "score": score[top]}))
-        return pd.concat(out)
-
-    part_of = F.lit(1)
-    if parts:
-        table = F.create_map(*[F.lit(x) for kv in sorted(parts.items()) for x in kv])
-        part_of = F.coalesce(table[F.col("list")], F.lit(1))
-    left = probed.where("list >= 0").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(max(1, n // 20 // QUERY_ROWS))).cast("int"))
-    turns = max(1, n // 20 // QUERY_ROWS)
-    right = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), part_of).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    scanned = left.groupBy("list", "part", "turn").cogroup(right.groupBy("list", "part", "turn")).applyInPandas(scan_part, HITS)
+    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted so that the rows of a list part come before the queries that probe it."""
+        own = filled.value
+        key, held, columns, x, ids, seed = None, [], None, None, None, None
+        for frame in frames:
+            here = frame["list"].to_numpy() * np.int64(1 << 40) + frame["part"].to_numpy() * np.int64(1 << 20) + frame["turn"].to_numpy()
+            kind = frame["bound"].notna().to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], (here[1:] != here[:-1]) | (kind[1:] != kind[:-1]), [True])))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                some = frame.iloc[lo:hi]
+                if here[lo] != key:
+                    key, held, columns = here[lo], [], None
+                if not kind[lo]:
+                    held.append((_matrix(some["v"]), some["id"].to_numpy()))
+                    continue
+                if not held:
+                    continue
+                if columns is None:
+                    x, ids = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    columns, seed = np.ascontiguousarray((own.lift(x) @ own.rotation).T), np.isin(ids, own.seed_ids)
+                for at in range(0, len(some), QUERY_ROWS):
+                    asked = some.iloc[at : at + QUERY_ROWS]
+                    qs, query, bound = _matrix(asked["v"]), asked["id"].to_numpy(), asked["bound"].to_numpy()
+                    turned = np.concatenate([qs, np.zeros((len(qs), 1))], 1) @ own.rotation
+                    q_at, r_at = scan(columns, turned, own.longest**2 + (qs * qs).sum(1) - 2 * bound)
+                    # the seeds of a bound are hits already, and other seeds do not reach it
+                    fine = (query[q_at] != ids[r_at]) & ~(seed[r_at] & np.isfinite(bound[q_at]))
+                    q_at, r_at = q_at[fine], r_at[fine]
+                    score = pair_scores(qs, x, q_at, r_at)
+                    fine = score >= bound[q_at]
+                    q_at, r_at, score = q_at[fine], r_at[fine], score[fine]
+                    top = best_of_each(q_at, score, ids[r_at], k)
+                    yield pd.DataFrame({"query_id": query[q_at[top]], "vec_id": ids[r_at[top]], "score": score[top]})
+
+    asked = probed.where("list >= 0")
+    # a row for each list, as many as the model has at most
+    plan = dealt.groupBy("list").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("parts")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / LIST_QUERIES).cast("int").alias("turns")), "list")
+    plan = F.broadcast(staged(plan, "list-plan"))
+    held = dealt.join(plan, "list").select("list", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(None).cast("double").alias("bound"), F.col("vec_id").alias("id"), "v")
+    asked = asked.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), "turns").cast("int").alias("turn"), "bound", F.col("query_id").alias("id"), F.col("q").alias("v"))
+    rows = held.unionByName(asked).repartition("list", "part", "turn").sortWithinPartitions("list", "part", "turn", F.asc_nulls_first("bound"))
+    hits = rows.mapInPandas(stream, HITS)
+    first = probed.where("list = -1").select("query_id", "vec_id", "score")
+    if with_seeds:
+        hits = hits.unionByName(first)
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    hits = first.unionByName(scanned).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

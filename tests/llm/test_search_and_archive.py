@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm import warc
-from docquarry.llm.dimension_scan import search_lists
+from docquarry.llm.dimension_scan import scan, search_lists
 from docquarry.llm.shared import new_folder
 
 VECTORS = "vec_id long, embedding array<double>, list int, score string"
@@ -19,14 +19,14 @@ def vectors(seed, n=3000, dims=16):
     return x
 
 
-@pytest.mark.parametrize("rows", [8192, 256])
-def test_recall_and_scores(spark, rows):
+@pytest.mark.parametrize("rows,lists", [(8192, None), (256, None), (8192, 900)])
+def test_recall_and_scores(spark, rows, lists):
     x = vectors(1)
     data = [(i, [float(c) for c in v], 1, "s") for i, v in enumerate(x)]
     data += [(9001, None, 1, "s"), (9020, [0.0] * 16, 1, "s"), (9040, [1.0] * 15 + [None], 1, "s"), (9060, [float("nan")] * 16, 1, "s"), (9080, [1.0] * 3, 1, "s"), (None, [1.0] * 16, 1, "s"), (40, data[40][1], 2, "again")]
     table = spark.createDataFrame(data, VECTORS).repartition(4)
     got = {}
-    for r in search_lists(table, F.col("vec_id") % 20 == 0, k=20, sample_rows=rows, list_rows=100).collect():
+    for r in search_lists(table, F.col("vec_id") % 20 == 0, k=20, sample_rows=rows, list_rows=100, lists=lists).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert set(got) == set(range(0, len(x), 20))
     hit = 0
@@ -43,6 +43,39 @@ def test_recall_and_scores(spark, rows):
     assert copies == [v for v in range(100, 121) if v != 120][: len(copies)]  # ties to the smaller id
 
 
+def test_recall_of_the_scan_alone(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(0, 40, 6000)] + 0.6 * rng.normal(size=(6000, 64))
+    table = spark.createDataFrame([(i, v.tolist(), 1, "s") for i, v in enumerate(x)], VECTORS).repartition(4)
+    got, want = {}, {}
+    rows = search_lists(table, F.col("vec_id") % 20 == 0, with_seeds=False).collect()
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    everything = {(r.query_id, r.vec_id) for r in search_lists(table, F.col("vec_id") % 20 == 0).collect()}
+    seeds = everything - {(q, v) for q, found in got.items() for v in found}
+    seeds = {v for _, v in seeds if not any(v in found for found in got.values())}
+    assert 0 < len(seeds) <= 750 and len(got) == 300
+    hit = total = 0
+    for q in range(0, 6000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        want = set(np.argsort(-score)[:20].tolist()) - seeds
+        hit, total = hit + len(want & got[q]), total + len(want)
+    assert hit / total >= 0.93
+
+
+def test_scan_abandons_without_missing_much():
+    rng = np.random.default_rng(2)
+    rotation = np.linalg.qr(rng.normal(size=(96, 96)))[0]
+    x, qs = rng.normal(size=(2000, 96)) * np.geomspace(4, 0.1, 96), rng.normal(size=(30, 96)) * np.geomspace(4, 0.1, 96)
+    gaps = ((qs[:, None] - x[None]) ** 2).sum(2)
+    bounds = np.sort(gaps, axis=1)[:, 20]
+    q_at, r_at = scan(np.ascontiguousarray((x @ rotation).T), qs @ rotation, bounds)
+    got, want = set(zip(q_at.tolist(), r_at.tolist())), set(zip(*(a.tolist() for a in np.nonzero(gaps <= bounds[:, None]))))
+    assert got <= want | set(zip(*(a.tolist() for a in np.nonzero(gaps <= bounds[:, None] * (1 + 1e-6) + 1e-6)))) and len(got & want) >= 0.95 * len(want)
+
+
 def test_small_and_empty_vectors(spark):
     table = spark.createDataFrame([(i, [1.0, float(i)], 1, "s") for i in range(5)], VECTORS)
     rows = search_lists(table, F.col("vec_id") % 20 == 0).collect()
