@@ -37,7 +37,7 @@ QUERY_ROWS, LIST_QUERIES = 64, 1_000_000
 #: Coarse centroids, and centroids of what is left after them, at most.
 COARSE, FINE = 512, 512
 #: Rows that give the bounds: at most so many, and at most this share of the table.
-SEEDS, SEED_SHARE = 1024, 0.125
+SEEDS, SEED_SHARE = 8192, 0.125
 
 
 @dataclass
