@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.components import connected_components
 from docquarry.llm.rolling import RangeHash, mix, runs_of
-from docquarry.llm.shared import staged, text_of
+from docquarry.llm.shared import join_hot, staged, text_of
 from docquarry.llm.shingles import WORDS, clean_text
 
 COORDS = 128
@@ -42,6 +42,8 @@ BROADCAST_TEXTS = 300_000
 #: Shingles of one block in verification; larger groups are verified by pairs of blocks.
 BLOCK_SHINGLES = 500_000
 BLOCK_TEXTS = 1024
+#: Copies from which on a text's facts are broadcast, if that is true of at most HOT_KEYS texts.
+HOT_COPIES, HOT_KEYS = 200, 200_000
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,7 +85,7 @@ def minhash(tokens: np.ndarray) -> np.ndarray:
 
 def chosen(path: np.ndarray, level: int, child: int) -> np.ndarray:
     """The coordinates sampled for a child of each node (path) of the tree: [nodes, TAKE], different ones."""
-    h = mix(path + np.uint64(level * SPLIT + child + 1) * np.uint64(0x9E3779B97F4A7C15))
+    h = mix(path + np.array([level * SPLIT + child + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     one = (h >> np.uint64(8)) % np.uint64(COORDS)
     two = (one + np.uint64(1) + (h >> np.uint64(36)) % np.uint64(COORDS - 1)) % np.uint64(COORDS)
     return np.stack([one, two], 1).astype(np.int64)
@@ -164,7 +166,7 @@ def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[far], names[roots[far]]
 
 
-def candidate_links(sketches: DataFrame, levels: int = 16) -> DataFrame:
+def candidate_links(sketches: DataFrame) -> DataFrame:
     """``a, b``: links that tie together all texts that may be similar.
 
     ``sketches`` has node, sig and paths (the buckets of the first split).
@@ -198,7 +200,7 @@ def candidate_links(sketches: DataFrame, levels: int = 16) -> DataFrame:
 
         return split
 
-    while True:
+    while True:  # it ends: every split takes each bucket's pivot and all that is like it away
         sizes = live.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
         known = staged(live.join(sizes, "path"), f"buckets-{level}")
         small = known.where(F.col("n") <= SMALL).select("path", "node")
@@ -207,8 +209,6 @@ def candidate_links(sketches: DataFrame, levels: int = 16) -> DataFrame:
         large = known.where(F.col("n") > SMALL)
         if not large.limit(1).count():
             return found
-        if level > levels:
-            raise RuntimeError(f"buckets of over {SMALL} texts are left after {levels} splits")
         pivots = large.select("pivot").distinct().join(sig.withColumnRenamed("node", "pivot"), "pivot").withColumnRenamed("sig", "pivot_sig")
         # a text often meets the same pivot in several buckets: they are compared once
         met = large.groupBy("pivot", "node").agg(F.collect_list("path").alias("paths"))
@@ -348,13 +348,16 @@ def similar_classes(docs: DataFrame, num: int = 4, den: int = 5, miss: float = 1
     wanted = named.select("digest")
     if wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
         wanted = F.broadcast(wanted)
-    texts = with_digest.join(wanted, "digest", "left_semi").join(named, "digest").select("node", "grp", "clean", "copies", "size", "digest").dropDuplicates(["digest"]).drop("digest")
+    # copies of a text are put together before the shuffle
+    once = with_digest.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("clean").alias("clean"))
+    texts = once.join(named, "digest").select("node", "grp", "clean", "copies", "size")
     checked = staged(verify(texts, num, den), "verified")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(block_ties(checked))
     least = classes.join(named.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("class_id"))
     by_digest = named.select("node", "digest").join(links, "node").join(classes, "node", "left").join(least, "root", "left").select("digest", "links", "class_id", F.col("root").isNotNull().alias("tied"))
-    joined = members.join(copies, "digest").join(by_digest, "digest", "left")
+    facts = copies.join(by_digest, "digest", "left").select("digest", F.struct("copies", "first", "links", "class_id", "tied").alias("fact"))
+    joined = join_hot(members, facts, ["digest"], F.col("fact.copies") > HOT_COPIES, HOT_KEYS).select("doc_id", "digest", "fact.*")
     return joined.select("doc_id", F.when(F.coalesce(F.col("tied"), F.lit(False)), F.col("class_id")).otherwise(F.col("first")).alias("class_id"), (F.coalesce(F.col("links"), F.lit(0)) + F.col("copies") - 1).alias("n_links"), "digest")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.shared import staged
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node with an edge (columns a, b); root is the least node of its component.
 
     Each round is two joins on keyed aggregates and is written to the shared folder; nothing
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     last = state(now)
-    for _ in range(rounds):
+    while True:  # the stars settle after a number of rounds that is a power of the logarithm of the nodes
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # every larger neighbour is tied to the least of the neighbourhood
@@ -31,6 +31,4 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if mark == last:
             break
         last = mark
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

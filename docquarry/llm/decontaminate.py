@@ -51,9 +51,12 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8) -> Da
     texts matches by any of them (the largest containment). Empty tables give
     no rows. Other columns are not read.
     """
+    return _contained(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), items, share)
+
+
+def _contained(rows: DataFrame, items: DataFrame, share: float) -> DataFrame:
     sets = item_sets(items)
     signatures = item_signatures(sets, share)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     hashed = rows.select(F.xxhash64("text").alias("key"), word_list(F.col("text")).alias("words"))
     probes = hashed.select("key", F.explode(shingle_hashes(F.col("words"), shingle_places(F.col("words")))).alias("hash"))
     candidates = probes.join(_maybe_broadcast(signatures), "hash").groupBy("key").agg(F.collect_set("item_id").alias("items"))
@@ -68,9 +71,9 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8) -> Da
 
 
 def contaminated_texts(docs: DataFrame, items: DataFrame, share: float = 0.8) -> DataFrame:
-    """``key`` (xxhash64 of the text) and exact text hash of documents that hold an item."""
-    with_key = docs.select(F.xxhash64(text_of()).alias("doc_id"), text_of().alias("text"))
-    return contained_items(with_key, items, share).select(F.col("doc_id").alias("key")).dropDuplicates()
+    """``digest`` (MD5 of the text, null as empty) of documents that hold an item."""
+    rows = docs.select(F.md5(text_of()).alias("doc_id"), text_of().alias("text"))
+    return _contained(rows, items, share).select(F.col("doc_id").alias("digest")).dropDuplicates()
 
 
 ORACLE = r"""

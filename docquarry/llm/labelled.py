@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from docquarry.llm.shared import held_out, text_of
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, max_chars: int = 60_000) -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> pd.DataFrame:
     """At most ``limit`` rows (text, lang, y), half of each class where there are enough.
 
     Rows held out (crc32 of the id, modulo 4, is 2) are never taken. Within a
-    class, rows are taken in the order of a hash of the id. Texts longer than
-    ``max_chars`` are left out of training (never out of scoring), so the sample
-    takes bounded memory. ``weight`` restores the share of each class among
+    class, rows are taken in the order of a hash of the id, with whole texts. Of rows that
+    share an id, the least text and the greatest label count. ``weight`` restores the share of each class among
     all labelled rows. Null ids, texts and labels take no part.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -26,9 +25,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit // 2)
         picked = some if picked is None else picked.unionByName(some)
     has_lang = "lang" in docs.columns
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), (F.col("lang").cast("string") if has_lang else F.lit(None).cast("string")).alias("lang")).where(F.length("text") <= max_chars)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), (F.col("lang").cast("string") if has_lang else F.lit(None).cast("string")).alias("lang"))
     # broadcast: at most `limit` rows of two numbers
-    rows = texts.join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", "lang", "y").dropDuplicates(["doc_id"]).toPandas()
+    picked = picked.groupBy("doc_id").agg(F.max("y").alias("y"))
+    least = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("row"))
+    rows = least.select("doc_id", "row.text", "row.lang", "y").toPandas()
     rows = rows.sort_values("doc_id", kind="stable").reset_index(drop=True)
     total = max(1, sum(share.values()))
     got = rows["y"].value_counts().to_dict()

@@ -23,13 +23,15 @@ from docquarry.llm.chosen_path import contracted, whole_runs
 from docquarry.llm.components import connected_components
 from docquarry.llm.edit_distance import within
 from docquarry.llm.rolling import RangeHash, mix, runs_of
-from docquarry.llm.shared import broadcast_if_small, staged, text_of
+from docquarry.llm.shared import broadcast_if_small, join_hot, staged, text_of
 from docquarry.llm.shingles import WORDS
 
 #: Rows of one key that are paired in one task; larger keys are cut into blocks, paired block by block.
 KEY_ROWS = 2000
 #: Rows of fixed width that are broadcast at most, and line numbers in all of them.
 BROADCAST_ROWS = 500_000
+#: Occurrences from which on a line counts as hot, and hot lines that are broadcast at most.
+HOT_LINES, HOT_KEYS = 500, 200_000
 #: Least shingle hashes that stand for a text, and the share of a text that lines must make up before it is compared.
 SKETCH, LINE_SHARE = 512, 0.05
 
@@ -89,11 +91,11 @@ def parities(lines: list[bytes]) -> np.ndarray:
 
 def line_table(docs: DataFrame, min_bytes: int) -> DataFrame:
     """A row for each line of each text: ``doc_id``, ``thash`` (hash of the text), ``bytes`` (of the text), ``line_no``,
-    ``lid`` (hash of the trimmed line, null if under ``min_bytes``) and ``size`` (its bytes)."""
+    ``lid`` and ``tag`` (two hashes of the trimmed line, null if under ``min_bytes``) and ``size`` (its bytes)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.when(F.octet_length(F.trim(x)) >= min_bytes, F.xxhash64(F.trim(x))).alias("lid"), F.octet_length(F.trim(x)).alias("size")))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.when(F.octet_length(F.trim(x)) >= min_bytes, F.xxhash64(F.trim(x))).alias("lid"), F.when(F.octet_length(F.trim(x)) >= min_bytes, F.hash(F.trim(x))).alias("tag"), F.octet_length(F.trim(x)).alias("size")))
     whole = rows.select("doc_id", F.xxhash64("text").alias("thash"), F.octet_length("text").alias("bytes"), lines.alias("h"))
-    return whole.select("doc_id", "thash", "bytes", F.posexplode("h").alias("line_no", "x")).select("doc_id", "thash", "bytes", "line_no", "x.lid", "x.size")
+    return whole.select("doc_id", "thash", "bytes", F.posexplode("h").alias("line_no", "x")).select("doc_id", "thash", "bytes", "line_no", "x.lid", "x.tag", "x.size")
 
 
 def _pairs(key: np.ndarray, lid: np.ndarray, parity: np.ndarray, indexed: np.ndarray, block: np.ndarray | None, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -282,8 +284,9 @@ def copied_texts(docs: DataFrame, pairs: DataFrame, alike: float) -> DataFrame:
     return both.select("thash", "other", "sketch", "other_sketch").mapInPandas(compare, "thash long, other long")
 
 
-def dedup_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20, alike: float = 0.5) -> DataFrame:
-    """All columns of ``docs`` (text replaced) with ``n_lines``, ``n_repeated``, ``n_similar`` and ``n_removed``.
+def dedup_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20, alike: float = 0.5, counts: bool = True) -> DataFrame:
+    """All columns of ``docs`` (text replaced) with ``n_lines``, ``n_repeated``, ``n_similar`` and ``n_removed``
+    (which replace columns of those names; without ``counts`` nothing is added or replaced but the text).
 
     Lines of one class (equal, or tied by edits) are occurrences of one line.
     Removed are later occurrences within a text, and occurrences after the
@@ -295,15 +298,16 @@ def dedup_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20, alike: float
     the two have at least ``alike`` of their word shingles in common.
 
     Lines under ``min_bytes`` bytes and empty lines stay. A null text is an empty one, with one line. Rows
-    equal in id and text are treated alike. Columns of the new names are replaced.
+    equal in id and text are treated alike. Exact repeats are told by 96 bits of two hashes. An empty table gives no rows.
     """
     lines = staged(line_table(docs, min_bytes), "lines")
     similar = staged(similar_lines(docs, tau, min_bytes), "line-classes")
     held = lines.where("lid IS NOT NULL")
-    named = held.join(broadcast_if_small(similar.select("lid", "root", "links"), BROADCAST_ROWS), "lid", "left").withColumn("cls", F.coalesce("root", "lid"))
-    counts = named.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "line_no", "bytes")).alias("first")).where("n > 1").select("cls", "first")
-    marked = named.join(counts, "cls", "left")
-    in_text = staged(marked.groupBy("doc_id", "thash", "cls").agg(F.min("line_no").alias("line_no"), F.max("links").alias("links"), F.collect_set("line_no").alias("all"), F.first("first").alias("first"), F.sum("size").alias("size"), F.first("bytes").alias("bytes")), "lines-in-texts")
+    named = held.join(broadcast_if_small(similar.select("lid", "root", "links"), BROADCAST_ROWS), "lid", "left").withColumns({"cls": F.coalesce("root", "lid"), "tag": F.when(F.col("root").isNull(), F.col("tag")).otherwise(0)})
+    many = named.groupBy("cls", "tag").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "line_no", "bytes")).alias("first")).where("n > 1")
+    facts = many.select("cls", "tag", F.struct("n", "first").alias("fact"))
+    marked = join_hot(named, facts, ["cls", "tag"], F.col("fact.n") > HOT_LINES, HOT_KEYS).withColumn("first", F.col("fact.first"))
+    in_text = staged(marked.groupBy("doc_id", "thash", "cls", "tag").agg(F.min("line_no").alias("line_no"), F.max("links").alias("links"), F.collect_set("line_no").alias("all"), F.first("first").alias("first"), F.sum("size").alias("size"), F.first("bytes").alias("bytes")), "lines-in-texts")
     shared = in_text.where("thash <> first.thash").groupBy("doc_id", "thash", F.col("first.thash").alias("other")).agg(F.sum("size").alias("shared"), F.greatest(F.max("bytes"), F.max("first.bytes")).alias("larger"))
     pairs = staged(shared.where(F.col("shared") >= F.lit(LINE_SHARE) * F.col("larger")).select("thash", "other").distinct(), "text-pairs")
     copied = staged(copied_texts(docs, pairs, alike), "copied-texts").withColumn("copied", F.lit(True))
@@ -320,12 +324,11 @@ def dedup_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20, alike: float
     held_rows = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_gone")), F.lit(0)).alias("numbers")).first()
     if max(held_rows["rows"], held_rows["numbers"]) <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    base = docs.withColumn("text", text_of())
-    joined = base.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_thash")), "left")
+    base = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), text_of().alias("text")).withColumn("thash", F.xxhash64("text"))
+    joined = base.join(found, F.col("key").eqNullSafe(F.col("_id")) & (F.col("thash") == F.col("_thash")), "left")
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     parts = F.split("text", "\n")
-    new = joined.withColumns({
-        "n_lines": F.size(parts), "n_repeated": F.coalesce("_rep", F.lit(0)).cast("int"), "n_similar": F.coalesce("_sim", F.lit(0)).cast("int"), "n_removed": F.size(gone),
-        "text": F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")),
-    })
-    return new.drop("_id", "_thash", "_rep", "_sim", "_gone")
+    text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    added = {"n_lines": F.size(parts), "n_repeated": F.coalesce("_rep", F.lit(0)).cast("int"), "n_similar": F.coalesce("_sim", F.lit(0)).cast("int"), "n_removed": F.size(gone)} if counts else {}
+    kept = [(text if c.lower() == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if c.lower() not in added]
+    return joined.select(*kept, *[column.alias(name) for name, column in added.items()])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, one machine) a temporary folder is made and set.
+    on one machine (tests) a temporary folder is made and set; on a cluster that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = getattr(spark.sparkContext, "_docquarry_dir", None)
         if known is None:
             known = "file://" + tempfile.mkdtemp(prefix="docquarry-")
@@ -38,16 +42,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _sweep() -> None:
     for spark, path in _staged:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # the session has ended: its folder goes with it
             return
 
 
+def staged_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, staged; all tables that were staged on the way are removed."""
+    before = len(_staged)
+    out = staged(make(), name)
+    inner = _staged[before:-1]
+    del _staged[before:-1]
+    for spark, path in inner:
+        _remove(spark, path)
+    return out
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -80,3 +98,19 @@ def held_out(column: str = "doc_id") -> Column:
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows; else Spark joins by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], hot: Column, most: int) -> DataFrame:
+    """``rows`` with ``fact`` of their key, null where ``facts`` (keys, fact; one row for each key) has none.
+
+    Facts of hot keys are broadcast if there are at most ``most`` of them. The rows that find theirs so
+    are dealt out at random in the shuffle that the others need, so no task gets all rows of a key.
+    """
+    few = broadcast_if_small(facts.where(hot).select(*keys, F.col("fact").alias("hot_fact")), most)
+    met = rows.join(few, keys, "left")
+    # the first key (a long or a string) is one that hardly any other row has, and its fact would not be taken
+    dealt = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast(rows.schema[keys[0]].dataType)
+    spread = [(F.when(F.col("hot_fact").isNull(), F.col(k)).otherwise(dealt) if k == keys[0] else F.col(k)).alias(f"{k}_spread") for k in keys]
+    other = facts.where(~hot).select(*[F.col(k).alias(f"{k}_spread") for k in keys], F.col("fact").alias("other_fact"))
+    joined = met.select("*", *spread).join(other, [f"{k}_spread" for k in keys], "left")
+    return joined.select(*rows.columns, F.coalesce("hot_fact", "other_fact").alias("fact"))

@@ -22,9 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import new_folder, staged, text_of
+from docquarry.llm.shared import broadcast_if_small, new_folder, staged, text_of
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Groups of equal payloads that are broadcast at most, so that pages are not shuffled by digest.
+GROUPS = 500_000
 CAPTURES = "surt string, page_id long, file string, offset long, length long"
 
 
@@ -51,7 +53,8 @@ def with_record_types(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     html = text_of("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
     groups = rows.where(F.col("n_bytes") >= least_bytes).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("last")).where("copies > 1").select("digest", "last")
-    joined = rows.join(groups, "digest", "left")
+    # a hundred bytes for each group; beyond GROUPS of them by shuffle
+    joined = rows.join(broadcast_if_small(groups, GROUPS), "digest", "left")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return joined.select("page_id", "url", "html", "digest", "n_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"))
 

@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from docquarry.llm import stages
-from docquarry.llm.shared import staged
+from docquarry.llm.shared import join_hot, staged
 from tests.llm.helpers import make_docs, words
 
 
+CLASHING = ["_key", "_id", "_d", "_digest", "_thash", "tox_score", "tox_rejected", "n_lines", "n_removed", "row", "digest", "hot_fact", "cls", "tag"]
+
+
 def tables(spark, tmp_path):
     import random
 
@@ -22,7 +25,8 @@ def tables(spark, tmp_path):
     item = words(rng, 25)
     rows += [(5000, words(rng, 40) + " " + item + " " + words(rng, 30), "en", None, 0, "k")]
     folder = str(tmp_path)
-    docs.unionByName(spark.createDataFrame(rows, docs.schema)).write.parquet(f"{folder}/documents.parquet")
+    clashing = {c: F.lit(k) for k, c in enumerate(CLASHING)}
+    docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumns(clashing).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
@@ -36,6 +40,7 @@ def test_stages_in_turn(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after.append(staged(stage(spark, after[-1], folder), name))
         assert after[-1].columns == columns
+        assert [tuple(r) for r in after[-1].select(*CLASHING).distinct().collect()] == [tuple(range(len(CLASHING)))]
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in after]
     toxic = {1000 + k for k in range(0, 400, 4)}
     assert len(toxic - ids[1]) > 95 and len({1000 + k for k in range(400)} - toxic - ids[1]) < 5
@@ -49,6 +54,15 @@ def test_stages_in_turn(spark, tmp_path):
     assert place(whole) == place(last)
 
 
+def test_hot_keys_join_like_others(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k % 2, k) for k in range(300)] + [(99, 0, -1)], "a long, b int, x long")
+    facts = rows.where("a <> 99").groupBy("a", "b").agg(F.struct(F.count("*").alias("n")).alias("fact"))
+    want = Counter((r.a, r.b, r.x, None if r.fact is None else r.fact.n) for r in rows.join(facts, ["a", "b"], "left").collect())
+    for most in (0, 100):
+        got = join_hot(rows, facts, ["a", "b"], F.col("fact.n") > 30, most)
+        assert Counter((r.a, r.b, r.x, None if r.fact is None else r.fact.n) for r in got.collect()) == want
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == [] and "pipeline" in names
