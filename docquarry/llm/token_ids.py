@@ -18,7 +18,7 @@ import regex
 
 #: Words kept by one worker, some 150 bytes each besides what they hold themselves, and the bytes
 #: that they and their ids may hold. A full table starts anew.
-WORDS_KEPT, BYTES_KEPT = 1_100_000, 80_000_000
+WORDS_KEPT, BYTES_KEPT = 600_000, 80_000_000
 #: Characters from which on a word is never kept.
 LONG = 256
 #: Characters encoded by one call within a long word.
