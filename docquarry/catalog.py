@@ -187,11 +187,11 @@ def embedding_gaps(spark, sf_dir):
     return records.embedding_gaps(_chunks(spark, sf_dir), _store(spark, sf_dir))
 
 
-@query(f"""WITH {DOCS}, q AS (SELECT o_orderkey AS query_id, CAST(o_orderdate AS DATE) AS target FROM orders WHERE o_orderkey % 10 = 0),
+@query(f"""WITH {DOCS}, q AS (SELECT o_orderkey AS query_id, CAST(o_orderdate AS DATE) AS target FROM orders),
 dd AS (SELECT DISTINCT report_date AS d FROM docs)
 SELECT query_id, arg_min(d, struct_pack(g := abs(date_diff('day', target, d)), d := d)) AS nearest FROM q, dd GROUP BY query_id""")
 def nearest_report_date(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    orders = table(spark, sf_dir, "orders")
     return context.nearest_date(documents(spark, sf_dir), orders.select(F.col("o_orderkey").alias("query_id"), F.col("o_orderdate").cast("date").alias("target")))
 
 
@@ -259,17 +259,17 @@ def token_estimate(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", t.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query("SELECT doc_id, part.h AS heading, part.b AS body FROM (SELECT doc_id, unnest([{'h': 'Head', 'b': substr(text, 1, 40)}, {'h': 'Tail', 'b': substr(text, 41, 40)}]) AS part FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), '#', '') AS text FROM documents)) WHERE part.b <> ''")
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(part, '^#{1,6}\s') THEN trim(regexp_replace(regexp_extract(part, '^[^\n]*'), '^#{1,6}\s+', '')) END AS heading,
+md5(regexp_replace(CASE WHEN regexp_matches(part, '^#{1,6}\s') THEN regexp_replace(part, '^[^\n]*\n?', '') ELSE part END, '\n+$', '')) AS body
+FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '(?m)^(#{1,6}\s+)', chr(1) || '\1', 'g'), chr(1))) AS part FROM documents)
+WHERE regexp_replace(CASE WHEN regexp_matches(part, '^#{1,6}\s') THEN regexp_replace(part, '^[^\n]*\n?', '') ELSE part END, '\n+$', '') <> ''""")
 def chunk_headings(spark, sf_dir):
-    flat = F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit("#"), F.lit(""))
-    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("# Head\n"), F.substring(flat, 1, 40), F.lit("\n## Tail\n"), F.substring(flat, 41, 40), F.lit("\n")).alias("text"))
-    return chunking.split_sections(docs).select("doc_id", "heading", "body")
+    return chunking.split_sections(documents(spark, sf_dir)).select("doc_id", "heading", F.md5("body").alias("body"))
 
 
-@query("SELECT doc_id, concat('Title', chr(10), 'see here and ', lang, ' now') AS plain FROM documents")
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^#{1,6}\s+', '', 'g'), '[*_~`]', '', 'g'), '^\s+|\s+$', '', 'g')) AS plain FROM documents""")
 def markdown_strip(spark, sf_dir):
-    marked = F.concat(F.lit("## Title\nsee [here](http://a.b) ![x](y.png)and **"), F.col("lang"), F.lit("** `now`\n"))
-    return documents(spark, sf_dir).select("doc_id", t.strip_markdown(marked).alias("plain"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(t.strip_markdown(F.col("text"))).alias("plain"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE list_has_all({TERMS.format(t='text')}, ['the', 'and', 'with'])")
@@ -285,15 +285,13 @@ def fts_match_bool(spark, sf_dir):
 _FTS = f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
 SELECT query_id, doc_id, sum(w) / any_value(n_terms) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(w) / any_value(n_terms), 9) DESC, doc_id) AS rank FROM
  (SELECT doc_id, term, 0.1 * list_sum(list_transform(range(1, count(*) + 1), lambda j: 1.0 / (j * j))) / 1.64493406685 AS w FROM (SELECT doc_id, unnest({TERMS.format(t='text')}) AS term FROM documents) GROUP BY doc_id, term)
- JOIN (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format(t='text')}[1:3]) AS term FROM benchmark)) USING (term)
+ JOIN (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format(t='text')}) AS term FROM benchmark)) USING (term)
  GROUP BY query_id, doc_id HAVING count(*) = any_value(n_terms)) WHERE rank <= 10"""
 
 
 def _fts(spark, sf_dir, k=10):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(t.terms(F.col("text")), 1, 3)).alias("term"))
-    hits = retrieval.text_topk(documents(spark, sf_dir), asked, 10**6)
-    exact = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(exact)).where(F.col("rank") <= k)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(t.terms(F.col("text"))).alias("term"))
+    return retrieval.text_topk(documents(spark, sf_dir), asked, k)
 
 
 @query(f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({_FTS})")
@@ -301,9 +299,9 @@ def fts_rank_topk(spark, sf_dir):
     return _fts(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
-@query(f"SELECT doc_id, term, CAST(count(*) AS INTEGER) AS n, CAST(min(pos) AS INTEGER) AS first FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {TERMS.format(t='text')} AS w FROM documents WHERE lang = 'fr')) GROUP BY ALL")
+@query(f"SELECT doc_id, term, CAST(count(*) AS INTEGER) AS n, CAST(min(pos) AS INTEGER) AS first FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {TERMS.format(t='text')} AS w FROM documents)) GROUP BY ALL")
 def fts_postings(spark, sf_dir):
-    held = retrieval.postings(documents(spark, sf_dir).where("lang = 'fr'"))
+    held = retrieval.postings(documents(spark, sf_dir))
     return held.select("doc_id", "term", F.size("positions").alias("n"), F.element_at("positions", 1).cast("int").alias("first"))
 
 
@@ -365,7 +363,7 @@ def mmr_select(spark, sf_dir):
 
 @query()
 def rerank_overlap(spark, sf_dir):
-    asked = documents(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 80).alias("question"))
+    asked = documents(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
     hits = _with_text(spark, sf_dir, 8).join(asked, "query_id")
     return ranking.rerank(hits, ranking.OverlapReranker()).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
@@ -440,15 +438,14 @@ def _aliases(spark):
 
 
 @query("""WITH a AS (SELECT * FROM (VALUES ('the', 'Orion'), ('and', 'Nova'), ('with', 'API')) t(alias, canonical)),
-w AS (SELECT DISTINCT conv_id, turn, text, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM conversations),
-f AS (SELECT conv_id, turn, string_agg(canonical, ' ' ORDER BY canonical) AS more FROM w JOIN a ON word = alias WHERE NOT contains(lower(text), lower(canonical)) GROUP BY ALL)
+f AS (SELECT conv_id, turn, string_agg(canonical, ' ' ORDER BY canonical) AS more FROM (SELECT DISTINCT conv_id, turn, text, canonical FROM conversations JOIN a ON contains(lower(text), alias) AND NOT contains(lower(text), lower(canonical))) GROUP BY ALL)
 SELECT conv_id, turn, md5(concat_ws(' ', text, more)) AS expanded FROM conversations LEFT JOIN f USING (conv_id, turn)""")
 def alias_expand(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("question"))
     return records.expand_aliases(asked, _aliases(spark)).select("query_id.conv_id", "query_id.turn", F.md5("expanded").alias("expanded"))
 
 
-@query("SELECT item_id AS query_id, max(source) AS project FROM benchmark JOIN (SELECT DISTINCT source FROM documents) s ON contains(lower(concat('report of ', 'src', item_id % 20, ' today')), lower(source)) AND list_contains(string_split(concat('report of ', 'src', item_id % 20, ' today'), ' '), source) GROUP BY 1")
+@query("SELECT item_id AS query_id, arg_min(source, struct_pack(n := -length(source), s := source)) AS project FROM benchmark JOIN (SELECT DISTINCT source FROM documents) s ON contains(lower(concat('report of ', 'src', item_id % 20, ' today')), lower(source)) GROUP BY 1")
 def project_extraction(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("report of src"), (F.col("item_id") % 20).cast("string"), F.lit(" today")).alias("question"))
     names = documents(spark, sf_dir).select(F.col("project").alias("name")).distinct()
@@ -478,22 +475,21 @@ def _entries(spark, sf_dir):
     )
 
 
-_STALE = "SELECT DISTINCT entry_id FROM (SELECT vec_id AS entry_id, unnest([vec_id % 50, vec_id % 70]) AS d FROM embeddings) LEFT JOIN (SELECT user_id, count(*) + 1 AS v FROM events WHERE event_id % 10 = 0 GROUP BY user_id) ON user_id = d WHERE coalesce(v, 1) <> 2"
+_STALE = "SELECT DISTINCT entry_id FROM (SELECT vec_id AS entry_id, unnest([vec_id % 50, vec_id % 70]) AS d FROM embeddings) LEFT JOIN (SELECT user_id, count(*) + 1 AS v FROM events GROUP BY user_id) ON user_id = d WHERE coalesce(v, 1) <> 2"
 
 
 @query(_STALE)
 def cache_staleness(spark, sf_dir):
-    some = table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.col("user_id").alias("doc_id"))
+    some = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"))
     return cache.stale_entries(_entries(spark, sf_dir), cache.document_versions(some))
 
 
-@query(f"SELECT CAST(q.vec_id AS BIGINT) AS query_id, e.vec_id AS entry_id, round({COS.format(a='q.embedding', b='e.embedding')}, 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id % 2 = e.vec_id % 2 WHERE {COS.format(a='q.embedding', b='e.embedding')} >= 0.95 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(a='q.embedding', b='e.embedding')} DESC, e.vec_id) = 1")
+@query(f"SELECT CAST(q.vec_id AS BIGINT) AS query_id, e.vec_id AS entry_id, round({COS.format(a='q.embedding', b='e.embedding')}, 6) AS similarity FROM embeddings q JOIN (SELECT * FROM embeddings WHERE vec_id % 50 IN (SELECT n_nationkey FROM nation) AND vec_id % 70 IN (SELECT n_nationkey FROM nation) QUALIFY row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id) <= 200) e ON q.vec_id % 2 = e.vec_id % 2 WHERE {COS.format(a='q.embedding', b='e.embedding')} >= 0.95 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(a='q.embedding', b='e.embedding')} DESC, e.vec_id) = 1")
 def semantic_cache_lookup(spark, sf_dir):
     entries = _entries(spark, sf_dir)
     asked = entries.select(F.col("entry_id").alias("query_id"), F.col("query_vector").alias("query"), "user_id", "model_hash", "version")
-    none = spark.createDataFrame([], "doc_id long, version long")
-    fresh = entries.withColumn("doc_ids", F.array().cast("array<bigint>"))
-    found = cache.cache_lookup(fresh, asked, none, F.lit("2024-01-03").cast("timestamp"), newest=10**6)
+    changes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"))
+    found = cache.cache_lookup(entries, asked, cache.document_versions(changes), F.lit("2024-01-03").cast("timestamp"))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -510,13 +506,13 @@ def chat_history_window(spark, sf_dir):
 
 @query("SELECT conv_id AS session_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 def session_rollup(spark, sf_dir):
-    rolled = cache.session_rollup(_messages(spark, sf_dir))
-    return rolled.select("session_id", "message_count", F.element_at("messages", -1)["turn"].alias("last_turn"))
+    rolled = cache.session_rollup(_messages(spark, sf_dir), with_messages=False)
+    return rolled.select("session_id", "message_count", "last_turn")
 
 
 @query("SELECT conv_id AS session_id, substr(arg_min(text, turn) FILTER (role = 'assistant'), 1, 50) AS title FROM conversations GROUP BY conv_id")
 def session_title(spark, sf_dir):
-    return cache.session_rollup(_messages(spark, sf_dir)).select("session_id", "title")
+    return cache.session_rollup(_messages(spark, sf_dir), with_messages=False).select("session_id", "title")
 
 
 def _activity(spark, sf_dir):

@@ -69,13 +69,11 @@ def invalidate(cache: DataFrame, changes: DataFrame) -> DataFrame:
     return cache.join(hit, "entry_id", "left_anti").join(F.broadcast(flush), F.lit(True), "left_anti")
 
 
-def session_rollup(messages: DataFrame) -> DataFrame:
-    """``session_id, message_count, last_activity_at, title, messages``: the title is the start of the first answer."""
+def session_rollup(messages: DataFrame, with_messages: bool = True) -> DataFrame:
+    """``session_id, message_count, last_activity_at, last_turn, title`` and, if asked, ``messages``: the title is the start of the first answer."""
     first = F.min_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn")))
-    return messages.groupBy("session_id").agg(
-        F.count("*").alias("message_count"), F.max("created_at").alias("last_activity_at"), F.substring(first, 1, 50).alias("title"),
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"),
-    )
+    kept = [F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages")] if with_messages else []
+    return messages.groupBy("session_id").agg(F.count("*").alias("message_count"), F.max("created_at").alias("last_activity_at"), F.max("turn").alias("last_turn"), F.substring(first, 1, 50).alias("title"), *kept)
 
 
 def resolve_sessions(requests: DataFrame, sessions: DataFrame, now: Column, idle_hours: int = 24, most_messages: int = 100) -> DataFrame:

@@ -23,9 +23,12 @@ def pack_context(hits: DataFrame, budget: int = 32768, order: str = "rank") -> D
 
     Costs are positive, so the running sum passes the budget where a loop would stop.
     """
-    priced = hits.withColumn("rendered", render(hits)).withColumn("tokens", estimated_tokens(F.col("rendered")))
+    # the running sum moves numbers only; texts follow for the chunks that stay
+    rendered = hits.select("query_id", order, render(hits).alias("rendered"))
+    priced = rendered.select("query_id", order, estimated_tokens(F.col("rendered")).alias("tokens"))
     running = F.sum("tokens").over(Window.partitionBy("query_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    kept = priced.withColumn("_sum", running).where(F.col("_sum") <= budget)
+    fitting = priced.withColumn("running", running).where(F.col("running") <= budget).select("query_id", order, "tokens")
+    kept = rendered.join(fitting, ["query_id", order])
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("rendered").alias("t")))), lambda x: x["t"])
     return kept.groupBy("query_id").agg(F.array_join(parts, RULE).alias("context"), F.count("*").alias("n_chunks"), F.sum("tokens").alias("n_tokens"))
 
@@ -79,14 +82,14 @@ def nearest_date(documents: DataFrame, targets: DataFrame) -> DataFrame:
     Only distinct dates are compared, with the one before and the one after each target.
     """
     dates = documents.where("report_date IS NOT NULL").select(F.col("report_date").alias("d")).distinct()
-    # dates and targets of one year share a task; neighbours beyond it come from each year's first and last
-    marks = dates.select(F.year("d").alias("y"), "d", F.lit(None).cast(targets.schema["query_id"].dataType).alias("query_id"))
-    asked = targets.where("target IS NOT NULL").select(F.year("target").alias("y"), F.col("target").alias("d"), "query_id")
+    # distinct dates and targets of one year (some 700 rows at most) share a task; neighbours beyond it come from each year's first and last
+    marks = dates.select(F.year("d").alias("y"), "d", F.lit(None).cast("boolean").alias("asked"))
+    asked = targets.where("target IS NOT NULL").select(F.year("target").alias("y"), F.col("target").alias("d"), F.lit(True).alias("asked")).distinct()
     both = marks.unionByName(asked)
-    w = Window.partitionBy("y").orderBy("d", F.col("query_id").isNotNull().cast("int"))
-    back = F.last(F.when(F.col("query_id").isNull(), F.col("d")), True).over(w)
-    ahead = F.first(F.when(F.col("query_id").isNull(), F.col("d")), True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = both.withColumns({"back": back, "ahead": ahead}).where("query_id IS NOT NULL")
+    w = Window.partitionBy("y").orderBy("d", F.col("asked").isNotNull().cast("int"))
+    back = F.last(F.when(F.col("asked").isNull(), F.col("d")), True).over(w)
+    ahead = F.first(F.when(F.col("asked").isNull(), F.col("d")), True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = both.withColumns({"back": back, "ahead": ahead}).where("asked")
     years = dates.groupBy(F.year("d").alias("yy")).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))  # a row per year
     spans = years.agg(F.array_sort(F.collect_list(F.struct("yy", "lo", "hi"))).alias("spans"))
     full = near.join(F.broadcast(spans), how="cross")
@@ -94,7 +97,7 @@ def nearest_date(documents: DataFrame, targets: DataFrame) -> DataFrame:
     after = F.array_min(F.transform(F.filter("spans", lambda s: s["yy"] > F.col("y")), lambda s: s["lo"]))
     options = F.filter(F.array("back", "ahead", before, after), lambda d: d.isNotNull())
     best = F.array_min(F.transform(options, lambda d: F.struct(F.abs(F.datediff(d, F.col("d"))).alias("gap"), d.alias("at"))))
-    return full.select("query_id", best["at"].alias("nearest"))
+    return targets.join(full.select(F.col("d").alias("target"), best["at"].alias("nearest")), "target").select("query_id", "nearest")
 
 
 def history(messages: DataFrame, skip: int = 1, take: int = 4) -> DataFrame:

@@ -115,17 +115,22 @@ def status_of(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("doc_id").agg(state.alias("status"), F.sum(F.when(F.col("event") == "started", 1).otherwise(0)).alias("attempts"))
 
 
-def match_names(questions: DataFrame, names: DataFrame, label: str = "name") -> DataFrame:
-    """``query_id, <label>`` for each name that a question contains, in any case; a trailing ``(...)`` of a name may be absent.
+def containing(questions: DataFrame, needles: DataFrame) -> DataFrame:
+    """Pairs of ``questions`` (query_id, q) and ``needles`` (needle, not empty) with the needle anywhere in q.
 
-    Names are tied to questions by their first word, so that the join is an equality.
+    Joined by equality on the needle's first three letters (or all, if fewer), which must be among the question's grams.
     """
+    grams = F.expr("flatten(transform(sequence(1, char_length(q)), i -> array(substring(q, i, 3), substring(q, i, 2), substring(q, i, 1))))")
+    asked = questions.where("q <> ''").select("query_id", "q", F.explode(F.array_distinct(grams)).alias("gram"))
+    return asked.join(needles.withColumn("gram", F.substring("needle", 1, 3)), "gram").where(F.contains("q", "needle")).drop("gram")
+
+
+def match_names(questions: DataFrame, names: DataFrame, label: str = "name") -> DataFrame:
+    """``query_id, <label>`` for each name that a question contains anywhere, in any case; a trailing ``(...)`` of a name may be absent."""
     base = F.regexp_replace(F.col(label), r"\s*\([^)]*\)$", "")
     forms = names.where(F.length(F.trim(label)) > 0).select(label, F.explode(F.array_distinct(F.array(F.col(label), base))).alias("form")).where("form <> ''")
-    word = F.element_at(F.split(F.lower("form"), r"[^\p{L}\p{N}\p{M}]+"), 1)
-    keyed = forms.withColumn("word", word)
-    asked = questions.select("query_id", F.lower("question").alias("q"), F.explode(F.array_distinct(F.split(F.lower("question"), r"[^\p{L}\p{N}\p{M}]+"))).alias("word"))
-    return asked.join(keyed, "word").where(F.contains(F.col("q"), F.lower("form"))).select("query_id", label).distinct()
+    found = containing(questions.select("query_id", F.lower("question").alias("q")), forms.select(label, F.lower("form").alias("needle")))
+    return found.select("query_id", label).distinct()
 
 
 def longest_match(matches: DataFrame, label: str = "name") -> DataFrame:
@@ -136,11 +141,11 @@ def longest_match(matches: DataFrame, label: str = "name") -> DataFrame:
 def expand_aliases(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """Questions (query_id, question) with the canonical words of contained aliases added where absent.
 
-    ``aliases``: alias, canonical, active. Words of the question meet aliases by equality.
+    ``aliases``: alias, canonical, active. An alias may stand anywhere in the question, inside a word too.
     """
-    live = aliases.where("active").select(F.lower("alias").alias("word"), "canonical")
-    words = questions.select("query_id", F.lower("question").alias("q"), F.explode(F.array_distinct(F.split(F.lower("question"), r"\s+"))).alias("word"))
-    found = words.join(live, "word").where(~F.contains(F.col("q"), F.lower("canonical"))).groupBy("query_id").agg(F.array_sort(F.collect_set("canonical")).alias("more"))
+    live = aliases.where("active").select(F.lower("alias").alias("needle"), "canonical").where("needle <> ''")
+    found = containing(questions.select("query_id", F.lower("question").alias("q")), live).where(~F.contains(F.col("q"), F.lower("canonical")))
+    found = found.groupBy("query_id").agg(F.array_sort(F.collect_set("canonical")).alias("more"))
     return questions.join(found, "query_id", "left").withColumn("expanded", F.concat_ws(" ", F.col("question"), F.array_join("more", " "))).drop("more")
 
 

@@ -94,17 +94,25 @@ def text_topk(docs: DataFrame, query_terms: DataFrame, k: int, mode: str = "all"
     """``query_id, rank, id, score`` for queries (query_id, term).
 
     ``mode``: all terms must occur, or any. The score is the sum of term ranks over the number
-    of terms. Terms join the index by equality, so only matching postings move.
+    of terms; scores equal to nine digits tie, to the lesser id. Tokens that no query asks for are
+    dropped before the shuffle, and occurrences are counted on the map side first.
     """
     asked = query_terms.select("query_id", F.lower("term").alias("term")).distinct()
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    hits = postings(docs, id_col, text_col).join(asked, "term").withColumn("w", term_rank(F.size("positions")))
-    scored = hits.groupBy("query_id", id_col).agg(F.count("*").alias("found"), F.sum("w").alias("w")).join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, "query_id")
+    tokens = docs.select(id_col, F.explode(terms(F.col(text_col))).alias("term")).join(_few(asked.select("term").distinct()), "term", "left_semi")
+    counts = tokens.groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    hits = counts.join(asked, "term").withColumn("w", term_rank(F.col("n")))
+    scored = hits.groupBy("query_id", id_col).agg(F.count("*").alias("found"), F.sum("w").alias("w")).join(_few(sizes), "query_id")
     kept = scored if mode == "any" else scored.where("found = n_terms")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_col)
     return kept.withColumn("score", F.col("w") / F.col("n_terms")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
 
 
+def _few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """With a broadcast hint if it is counted to have at most ``rows`` narrow rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int, key: str = "chunk_id", constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (query_id, rank, key): the best gets 1.
 

@@ -67,16 +67,23 @@ class Engine:
         text = q.fix_spelling(q.normalise(F.col("question")))
         return asked.withColumn("question", text).withColumns({"type": q.classify(text), "complexity": q.complexity(text), "dates": q.date_range(text, today), "terms": q.search_terms(text), "embedding_text": q.expand_synonyms(text)})
 
-    def search(self, asked: DataFrame, today: F.Column, where: dict | None = None) -> DataFrame:
-        """``query_id, rank, chunk_id, score`` and the chunk's columns."""
+    def search(self, asked: DataFrame, today: F.Column, where: dict | None = None, owner: str | int | None = None) -> DataFrame:
+        """``query_id, rank, chunk_id, score`` and the chunk's columns.
+
+        Deleted chunks never show; with ``owner`` only their documents do; a model name holds for the vector leg.
+        """
+        if owner is not None:
+            where = retrieval.merge_filters({}, where or {}, owner)
         s, compiled = self.settings, self.compile(asked, today)
         fetch = s.top_k * s.over_fetch
-        pool = self.chunks.where(retrieval.filters(where or {}, vector_leg=False))
+        live = self.chunks.where("deleted_at IS NULL") if "deleted_at" in self.chunks.columns else self.chunks
+        pool = live.where(retrieval.filters(where or {}, vector_leg=False))
+        vector_pool = live.where(retrieval.filters(where or {}))
         legs = []
         if s.mode in ("hybrid", "vector"):
             keyed = compiled.select("query_id", F.col("embedding_text").alias("text"), F.col("query_id").cast("string").alias("key"))
             vectors = embedding.embed(keyed, self.provider).join(keyed, "key").select("query_id", F.col("embedding").alias("query"))
-            leg = retrieval.vector_topk_batch(pool, vectors, fetch, tie="chunk_id").where(F.col("score") >= s.floor)
+            leg = retrieval.vector_topk_batch(vector_pool, vectors, fetch, tie="chunk_id").where(F.col("score") >= s.floor)
             legs.append(leg)
         if s.mode in ("hybrid", "fts"):
             words = compiled.select("query_id", F.explode("terms").alias("term"))
