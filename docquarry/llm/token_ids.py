@@ -169,6 +169,11 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def free_encoders() -> None:
+    """Gives back the words and tables that this Python worker holds from earlier stages."""
+    _encoders.clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 

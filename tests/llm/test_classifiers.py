@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from docquarry.llm.line_crf import LineCrf, fit_quality, forward_backward, line_features, quality_result, quality_scores
-from docquarry.llm.toxicity import Scorer, fit_toxicity, score_toxicity, toxicity_result, train
+from docquarry.llm.toxicity import WIDTHS, Scorer, fit_toxicity, score_toxicity, toxicity_result, train, word_rows
 from tests.llm.helpers import empty_docs, make_docs, words
 
 
@@ -52,6 +52,27 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(together, alone, atol=1e-6)
 
 
+def naive_score(model, text):
+    """Convolution, pooling and the logistic layer word by word."""
+    pad = np.zeros(model.embed.shape[1])
+    vectors = [sum(model.embed[r].astype(float) for r in word_rows(w, model.buckets)) for w in text.lower().split()] + [pad] * max(WIDTHS)
+    pooled = []
+    for width, w in zip(WIDTHS, model.filters, strict=True):
+        places = [sum(vectors[at + j] @ w[j] for j in range(width)) for at in range(len(vectors) - width + 1)]
+        pooled.append(np.max(places, axis=0))
+    hidden = np.maximum(np.concatenate(pooled) + model.bias, 0)
+    return 1 / (1 + np.exp(-(hidden @ model.out + model.out_bias)))
+
+
+def test_scores_match_a_naive_convolution_in_one_piece_or_many():
+    rng = random.Random(4)
+    texts = ["", " ", "one", *[words(rng, rng.randrange(1, 60)) for _ in range(40)]]
+    model = train(pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "y": [i % 2 for i in range(len(texts))], "weight": 1.0}), epochs=2)
+    want = np.array([naive_score(model, t) for t in texts])
+    for at_once in (12_000, 16, 5):
+        assert np.allclose(Scorer(model).scores(texts, at_once), want, atol=1e-5)
+
+
 def test_awkward_rows(spark):
     docs, labels = labelled(spark, 120)
     model, crf = fit_toxicity(docs, labels), fit_quality(docs, labels)
