@@ -535,3 +535,60 @@ def idle_gap_sessions(spark, sf_dir):
 @query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def rate_limit_windows(spark, sf_dir):
     return jobs.rate_limit(table(spark, sf_dir, "events"), most=1, width="1 hour")
+
+
+@query("SELECT user_id AS session_id, max(ts) AS last_activity_at, count(*) AS message_count FROM events GROUP BY user_id ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 20")
+def session_page(spark, sf_dir):
+    return records.page(_activity(spark, sf_dir), 2, 20, "last_activity_at", tie="session_id")[0].select("session_id", "last_activity_at", "message_count")
+
+
+@query("SELECT user_id AS session_id, count(*) AS deleted_messages FROM events GROUP BY user_id HAVING max(value) > 90")
+def deleted_sessions(spark, sf_dir):
+    messages = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "value", F.lit(None).cast("timestamp").alias("deleted_at"))
+    gone = messages.where("value > 90").select("session_id")
+    sessions, lost = cache.delete_sessions(_activity(spark, sf_dir), messages, gone, F.lit("2024-01-01").cast("timestamp"))
+    counted = lost.where("deleted_at IS NOT NULL").groupBy("session_id").agg(F.count("*").alias("deleted_messages"))
+    return sessions.where("deleted_at IS NOT NULL").join(counted, "session_id").select("session_id", "deleted_messages")
+
+
+@query("SELECT user_id AS session_id, count(*) <= 1 AS may_use FROM events GROUP BY user_id")
+def cache_bypass(spark, sf_dir):
+    return _activity(spark, sf_dir).select("session_id", cache.may_use_cache(F.col("message_count")).alias("may_use"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE length(text) <> 64")
+def other_length(spark, sf_dir):
+    return records.of_other_length(documents(spark, sf_dir), "text", 64).select("doc_id", "n_chars")
+
+
+@query(f"""WITH {DOCS} SELECT doc_id FROM docs WHERE lang = 'en' AND year(report_date) = 2024 AND month(report_date) = 5
+AND doc_id IN (SELECT doc_id FROM ({_SQL["docs_old_model"]}))""")
+def reembed_choice(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("status", F.col("lang"))
+    return records.reembed_selection(docs, _chunks(spark, sf_dir), _store(spark, sf_dir), "m3", old_model=True, status="en", report_date="2024-05").select("doc_id")
+
+
+_KEPT = r"trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9\s&|!()''\x{1000}-\x{109F}]', ' ', 'g'), '\s+', ' ', 'g'))"
+_JOIN = r"regexp_replace({t}, '([^\s&|!(]) ([^\s&|)])', '\1 & \2', 'g')"
+_JOINED = _JOIN.format(t=_JOIN.format(t=_KEPT))
+
+
+@query(f"""SELECT conv_id, turn, nullif(nullif(nullif(j, ''), repeat(chr(39), 2)), '()') AS search,
+CASE WHEN nullif(nullif(nullif(j, ''), repeat(chr(39), 2)), '()') IS NOT NULL THEN 'boolean' WHEN trim(text) <> '' THEN 'plain' ELSE 'none' END AS strategy
+FROM (SELECT *, {_JOINED} AS j FROM conversations)""")
+def boolean_sanitised(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").withColumn("search", q.sanitise_boolean(F.col("text")))
+    return said.select("conv_id", "turn", "search", q.search_strategy(F.col("search"), F.col("text")).alias("strategy"))
+
+
+@query("SELECT lang, source, count(*) AS n, row_number() OVER (ORDER BY lang NULLS FIRST, source DESC NULLS LAST) AS place FROM documents GROUP BY lang, source")
+def sorted_settings(spark, sf_dir):
+    # one row for each language and source
+    named = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return named.withColumn("place", F.row_number().over(Window.orderBy(F.asc("lang"), F.desc("source"))))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, list_sort(json_keys(props)) AS keys FROM events")
+def json_metadata(spark, sf_dir):
+    held = t.json_map(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.try_element_at(held, F.lit("k")).alias("k"), F.array_sort(F.map_keys(held)).alias("keys"))

@@ -171,3 +171,15 @@ def boolean_query(question: Column) -> Column:
     marked = F.transform(tokens, lambda w, i: F.when(F.get(tokens, i + 1).rlike("^မဟုတ်"), F.concat(F.lit("!"), w)).otherwise(w))
     clean = F.filter(marked, lambda w: keep(F.ltrim(w, F.lit("!"))))
     return F.when(F.size(clean) > 0, F.array_join(clean, " & "))
+
+
+def sanitise_boolean(text: Column) -> Column:
+    """A boolean search with letters, digits, operators and Burmese only, ``&`` between words that stand side by side; null if nothing is left."""
+    kept = F.trim(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9\s&|!()'\x{1000}-\x{109F}]", " "), r"\s+", " "))
+    joined = F.regexp_replace(kept, r"(?<=[^\s&|!(]) (?=[^\s&|)])", " & ")
+    return F.when(~joined.isin("", "''", "()"), joined)
+
+
+def search_strategy(boolean: Column, plain: Column) -> Column:
+    """boolean if there is a boolean search, else plain if there are words, else none."""
+    return F.when(boolean.isNotNull() & (boolean != ""), "boolean").when(F.trim(plain) != "", "plain").otherwise("none")

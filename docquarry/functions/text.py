@@ -38,3 +38,8 @@ def jaccard(a: Column, b: Column) -> Column:
 def like_pattern(needle: str) -> str:
     """A LIKE pattern that finds ``needle`` anywhere, with its wildcards taken literally."""
     return "%" + needle.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
+
+
+def json_map(text: Column) -> Column:
+    """A JSON object as a map of strings; null for anything else."""
+    return F.from_json(text, "map<string,string>")

@@ -90,6 +90,18 @@ def expire_sessions(sessions: DataFrame, now: Column, days: int = 30) -> DataFra
     return sessions.withColumn("deleted_at", F.when(F.col("deleted_at").isNull() & idle, now).otherwise(F.col("deleted_at")))
 
 
+def delete_sessions(sessions: DataFrame, messages: DataFrame, gone: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Sessions and messages with ``deleted_at`` set on those of ``gone`` (session_id); what was deleted before keeps its time."""
+    ids = gone.select("session_id").distinct().withColumn("gone_now", F.lit(True))
+    mark = lambda rows: rows.join(ids, "session_id", "left").withColumn("deleted_at", F.when(F.col("deleted_at").isNull() & F.col("gone_now"), now).otherwise(F.col("deleted_at"))).drop("gone_now")
+    return mark(sessions), mark(messages)
+
+
+def may_use_cache(message_count: Column, enabled: bool = True) -> Column:
+    """Whether a question may be answered from the cache: only the first of a session."""
+    return F.lit(enabled) & (F.coalesce(message_count, F.lit(0)) <= 1)
+
+
 def inherit_filters(messages: DataFrame) -> DataFrame:
     """User messages (session_id, turn, user_names, project, date_from, date_to, refused) with filters
     they lack taken from the session's user message before; dates only if the answer to that was no refusal."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -35,6 +35,20 @@ class HashingProvider:
         return out / np.where(length > 0, length, 1)
 
 
+_PROVIDERS: dict[str, Callable[..., EmbeddingProvider]] = {"hashing": HashingProvider}
+
+
+def register_provider(name: str, make: Callable[..., EmbeddingProvider]) -> None:
+    _PROVIDERS[name] = make
+
+
+def provider_for(name: str, **options: object) -> EmbeddingProvider:
+    """The provider registered under a name; an unknown name is an error."""
+    if name not in _PROVIDERS:
+        raise ValueError(f"{name} is not a known provider")
+    return _PROVIDERS[name](**options)
+
+
 def cache_key(text: str = "content", model: str = "") -> F.Column:
     return F.concat(F.lit(f"embedding:{model}:"), F.md5(F.col(text)))
 
@@ -66,3 +80,15 @@ def embed_cached(texts: DataFrame, cache: DataFrame, provider: EmbeddingProvider
 def live_cache(cache: DataFrame, now: F.Column, ttl_seconds: int = 86400) -> DataFrame:
     """Cache rows younger than the time to live (column created_at)."""
     return cache.where(F.col("created_at") >= now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+
+
+def reembed(chunks: DataFrame, selected: DataFrame, provider: EmbeddingProvider) -> DataFrame:
+    """Chunks with new vectors and model name for the selected documents (doc_id); others stay as they are.
+
+    A text that occurs in many chunks is embedded once.
+    """
+    ids = selected.select("doc_id").distinct()
+    again = chunks.join(ids, "doc_id", "left_semi").drop("embedding", "model_name")
+    none = chunks.sparkSession.createDataFrame([], "key string, embedding array<double>")
+    fresh = embed_cached(again, none, provider)[0].withColumn("model_name", F.lit(provider.name))
+    return chunks.join(ids, "doc_id", "left_anti").unionByName(fresh.select(*chunks.columns))

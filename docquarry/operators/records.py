@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions.questions import classify, expand_synonyms
 from docquarry.functions.text import like_pattern
 
 #: Columns a document list may be sorted by, and columns an update may set.
-SORT_KEYS = ("created_at", "title", "report_date", "project", "status", "file_size", "chunks_count")
+SORT_KEYS = ("created_at", "title", "report_date", "project", "status", "file_size", "chunks_count", "last_activity_at")
 UPDATE_KEYS = ("title", "description", "report_date", "project")
 
 
@@ -60,6 +61,41 @@ def documents_of_other_model(documents: DataFrame, chunks: DataFrame, vectors: D
     return documents.join(old, "doc_id", "left_semi")
 
 
+def reembed_selection(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, model: str, missing: bool = False, old_model: bool = False, status: str | None = None, project: str | None = None, report_date: str | None = None) -> DataFrame:
+    """Documents to embed again: all conditions asked for must hold. Without ``missing`` and ``old_model``, those with chunks."""
+    found = documents
+    if missing:
+        found = documents_missing_vectors(found, chunks, vectors)
+    if old_model:
+        found = documents_of_other_model(found, chunks, vectors, model)
+    if not (missing or old_model):
+        found = found.join(chunks.select("doc_id"), "doc_id", "left_semi")
+    for column, value in (("status", status), ("project", project)):
+        if value is not None:
+            found = found.where(F.col(column) == value)
+    return found if report_date is None else found.where(report_date_filter("report_date", report_date))
+
+
+def repair_selection(first: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, newest: int = 1000, most: int = 200) -> DataFrame:
+    """At most ``most`` documents without any vector: of those named in ``first`` (doc_id), which go before the others,
+    and of the ``newest`` completed ones by id."""
+    wanted = documents.join(first.select("doc_id").distinct().withColumn("turn", F.lit(0)), "doc_id")
+    others = documents.where("status = 'completed'").orderBy("doc_id").limit(newest).withColumn("turn", F.lit(1))
+    both = wanted.unionByName(others).groupBy("doc_id").agg(F.min("turn").alias("turn"))
+    held = chunks.join(vectors.select("chunk_id"), "chunk_id", "left_semi").select("doc_id")
+    return both.join(held, "doc_id", "left_anti").orderBy("turn", "doc_id").limit(most).select("doc_id")
+
+
+def of_other_length(rows: DataFrame, column: str, length: int) -> DataFrame:
+    """Rows whose value is not ``length`` characters long; nulls are left out."""
+    return rows.where(F.char_length(column) != length)
+
+
+def active(rows: DataFrame, flag: str = "active") -> DataFrame:
+    """Rows whose flag is set; a null flag is not."""
+    return rows.where(F.coalesce(F.col(flag), F.lit(False)))
+
+
 def child_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     counted = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks_count"))
     return documents.join(counted, "doc_id", "left").withColumn("chunks_count", F.coalesce("chunks_count", F.lit(0)))
@@ -149,6 +185,18 @@ def expand_aliases(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     return questions.join(found, "query_id", "left").withColumn("expanded", F.concat_ws(" ", F.col("question"), F.array_join("more", " "))).drop("more")
 
 
+def query_variants(questions: DataFrame, aliases: DataFrame, everywhere: bool = False) -> DataFrame:
+    """``query_id, variant, question``: the question first, then its form with aliases, then that with synonyms.
+
+    Comparative and analytical questions get variants, others only with ``everywhere``; a variant that says nothing new is left out.
+    """
+    wide = F.lit(True) if everywhere else classify(F.col("question")).isin("comparative", "analytical")
+    told = expand_aliases(questions.select("query_id", "question"), aliases)
+    forms = F.array(F.col("question"), F.when(wide, F.col("expanded")), F.when(wide, expand_synonyms(F.col("expanded"))))
+    said = F.array_distinct(F.filter(forms, lambda x: x.isNotNull()))
+    return told.select("query_id", F.posexplode(said).alias("variant", "question"))
+
+
 def alias_terms(query_terms: DataFrame, aliases: DataFrame) -> DataFrame:
     """Terms (query_id, term) and the canonical terms of those that are aliases: an OR group each."""
     live = aliases.where("active").select(F.lower("alias").alias("word"), F.lower("canonical").alias("canonical"))

@@ -79,19 +79,19 @@ class Engine:
         live = self.chunks.where("deleted_at IS NULL") if "deleted_at" in self.chunks.columns else self.chunks
         pool = live.where(retrieval.filters(where or {}, vector_leg=False))
         vector_pool = live.where(retrieval.filters(where or {}))
-        legs = []
-        if s.mode in ("hybrid", "vector"):
-            keyed = compiled.select("query_id", F.col("embedding_text").alias("text"), F.col("query_id").cast("string").alias("key"))
-            vectors = embedding.embed(keyed, self.provider).join(keyed, "key").select("query_id", F.col("embedding").alias("query"))
-            leg = retrieval.vector_topk_batch(vector_pool, vectors, fetch, tie="chunk_id").where(F.col("score") >= s.floor)
-            legs.append(leg)
-        if s.mode in ("hybrid", "fts"):
-            words = compiled.select("query_id", F.explode("terms").alias("term"))
-            legs.append(retrieval.text_topk(pool, words, fetch, id_col="chunk_id", text_col="content"))
-        if len(legs) == 2:
-            hits = retrieval.fuse(legs[0], legs[1], fetch, constant=s.rrf_constant)
+        compiled = compiled.withColumn("mode", F.when(F.col("type") == "factual", "hybrid").otherwise(s.mode))  # names and figures need both legs
+        keyed = compiled.where("mode <> 'fts'").select("query_id", F.col("embedding_text").alias("text"), F.col("query_id").cast("string").alias("key"))
+        vectors = embedding.embed(keyed, self.provider).join(keyed, "key").select("query_id", F.col("embedding").alias("query"))
+        by_vector = retrieval.vector_topk_batch(vector_pool, vectors, fetch, tie="chunk_id").where(F.col("score") >= s.floor)
+        words = compiled.where("mode <> 'vector'").select("query_id", F.explode("terms").alias("term"))
+        by_text = retrieval.text_topk(pool, words, fetch, id_col="chunk_id", text_col="content")
+        if s.mode == "hybrid":
+            hits = retrieval.fuse(by_vector, by_text, fetch, constant=s.rrf_constant)
         else:
-            hits = legs[0].select("query_id", "rank", "chunk_id", "score")
+            both = compiled.where("mode = 'hybrid'").select("query_id")
+            fused = retrieval.fuse(by_vector.join(both, "query_id", "left_semi"), by_text.join(both, "query_id", "left_semi"), fetch, constant=s.rrf_constant)
+            one = (by_vector if s.mode == "vector" else by_text).join(both, "query_id", "left_anti")
+            hits = fused.unionByName(one.select("query_id", "rank", "chunk_id", "score"))
         base = s.filtered_threshold if where else s.threshold
         cut = ranking.elbow_cut(hits, base, 2 * s.top_k)
         full = cut.join(pool.drop("embedding"), "chunk_id").join(compiled.select("query_id", "question"), "query_id")

@@ -1,6 +1,8 @@
 import io
 import zipfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from docquarry.operators import cache, context, embedding, records
@@ -123,3 +125,35 @@ def test_engine(spark):
     kinds = [e["type"] for e in engine.ask_stream(asked.where("query_id = 1"), today)]
     assert kinds[0] == "status" and kinds[-1] == "done" and "sources" in kinds
     assert jobs.answer_frames([{"type": "done"}]) == ['data: {"type": "done"}\n\n']
+
+
+def test_sessions_and_repairs(spark):
+    aliases = spark.createDataFrame([("k8s", "kubernetes", True)], "alias string, canonical string, active boolean")
+    asked = spark.createDataFrame([(1, "compare k8s costs"), (2, "hello k8s")], "query_id long, question string")
+    got = [tuple(r) for r in records.query_variants(asked, aliases).orderBy("query_id", "variant").collect()]
+    assert got[:2] == [(1, 0, "compare k8s costs"), (1, 1, "compare k8s costs kubernetes")] and got[-1] == (2, 0, "hello k8s")
+    docs = spark.createDataFrame([(i, "completed") for i in range(5)], "doc_id long, status string")
+    chunks = spark.createDataFrame([(i, i, f"text {i}", [0.0], "old") for i in range(5)], "doc_id long, chunk_id long, content string, embedding array<double>, model_name string")
+    vectors = spark.createDataFrame([(1,), (2,)], "chunk_id long")
+    first = spark.createDataFrame([(4,), (1,)], "doc_id long")
+    assert [r[0] for r in records.repair_selection(first, docs, chunks, vectors, newest=4, most=2).collect()] == [4, 0]
+    provider = embedding.provider_for("hashing", dimensions=8)
+    again = {r["doc_id"]: r for r in embedding.reembed(chunks, first, provider).collect()}
+    assert {i for i, r in again.items() if r["model_name"] == provider.name} == {1, 4} and len(again) == 5
+    assert len(again[4]["embedding"]) == 8 and again[0]["embedding"] == [0.0]
+    with pytest.raises(ValueError):
+        embedding.provider_for("nobody")
+    flags = spark.createDataFrame([(True,), (False,), (None,)], "active boolean")
+    assert records.active(flags).count() == 1
+
+
+def test_factual_questions_use_both_legs(spark):
+    docs = spark.createDataFrame([(1, "The budget of alpha is nine.", "A"), (2, "Nothing of that kind stands here.", "B")], "doc_id long, text string, title string")
+    docs = docs.withColumns({"user_name": F.lit("u"), "project": F.lit("p"), "report_date": F.lit("2024-01-01").cast("date"), "created_at": F.lit("2024-01-01").cast("timestamp")})
+    chunks = Engine.ingest(docs)
+    asked = spark.createDataFrame([(1, "what is the budget alpha"), (2, "budget alpha")], "query_id long, question string")
+    engine = Engine(chunks, settings=Settings(mode="vector", threshold=0.0, floor=-1.0))
+    kinds = {r["query_id"]: r["type"] for r in engine.compile(asked, F.current_date()).select("query_id", "type").collect()}
+    got = {r["query_id"]: r for r in engine.search(asked, F.current_date()).where("rank = 1").collect()}
+    assert kinds == {1: "factual", 2: "generic"} and set(got) == {1, 2}
+    assert got[1]["score"] == 1.0 and got[2]["score"] < 1.0
