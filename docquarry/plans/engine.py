@@ -79,7 +79,7 @@ class Engine:
         live = self.chunks.where("deleted_at IS NULL") if "deleted_at" in self.chunks.columns else self.chunks
         pool = live.where(retrieval.filters(where or {}, vector_leg=False))
         vector_pool = live.where(retrieval.filters(where or {}))
-        compiled = compiled.withColumn("mode", F.when(F.col("type") == "factual", "hybrid").otherwise(s.mode))  # names and figures need both legs
+        compiled = compiled.withColumn("mode", F.lit("hybrid") if s.mode == "hybrid" else F.when(F.col("type") == "factual", "hybrid").otherwise(s.mode))  # names and figures need both legs
         keyed = compiled.where("mode <> 'fts'").select("query_id", F.col("embedding_text").alias("text"), F.col("query_id").cast("string").alias("key"))
         vectors = embedding.embed(keyed, self.provider).join(keyed, "key").select("query_id", F.col("embedding").alias("query"))
         by_vector = retrieval.vector_topk_batch(vector_pool, vectors, fetch, tie="chunk_id").where(F.col("score") >= s.floor)
