@@ -109,6 +109,16 @@ def relative_period(question: Column) -> Column:
     return F.coalesce(*[F.when(question.rlike(pattern), F.lit(name)) for pattern, name in PERIODS])
 
 
+def resolve_times(question: Column, today: Column) -> Column:
+    """The question with the words of named periods put as dates, ``a to b`` for spans; English "last week" and the like stay."""
+    for pattern, name in PERIODS:
+        if not (name.startswith("last_") and pattern.startswith("(?i)")):
+            span = period_range(F.lit(name), today)
+            first, last = span["from"].cast("string"), span["to"].cast("string")
+            question = F.regexp_replace(question, pattern, F.when(first == last, first).otherwise(F.concat(first, F.lit(" to "), last)))
+    return question
+
+
 def _group(text: Column, pattern: str, k: int = 1) -> Column:
     found = F.regexp_extract(text, pattern, k)
     return F.when(found != "", found)

@@ -88,4 +88,4 @@ def with_header(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     )
     joined = chunks.join(docs.select("doc_id", "title", "user_name", "project", "report_date", "created_at"), "doc_id")
     full = F.concat(head, F.col("content"))
-    return joined.select("doc_id", "chunk_index", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")), 256).alias("chunk_id"), full.alias("content"), estimated_tokens(full).alias("token_count"), F.md5(full).alias("content_hash"), F.map_filter(facts, lambda _, v: v.isNotNull()).alias("metadata"), "char_start", "char_end")
+    return joined.select("doc_id", "chunk_index", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")), 256).alias("chunk_id"), full.alias("content"), estimated_tokens(full).alias("token_count"), F.md5(full).alias("content_hash"), F.map_filter(facts, lambda _, v: v.isNotNull()).alias("metadata"), "char_start", "char_end", "user_name", "project", "report_date", "created_at")

@@ -45,6 +45,26 @@ def merge_filters(extracted: dict, requested: dict, owner: str | int | None = No
     return merged if owner is None else {**merged, "user_ids": [owner]}
 
 
+#: What a question's own filters test: column of a chunk, filter, and how.
+OWN_FILTERS = (("user_name", "user_names", "in"), ("project", "project", "is"), ("report_date", "date_from", "from"), ("report_date", "date_to", "to"), ("doc_id", "doc_ids", "in"))
+
+
+def passes(wanted: str, row: str, held: list[str]) -> Column:
+    """Whether a chunk (a struct with the columns ``held``) meets a question's own filters (a struct); a null filter asks nothing."""
+    tests = []
+    for column, name, how in OWN_FILTERS:
+        if column in held:
+            asked, has = F.col(f"{wanted}.{name}"), F.col(f"{row}.{column}")
+            test = {"in": F.array_contains(asked, has), "is": has == asked, "from": has >= asked, "to": has <= asked}[how]
+            tests.append(asked.isNull() | F.coalesce(test, F.lit(False)))
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def facts(columns: list[str]) -> list[str]:
+    """The columns of a chunk that a question's own filters test."""
+    return [c for c in dict.fromkeys(column for column, _, _ in OWN_FILTERS) if c in columns]
+
+
 def vector_topk(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None, vector: str = "embedding", tie: str = "vec_id") -> DataFrame:
     """The k rows most similar to one vector; the threshold applies after the limit. Rows of another length have no part."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -59,12 +79,18 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: st
 
     A stated set of queries goes against all rows: queries are gathered in blocks
     of ``queries_at_once``, each block is compared with a row in one step, and
-    only the k best of a block and row group reach the shuffle.
+    only the k best of a block and row group reach the shuffle. If queries have own filters
+    (``wanted``), rows that fail them are dropped before they are scored.
     """
-    asked = queries.where(F.col("query").isNotNull()).select("query_id", F.col("query").alias("q"), norm(F.col("query")).alias("q_norm"))
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // queries_at_once))))).groupBy("block").agg(F.collect_list(F.struct("query_id", "q", "q_norm")).alias("qs"))
-    held = vectors.where(F.col(vector).isNotNull()).select(tie, F.col(vector).alias("v"), norm(F.col(vector)).alias("v_norm"))
-    each = held.join(blocks, how="cross").select(tie, "v", "v_norm", F.explode("qs").alias("a")).where(F.size("a.q") == F.size("v"))
+    own = ["wanted"] if "wanted" in queries.columns else []
+    has = facts(vectors.columns) if own else []
+    asked = queries.where(F.col("query").isNotNull()).select("query_id", F.col("query").alias("q"), norm(F.col("query")).alias("q_norm"), *own)
+    blocks = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // queries_at_once))))).groupBy("block").agg(F.collect_list(F.struct("query_id", "q", "q_norm", *own)).alias("qs"))
+    row = [F.struct(*has).alias("row")] if has else []
+    held = vectors.where(F.col(vector).isNotNull()).select(tie, F.col(vector).alias("v"), norm(F.col(vector)).alias("v_norm"), *row)
+    each = held.join(blocks, how="cross").select(tie, "v", "v_norm", *(["row"] if has else []), F.explode("qs").alias("a")).where(F.size("a.q") == F.size("v"))
+    if has:
+        each = each.where(passes("a.wanted", "row", has))
     scored = each.select(F.col("a.query_id").alias("query_id"), tie, cosine(F.col("v"), F.col("a.q"), F.col("v_norm"), F.col("a.q_norm")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", tie, "score")
@@ -90,12 +116,13 @@ def term_rank(n: Column) -> Column:
     return F.lit(0.1) * F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, j: s + 1 / (j * j)) / 1.64493406685
 
 
-def text_topk(docs: DataFrame, query_terms: DataFrame, k: int, mode: str = "all", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_topk(docs: DataFrame, query_terms: DataFrame, k: int, mode: str = "all", id_col: str = "doc_id", text_col: str = "text", wanted: DataFrame | None = None) -> DataFrame:
     """``query_id, rank, id, score`` for queries (query_id, term).
 
     ``mode``: all terms must occur, or any. The score is the sum of term ranks over the number
     of terms; scores equal to nine digits tie, to the lesser id. Tokens that no query asks for are
-    dropped before the shuffle, and occurrences are counted on the map side first.
+    dropped before the shuffle, and occurrences are counted on the map side first. ``wanted``
+    (query_id, wanted) gives queries their own filters, which hold before the k best are taken.
     """
     asked = query_terms.select("query_id", F.lower("term").alias("term")).distinct()
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
@@ -104,6 +131,9 @@ def text_topk(docs: DataFrame, query_terms: DataFrame, k: int, mode: str = "all"
     hits = counts.join(asked, "term").withColumn("w", term_rank(F.col("n")))
     scored = hits.groupBy("query_id", id_col).agg(F.count("*").alias("found"), F.sum("w").alias("w")).join(_few(sizes), "query_id")
     kept = scored if mode == "any" else scored.where("found = n_terms")
+    if wanted is not None and (has := facts(docs.columns)):
+        rows = docs.select(F.col(id_col).alias("_key"), F.struct(*has).alias("row"))
+        kept = kept.join(wanted.select("query_id", "wanted"), "query_id").join(rows, F.col(id_col) == F.col("_key")).where(passes("wanted", "row", has)).drop("wanted", "row", "_key")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_col)
     return kept.withColumn("score", F.col("w") / F.col("n_terms")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
 

@@ -1,6 +1,9 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.functions import questions
 from docquarry.functions.vectors import cosine
 from docquarry.operators import ranking, retrieval
 
@@ -93,3 +96,25 @@ def test_batch_search_is_one_scan_and_group_limit(spark):
     found = retrieval.vector_topk_batch(held, held.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 3)
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
     assert {r.vec_id for r in found.where("query_id = 8").collect()} == {8, 7, 6}
+
+
+def test_own_filters_hold_on_both_legs(spark):
+    rows = [(1, "Ann", "p", "2024-01-05"), (2, "Bo", "p", "2024-03-05"), (3, "Bo", "q", None)]
+    held = spark.createDataFrame([(i, u, p, d, "red", [1.0, float(i)]) for i, u, p, d in rows], "doc_id long, user_name string, project string, d string, text string, embedding array<double>").withColumns({"report_date": F.col("d").cast("date"), "vec_id": F.col("doc_id")})
+    kinds = "user_names: array<string>, project: string, date_from: date, date_to: date, doc_ids: array<long>"
+    day = datetime.date
+    asked = [(1, (["Ann"], None, None, None, None)), (2, (None, "p", None, None, None)), (3, (None, None, day(2024, 2, 1), day(2024, 12, 31), None)), (4, (None, None, None, None, [3])), (5, (None,) * 5)]
+    queries = spark.createDataFrame(asked, f"query_id long, wanted struct<{kinds}>").withColumn("query", F.array(F.lit(1.0), F.lit(0.5)))
+    want = {1: {1}, 2: {1, 2}, 3: {2}, 4: {3}, 5: {1, 2, 3}}
+    by_text = retrieval.text_topk(held, queries.select("query_id", F.lit("red").alias("term")), 5, wanted=queries)
+    for found in (retrieval.vector_topk_batch(held, queries, 5).select("query_id", F.col("vec_id").alias("doc_id")), by_text.select("query_id", "doc_id")):
+        got: dict = {}
+        for r in found.collect():
+            got.setdefault(r.query_id, set()).add(r.doc_id)
+        assert got == want
+
+
+def test_times_become_dates(spark):
+    said = spark.createDataFrame([("what came today?",), ("Yesterday and this week",), ("last week",), ("မနေ့ က",), (None,)], "s string")
+    got = said.select(questions.resolve_times(F.col("s"), F.lit("2026-05-20").cast("date")).alias("r")).collect()
+    assert [r.r for r in got] == ["what came 2026-05-20?", "2026-05-19 and 2026-05-18 to 2026-05-24", "last week", "2026-05-19 က", None]
