@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chosen_path, decontaminate
+from docquarry.llm import chosen_path, decontaminate, fim_rank, phrase_pivot
 from docquarry.llm.best_fit import pack_best_fit, token_pieces
 from docquarry.llm.bucket_refine import remove_repeats
 from docquarry.llm.decontaminate import contained_items
 from docquarry.llm.dimension_scan import search_lists
+from docquarry.llm.fim_rank import fill_in_middle, fim_digests
 from docquarry.llm.line_crf import fit_quality, quality_result
 from docquarry.llm.line_edit import dedup_lines
+from docquarry.llm.phrase_pivot import collocations
 from docquarry.llm.shared import staged
 from docquarry.llm.token_prefix import prefix_token_counts, token_totals
 from docquarry.llm.toxicity import fit_toxicity, toxicity_result
@@ -79,6 +81,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_repeated", "n_similar", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_rank_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op12_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), least=10, covered=50, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_dimension_scan": op1_dimension_scan,
@@ -91,8 +101,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chosen_path": op8_chosen_path,
         "op9_best_fit": op9_best_fit,
         "op10_line_dedup": op10_line_dedup,
+        "op11_rank_select": op11_rank_select,
+        "op12_pivot_phrases": op12_pivot_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_containment": decontaminate.ORACLE, "op5_warc_index": OP5_SQL, "op8_chosen_path": chosen_path.ORACLE}
+    return {"op3_containment": decontaminate.ORACLE, "op5_warc_index": OP5_SQL, "op8_chosen_path": chosen_path.ORACLE, "op11_rank_select": fim_rank.ORACLE, "op12_pivot_phrases": phrase_pivot.ORACLE}
