@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import chosen_path, decontaminate, fim_rank, phrase_pivot
 from docquarry.llm.best_fit import pack_best_fit, token_pieces
+from docquarry.llm.brown_lm import fit_brown, score_texts
 from docquarry.llm.bucket_refine import remove_repeats
 from docquarry.llm.decontaminate import contained_items
 from docquarry.llm.dimension_scan import search_lists
@@ -89,6 +90,11 @@ def op12_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"), least=10, covered=50, top=2000)
 
 
+def op13_brown_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_texts(docs, fit_brown(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_dimension_scan": op1_dimension_scan,
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": op10_line_dedup,
         "op11_rank_select": op11_rank_select,
         "op12_pivot_phrases": op12_pivot_phrases,
+        "op13_brown_ngrams": op13_brown_ngrams,
     }
 
 
