@@ -16,6 +16,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.llm.frequent import most_frequent
 from docquarry.llm.shared import staged, text_of
 from docquarry.llm.token_blocks import token_blocks
 
@@ -34,7 +36,7 @@ MAP_BITS = 1 << 25
 #: Fragments of one pivot in one partition, about; a pivot with more is dealt to several.
 FRAGMENTS = 1_000_000
 #: Tokens whose fragments are put together before they are sent; fragments that are mined at a time.
-TOKENS, MINED = 4_000_000, 500_000
+TOKENS, MINED = 1_500_000, 300_000
 GAP, HASHED = -1, 1 << 61
 LONGEST = 3
 
@@ -78,8 +80,9 @@ def _hashed(lang: Column, word: Column, seed: int) -> Column:
 class WordIds(dict):
     """Ids of the words of one language; words that are not ranked get theirs from a hash, if they may be frequent."""
 
-    def __init__(self, lang: str, seed: int, frequent: np.ndarray):
-        super().__init__({b".": GAP})
+    def __init__(self, lang: str, ranked: tuple[bytes, np.ndarray], seed: int, frequent: np.ndarray):
+        super().__init__(zip(ranked[0].split(b"\n"), ranked[1].tolist()) if len(ranked[1]) else ())
+        self[b"."] = GAP
         self.start, self.frequent = f"{seed}.{lang}.".encode(), frequent
 
     def __missing__(self, word: bytes) -> int:
@@ -88,20 +91,32 @@ class WordIds(dict):
         return HASHED + h if self.frequent[place >> 3] >> (place & 7) & 1 else GAP
 
 
+@dataclass
+class FrequentWords:
+    """What tells words apart in tasks: at most RANKED words (with a line break between them, by language) with their ranks, their
+    counts by rank, and MAP_BITS bits that mark the hashes of the other frequent words."""
+
+    ranked: dict[str, tuple[bytes, np.ndarray]]
+    counts: np.ndarray
+    seed: int
+    frequent: np.ndarray
+
+    def ids(self, lang: str) -> WordIds:
+        return WordIds(lang, self.ranked.get(lang, (b"", np.zeros(0, np.int64))), self.seed, self.frequent)
+
+
 _tables: dict[str, dict[str, WordIds]] = {}
 
 
-def _ids_of(key: str, ranked: list[tuple[str, bytes]], lang: str, seed: int, frequent: np.ndarray) -> WordIds:
-    """The ids of a language in this Python worker."""
+def _ids_of(key: str, words: FrequentWords, lang: str) -> WordIds:
+    """The ids of a language, kept by this Python worker if it has ranked words."""
     if key not in _tables:
         _tables.clear()
         _tables[key] = {}
-        for rank, (at, word) in enumerate(ranked):
-            if at not in _tables[key]:
-                _tables[key][at] = WordIds(at, seed, frequent)
-            _tables[key][at][word] = rank
+    if lang not in words.ranked:
+        return words.ids(lang)
     if lang not in _tables[key]:
-        return WordIds(lang, seed, frequent)
+        _tables[key][lang] = words.ids(lang)
     return _tables[key][lang]
 
 
@@ -169,15 +184,13 @@ def mine_rows(rows: np.ndarray, n: np.ndarray, alone: np.ndarray, least: int) ->
     return np.stack(grams, axis=1), counts
 
 
-def phrase_counts(texts: DataFrame, ranked: list[tuple[str, bytes]], often: np.ndarray, seed: int, frequent: np.ndarray, least: int) -> DataFrame:
+def phrase_counts(texts: DataFrame, words: FrequentWords, least: int) -> DataFrame:
     """w1, w2, w3 (GAP: none), a of every phrase of two and three words that occurs at least ``least`` times."""
-    key, spark = uuid.uuid4().hex, texts.sparkSession
-    # bounded: RANKED words of at most RANKED_BYTES, their counts, and MAP_BITS bits
-    table = spark.sparkContext.broadcast((ranked, often, frequent))
+    key = uuid.uuid4().hex
+    table = texts.sparkSession.sparkContext.broadcast(words)  # of bounded size
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, bits = table.value
-        shares_of = np.minimum(1 + counts // FRAGMENTS, 1 << 30)
+        shares_of = np.minimum(1 + table.value.counts // FRAGMENTS, 1 << 30)
 
         def send(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(parts)
@@ -190,7 +203,7 @@ def phrase_counts(texts: DataFrame, ranked: list[tuple[str, bytes]], often: np.n
 
         waiting, held = [], 0
         for lang, tokens, begin, end in _blocks(batches):
-            known = _ids_of(key, words, lang, seed, bits)
+            known = _ids_of(key, table.value, lang)
             rows = fragments_of(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), begin, end)
             if len(rows):
                 waiting.append(rows)
@@ -227,15 +240,16 @@ def phrase_counts(texts: DataFrame, ranked: list[tuple[str, bytes]], often: np.n
     return local.groupBy("w1", "w2", "w3").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
-def _frequent_words(counts: DataFrame, least: int) -> tuple[DataFrame, list[tuple[str, bytes]], np.ndarray, int, np.ndarray]:
-    """The ids (id, lang, word, f, ranked) of words that occur ``least`` times, the ranked ones, their counts, the seed and the map of the others."""
+def _frequent_words(counts: DataFrame, least: int) -> tuple[DataFrame, FrequentWords]:
+    """The words that occur ``least`` times (id, lang, word, f, ranked), and what tells them apart in tasks."""
     spark = counts.sparkSession
-    short = counts.where((F.col("n") >= least) & (F.octet_length("word") <= RANKED_BYTES))
-    top = short.orderBy(F.desc("n"), "lang", "word").limit(RANKED).collect()  # RANKED rows of bounded width
-    ranked = [(r["lang"], r["word"].encode()) for r in top]
-    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(top), dtype=np.int64), "lang": [r["lang"] for r in top], "word": [r["word"] for r in top], "f": np.array([r["n"] for r in top], np.int64)}), "id long, lang string, word string, f long")
-    rows = F.broadcast(rows)
-    rest = counts.join(rows.select("lang", "word"), ["lang", "word"], "left_anti")
+    top, floor = most_frequent(counts, RANKED, RANKED_BYTES, least)
+    langs, texts, often = np.array(top.column("lang").to_pylist(), object), np.array(top.column("word").to_pylist(), object), top.column("n").to_numpy()
+    ranked = {lang: ("\n".join(texts[at := np.flatnonzero(langs == lang)]).encode(), at) for lang in sorted(set(langs))}
+    table = pa.table({"id": np.arange(len(top)), "lang": top.column("lang"), "word": top.column("word"), "f": top.column("n"), "ranked": np.ones(len(top), bool)})
+    rows = spark.createDataFrame(table.to_pandas(), "id long, lang string, word string, f long, ranked boolean")
+    is_ranked = (F.col("n") >= floor) & (F.octet_length("word") <= RANKED_BYTES) if floor is not None else F.lit(False)
+    rest = counts.where(~is_ranked)
     for seed in range(64):
         named = rest.withColumn("id", _hashed(F.col("lang"), F.col("word"), seed))
         clash = named.groupBy("id").agg(F.count("*").alias("words"), F.max("n").alias("n")).where((F.col("words") > 1) & (F.col("n") >= least))
@@ -249,8 +263,8 @@ def _frequent_words(counts: DataFrame, least: int) -> tuple[DataFrame, list[tupl
     frequent = np.zeros(MAP_BITS // 8, np.uint8)
     for r in held.collect():  # MAP_BITS bits at most
         frequent[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    words = rows.select("id", "lang", "word", "f", F.lit(True).alias("ranked")).unionByName(named.select("id", "lang", "word", F.col("n").alias("f"), F.lit(False).alias("ranked")))
-    return words, ranked, np.array([r["n"] for r in top], np.int64), seed, frequent
+    words = rows.unionByName(named.select("id", "lang", "word", F.col("n").alias("f"), F.lit(False).alias("ranked")))
+    return words, FrequentWords(ranked, often, seed, frequent)
 
 
 def _named(phrases: DataFrame, words: DataFrame, at: str) -> DataFrame:
@@ -274,9 +288,9 @@ def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int =
     texts = docs.select(lang.alias("lang"), text_of().alias("text")).where("text <> ''")
     counts = staged(word_counts(texts), "word-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    words, ranked, often, seed, frequent = _frequent_words(counts, least)
+    words, table = _frequent_words(counts, least)
     words = staged(words, "frequent-words")
-    grams = staged(phrase_counts(texts, ranked, often, seed, frequent, least), "phrases")
+    grams = staged(phrase_counts(texts, table, least), "phrases")
 
     pairs = grams.where(F.col("w3") == GAP).select("w1", "w2", "a")
     threes = grams.where(F.col("w3") != GAP)
