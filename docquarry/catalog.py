@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import questions as q
 from docquarry.functions import text as t
 from docquarry.functions.vectors import cosine
-from docquarry.operators import cache, chunking, context, embedding, ranking, records, retrieval
+from docquarry.operators import cache, chunking, context, embedding, ranking, records, retrieval, textsearch
 from docquarry.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,21 +282,56 @@ def fts_match_bool(spark, sf_dir):
     return retrieval.match_terms(documents(spark, sf_dir), every=["the"], some=["idiot", "license", "licensed"], none=["gnu"]).select("doc_id")
 
 
-_FTS = f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
-SELECT query_id, doc_id, sum(w) / any_value(n_terms) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(w) / any_value(n_terms), 9) DESC, doc_id) AS rank FROM
- (SELECT doc_id, term, 0.1 * list_sum(list_transform(range(1, count(*) + 1), lambda j: 1.0 / (j * j))) / 1.64493406685 AS w FROM (SELECT doc_id, unnest({TERMS.format(t='text')}) AS term FROM documents) GROUP BY doc_id, term)
- JOIN (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format(t='text')}) AS term FROM benchmark)) USING (term)
- GROUP BY query_id, doc_id HAVING count(*) = any_value(n_terms)) WHERE rank <= 10"""
+# searches as SQL: `a` holds the asked terms of each search, `m` the texts that meet it
+_PLACES = f"pl AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, {TERMS.format(t='text')} AS w FROM documents))"
+_OWN = "o AS (SELECT m.query_id, m.doc_id, a.term, p FROM m JOIN a USING (query_id) JOIN pl ON pl.doc_id = m.doc_id AND pl.term = a.term)"
+_NEAR = "s AS (SELECT x.query_id, x.doc_id, sum(ln(1 - sqrt(0.01 / (1.005 + 0.05 * exp((y.p - x.p) / 1.5 - 2))))) AS s FROM o x JOIN o y ON x.query_id = y.query_id AND x.doc_id = y.doc_id AND y.p > x.p AND y.p - x.p <= 100 AND x.term <> y.term GROUP BY ALL)"
+_OFTEN = "c AS (SELECT query_id, doc_id, sum(0.1 * list_sum(list_transform(range(1, n + 1), lambda j: 1.0 / (j * j))) / 1.64493406685) AS s FROM (SELECT query_id, doc_id, term, count(*) AS n FROM o GROUP BY ALL) GROUP BY ALL)"
+_BEST = "SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({scored}))"
+_ITEM_TERMS = f"a AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format(t='text')}) AS term FROM benchmark))"
+_ALL_HELD = "m AS (SELECT query_id, doc_id FROM pl JOIN a USING (term) GROUP BY query_id, doc_id HAVING count(DISTINCT term) = any_value(n_terms))"
+_ANY_HELD = "m AS (SELECT DISTINCT query_id, doc_id FROM pl JOIN a USING (term))"
+_N = "n AS (SELECT query_id, count(DISTINCT term) AS n FROM a GROUP BY query_id)"
+_ALL_SCORED = "SELECT m.query_id, m.doc_id, CASE WHEN n.n > 1 THEN coalesce(1 - exp(s.s), 0) ELSE c.s / n.n END AS score FROM m JOIN n USING (query_id) LEFT JOIN s USING (query_id, doc_id) LEFT JOIN c USING (query_id, doc_id)"
+_FTS = f"WITH {_PLACES}, {_ITEM_TERMS}, {_ALL_HELD}, {_OWN}, {_NEAR}, {_OFTEN}, {_N} " + _BEST.format(scored=_ALL_SCORED) + " WHERE rank <= 10"
 
 
-def _fts(spark, sf_dir, k=10):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(t.terms(F.col("text"))).alias("term"))
-    return retrieval.text_topk(documents(spark, sf_dir), asked, k)
+def _item_terms(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(t.terms(F.col("text"))).alias("term"))
 
 
 @query(f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({_FTS})")
 def fts_rank_topk(spark, sf_dir):
-    return _fts(spark, sf_dir).withColumn("score", F.round("score", 6))
+    found = retrieval.text_topk(documents(spark, sf_dir), _item_terms(spark, sf_dir), 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+# any of four words of each item
+_FOUR = f"a AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice({TERMS.format(t='text')}, 1, 4)) AS term FROM benchmark)"
+_ANY_SCORED = "SELECT query_id, doc_id, c.s / n.n AS score FROM c JOIN n USING (query_id)"
+
+
+@query(f"WITH {_PLACES}, {_FOUR}, {_ANY_HELD}, {_OWN}, {_OFTEN}, {_N} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (" + _BEST.format(scored=_ANY_SCORED) + ") WHERE rank <= 10")
+def fts_rank_any(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(t.terms(F.col("text")), 1, 4)).alias("term"))
+    return retrieval.text_topk(documents(spark, sf_dir), asked, 10, mode="any").withColumn("score", F.round("score", 6))
+
+
+# the first four distinct words of a turn, in order of their first place
+_TURN_WORDS = f"""t AS (SELECT query_id, list(term ORDER BY p) AS w FROM (SELECT query_id, term, min(p) AS p FROM (SELECT conv_id * 1000 + turn AS query_id, unnest(w) AS term, generate_subscripts(w, 1) AS p
+ FROM (SELECT *, {TERMS.format(t='text')} AS w FROM conversations)) GROUP BY ALL) GROUP BY query_id HAVING count(*) >= 4)"""
+_TURN_SEARCH = f"""WITH {_PLACES}, {_TURN_WORDS}, a AS (SELECT query_id, unnest(list_slice(w, 1, 4)) AS term FROM t), d AS (SELECT doc_id, list(DISTINCT term) AS h FROM pl GROUP BY doc_id),
+m AS (SELECT query_id, doc_id FROM t JOIN pl ON pl.term = t.w[3] JOIN d USING (doc_id) WHERE (list_contains(h, w[1]) OR list_contains(h, w[2])) AND NOT list_contains(h, w[4]) GROUP BY ALL), {_OWN}, {_NEAR}
+"""
+
+
+@query(_TURN_SEARCH + "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (" + _BEST.format(scored="SELECT query_id, doc_id, coalesce(1 - exp(s.s), 0) AS score FROM m LEFT JOIN s USING (query_id, doc_id)") + ") WHERE rank <= 5")
+def fts_boolean_search(spark, sf_dir):
+    """``(first | second) & third & !fourth`` of the distinct words of every turn, as text that is compiled to rows."""
+    said = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.array_distinct(t.terms(F.col("text"))).alias("w")).where(F.size("w") >= 4)
+    search = F.concat(F.lit("("), F.col("w")[0], F.lit(" | "), F.col("w")[1], F.lit(") & "), F.col("w")[2], F.lit(" & !"), F.col("w")[3])
+    rows = textsearch.search_rows(said.select("query_id", q.sanitise_boolean(search).alias("boolean")))
+    return textsearch.search_texts(documents(spark, sf_dir), rows, 5).withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT doc_id, term, CAST(count(*) AS INTEGER) AS n, CAST(min(pos) AS INTEGER) AS first FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {TERMS.format(t='text')} AS w FROM documents)) GROUP BY ALL")
@@ -328,10 +363,22 @@ def rrf_fusion(spark, sf_dir):
     return retrieval.fuse(*_legs(spark, sf_dir), 15).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {DOCS} SELECT query_id, rank, chunk_id, project, round(score, 6) AS score FROM ({_FUSED}) JOIN docs ON chunk_id = doc_id""")
+# the text leg asks for the first two distinct words of the document of the vector; both legs meet in the fusion
+_QUERY_WORDS = f"""a AS (SELECT query_id, unnest(list_slice(w, 1, 2)) AS term FROM (SELECT doc_id AS query_id, list(term ORDER BY p) AS w FROM (SELECT doc_id, term, min(p) AS p FROM pl WHERE doc_id % 50 = 0 GROUP BY ALL) GROUP BY doc_id)),
+g AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms FROM a)"""
+_TEXT_LEG = f"WITH {_PLACES}, {_QUERY_WORDS}, {_ALL_HELD.replace('JOIN a USING', 'JOIN g USING')}, {_OWN}, {_NEAR}, {_OFTEN}, {_N} SELECT query_id, rank, doc_id AS chunk_id FROM (" + _BEST.format(scored=_ALL_SCORED) + ") WHERE rank <= 15"
+_HYBRID = _FUSED.replace(f"({_B})", f"({_TEXT_LEG})")
+
+
+@query(f"""WITH {DOCS} SELECT query_id, rank, chunk_id, project, round(score, 6) AS score FROM ({_HYBRID}) JOIN docs ON chunk_id = doc_id""")
 def hybrid_search(spark, sf_dir):
-    fused = retrieval.fuse(*_legs(spark, sf_dir), 15)
-    return fused.join(documents(spark, sf_dir).select("doc_id", "project"), F.col("chunk_id") == F.col("doc_id")).select("query_id", "rank", "chunk_id", "project", F.round("score", 6).alias("score"))
+    docs = documents(spark, sf_dir)
+    by_vector = _legs(spark, sf_dir)[0]
+    words = F.slice(F.array_distinct(t.terms(F.col("text"))), 1, 2)
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(words).alias("term"))
+    by_text = retrieval.text_topk(docs, asked, 15).select("query_id", "rank", F.col("doc_id").alias("chunk_id"))
+    fused = retrieval.fuse(by_vector, by_text, 15)
+    return fused.join(docs.select("doc_id", "project"), F.col("chunk_id") == F.col("doc_id")).select("query_id", "rank", "chunk_id", "project", F.round("score", 6).alias("score"))
 
 
 @query(f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM (
@@ -569,12 +616,15 @@ def reembed_choice(spark, sf_dir):
 
 
 _KEPT = r"trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9\s&|!()''\x{1000}-\x{109F}]', ' ', 'g'), '\s+', ' ', 'g'))"
-_JOIN = r"regexp_replace({t}, '([^\s&|!(]) ([^\s&|)])', '\1 & \2', 'g')"
-_JOINED = _JOIN.format(t=_JOIN.format(t=_KEPT))
+_JOIN = r"regexp_replace(%s, '([A-Za-z0-9\x{1000}-\x{109F}]) ([A-Za-z0-9\x{1000}-\x{109F}])', '\1 & \2', 'g')"
+_JOINED = _JOIN % (_JOIN % _KEPT)
+# brackets close in order, and operators stand between terms
+_CLOSED = "list_bool_and(list_transform(range(0, length(j) + 1), lambda i: length(replace(j[1:i], ')', '')) >= length(replace(j[1:i], '(', '')))) AND length(replace(j, ')', '')) = length(replace(j, '(', ''))"
+_LOOSE = r"regexp_matches(regexp_replace(j, '\s+', '', 'g'), '^[&|)]|[&|!(]$|[&|(][&|)]|![&|)]|[^&|!(][(!]|\)[^&|)]')"
+_SEARCH = f"CASE WHEN j NOT IN ('', repeat(chr(39), 2), '()') AND {_CLOSED} AND NOT {_LOOSE} THEN j END"
 
 
-@query(f"""SELECT conv_id, turn, nullif(nullif(nullif(j, ''), repeat(chr(39), 2)), '()') AS search,
-CASE WHEN nullif(nullif(nullif(j, ''), repeat(chr(39), 2)), '()') IS NOT NULL THEN 'boolean' WHEN trim(text) <> '' THEN 'plain' ELSE 'none' END AS strategy
+@query(f"""SELECT conv_id, turn, {_SEARCH} AS search, CASE WHEN {_SEARCH} IS NOT NULL THEN 'boolean' WHEN trim(text) <> '' THEN 'plain' ELSE 'none' END AS strategy
 FROM (SELECT *, {_JOINED} AS j FROM conversations)""")
 def boolean_sanitised(spark, sf_dir):
     said = table(spark, sf_dir, "conversations").withColumn("search", q.sanitise_boolean(F.col("text")))

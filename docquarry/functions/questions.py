@@ -5,12 +5,13 @@ One question is a table of one row; a million questions take the same plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The words that results depend on.
+# The words, names, periods, spellings and synonyms that results depend on.
 COMPARATIVE = ("compare", "comparison", "versus", "vs", "difference", "better", "worse", "ကွဲပြား", "ယှဉ်", "နှိုင်း", "ဘယ်ဟာက", "ဘယ်ဟာပို", "differences")
 ANALYTICAL = ("trend", "pattern", "analy", "explain", "why", "reason", "relationship", "correlat", "ပြောင်းလဲ", "ခေတ်ရေစီးကြောင်း", "ဘာကြောင့်", "ရှင်းပြ", "ဆက်စပ်", "ခွဲခြမ်း")
 FACTUAL = ("who", "what", "when", "where", "how much", "how many", "amount", "total", "number", "ဘယ်သူ", "ဘယ်", "ဘယ်နှစ်", "ဘယ်လောက်", "ဘယ်အချိန်", "ဘယ်နေ့", "ဘယ်မှာ", "ပမာဏ", "စုစုပေါင်း")
@@ -119,48 +120,69 @@ def resolve_times(question: Column, today: Column) -> Column:
     return question
 
 
-def _group(text: Column, pattern: str, k: int = 1) -> Column:
-    found = F.regexp_extract(text, pattern, k)
-    return F.when(found != "", found)
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in the expression."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _month_number(name: Column) -> Column:
-    return reduce(lambda a, k: a.when(F.lower(name) == MONTHS[k].lower(), k + 1), range(12), F.when(F.lit(False), 0))
+#: What of a question can be a date, in one pass: a form that is part of a more exact one gives way, and other words are passed over whole.
+_NAMES = "|".join(MONTHS)
+_BURMESE = "|".join(MYANMAR_MONTHS)
+_LEXEMES = (
+    r"(?i)\b\d{4}-\d{2}-\d{2}\b" rf"|\b\d{{4}}-(?:\d{{2}}|{_NAMES})\b" rf"|\b(?:{_NAMES})\s+\d{{1,2}}\b" r"|\bQ[1-4]\s*\d{4}\b(?!-\d)" rf"|\b(?:{_NAMES})\s+\d{{4}}\b(?!-\d)"
+    rf"|\d{{4}}\s*ခုနှစ်\s*(?:{_BURMESE})လ|(?:{_BURMESE})လ(?:\s*\d{{4}}(?![-\d]))?" r"|\b\d{4}\b|\w+"
+)
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat(year.cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0")))
+def _month_of(lexeme: Column) -> Column:
+    """The number of the month whose name, of either language, a lexeme holds; 0 for none."""
+    english = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(F.regexp_extract(lexeme, rf"(?i)({_NAMES})", 1)))
+    return F.greatest(english, F.array_position(F.array(*[F.lit(m) for m in MYANMAR_MONTHS]), F.regexp_extract(lexeme, rf"({_BURMESE})လ", 1))).cast("int")
+
+
+def _dated(lexeme: Column, today: Column) -> Column:
+    """Rank, first and last day of a lexeme; the most exact form has the least rank, what is no date has null days.
+
+    A day after the month's end is the month's last where the month is named, the whole month where it is a number.
+    """
+    number = lambda pattern, k=1: F.regexp_extract(lexeme, pattern, k).try_cast("int")
+    named = lexeme.rlike(rf"(?i){_NAMES}")
+    burmese = lexeme.rlike(_BURMESE)
+    rank = (
+        F.when(lexeme.rlike(r"^\d{4}-\d{2}-\d{2}$"), 1).when(lexeme.rlike(r"^\d{4}-"), 2).when(lexeme.rlike(r"(?i)^Q[1-4]\s*\d{4}$"), 4).when(burmese, 6)
+        .when(named & lexeme.rlike(r"\s\d{1,2}$"), 3).when(named & lexeme.rlike(r"\s\d{4}$"), 5).when(lexeme.rlike(r"^\d{4}$"), 7)
+    )
+    parts = F.struct(
+        rank.alias("rank"),
+        F.coalesce(number(r"(?i)^q[1-4]\s*(\d{4})$"), number(r"(\d{4})"), F.year(today)).alias("y"),
+        F.coalesce(F.when(lexeme.rlike(r"^\d{4}-\d"), number(r"^\d{4}-(\d{2})")), F.when(lexeme.rlike("(?i)^q"), number(r"(?i)^q([1-4])") * 3 - 2), F.nullif(_month_of(lexeme), F.lit(0)), F.lit(1)).alias("m"),
+        F.coalesce(number(r"^\d{4}-\d{2}-(\d{2})$"), number(r"\s(\d{1,2})$"), F.lit(1)).alias("d"),
+    )
+
+    def days(p: Column) -> Column:
+        fits = p["rank"].isNotNull() & p["m"].between(1, 12) & (p["d"] >= 1)
+
+        def span(first: Column) -> Column:
+            last = F.last_day(first)
+            day = F.when((p["rank"] == 3) | (p["rank"] == 1) & (p["d"] <= F.dayofmonth(last)), F.least(F.date_add(first, p["d"] - 1), last))
+            end = F.when(p["rank"] == 4, F.last_day(F.add_months(first, 2))).when(p["rank"] == 7, F.last_day(F.add_months(first, 11))).otherwise(last)
+            return F.struct(p["rank"].alias("rank"), F.coalesce(day, first).alias("from"), F.coalesce(day, end).alias("to"))
+
+        return _bound(F.when(fits, F.make_date(p["y"], p["m"], F.lit(1))), span)
+
+    return _bound(parts, days)
 
 
 def date_range(question: Column, today: Column) -> Column:
     """``from`` and ``to`` of the dates that a question names, or null.
 
-    Digits of either script count. The most exact form wins: day, month, month
-    name and day, quarter, month name and year, year; then Myanmar months, then
-    named periods. Impossible days give no range.
+    Digits of either script count. The most exact form wins, then the first: day, month, month
+    name and day, quarter, month name and year, Myanmar months (of this year, if they name none), year; then
+    named periods. A day after the end of a named month is its last, after that of a numbered one the whole month; other impossible dates give no range.
     """
-    q = F.translate(question, MYANMAR_DIGITS, "0123456789")
-    day = F.try_to_date(_group(q, r"\b(\d{4}-\d{2}-\d{2})\b"))
-    month_of = _date(_group(q, r"\b(\d{4})-(\d{2})\b"), _group(q, r"\b(\d{4})-(\d{2})\b", 2), F.lit(1))
-    named = _date(_group(q, rf"(?i)\b(\d{{4}})-{_MONTH}\b"), _month_number(_group(q, rf"(?i)\b(\d{{4}})-{_MONTH}\b", 2)), F.lit(1))
-    month_day = _date(F.year(today), _month_number(_group(q, rf"(?i)\b{_MONTH}\s+(\d{{1,2}})\b")), _group(q, rf"(?i)\b{_MONTH}\s+(\d{{1,2}})\b", 2))
-    quarter = _date(_group(q, r"(?i)\bQ([1-4])\s*(\d{4})\b", 2), (_group(q, r"(?i)\bQ([1-4])\s*(\d{4})\b").cast("int") - 1) * 3 + 1, F.lit(1))
-    month_year = _date(_group(q, rf"(?i)\b{_MONTH}\s+(\d{{4}})\b", 2), _month_number(_group(q, rf"(?i)\b{_MONTH}\s+(\d{{4}})\b")), F.lit(1))
-    year = _date(_group(q, r"\b(\d{4})\b"), F.lit(1), F.lit(1))
-    burmese = [
-        _date(F.coalesce(_group(q, rf"(\d{{4}})\s*ခုနှစ်\s*{name}လ"), _group(q, rf"{name}လ\s*(\d{{4}})"), F.when(q.rlike(f"{name}လ"), F.year(today).cast("string"))), F.lit(k), F.lit(1)) for k, name in enumerate(MYANMAR_MONTHS, 1)
-    ]
-    month = lambda d: F.when(d.isNotNull(), _span(d, F.last_day(d)))
-    return F.coalesce(
-        F.when(day.isNotNull(), _span(day, day)),
-        month(F.coalesce(month_of, named)),
-        F.when(month_day.isNotNull(), _span(month_day, month_day)),
-        F.when(quarter.isNotNull(), _span(quarter, F.last_day(F.add_months(quarter, 2)))),
-        month(month_year),
-        month(F.coalesce(*burmese)),
-        F.when(year.isNotNull(), _span(year, F.date_sub(F.add_months(year, 12), 1))),
-        period_range(relative_period(question), today),
-    )
+    said = F.transform(F.regexp_extract_all(F.translate(question, MYANMAR_DIGITS, "0123456789"), F.lit(_LEXEMES), 0), lambda x, i: F.struct(_dated(x, today).alias("day"), i.alias("at")))
+    found = F.transform(F.filter(said, lambda x: x["day"]["from"].isNotNull()), lambda x: F.struct(x["day"]["rank"].alias("rank"), x["at"].alias("at"), _span(x["day"]["from"], x["day"]["to"]).alias("days")))
+    return F.coalesce(_bound(F.array_min(found), lambda best: best["days"]), _bound(relative_period(question), lambda p: period_range(p, today)))
 
 
 def search_terms(question: Column) -> Column:
@@ -174,20 +196,42 @@ def search_terms(question: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, F.lower(w))))
 
 
-def boolean_query(question: Column) -> Column:
-    """Terms joined by ``&``; a negator turns the term before it into ``!term``."""
-    tokens = F.split(F.trim(question), r"\s+")
-    keep = lambda w: ~w.rlike(r"[^\x00-\x7F]") & ~w.rlike(r"^\d{4}[-./]\d{1,2}([-./]\d{1,2})?$|^\d+$") & (w != "")
-    marked = F.transform(tokens, lambda w, i: F.when(F.get(tokens, i + 1).rlike("^မဟုတ်"), F.concat(F.lit("!"), w)).otherwise(w))
-    clean = F.filter(marked, lambda w: keep(F.ltrim(w, F.lit("!"))))
-    return F.when(F.size(clean) > 0, F.array_join(clean, " & "))
+def _asked_tokens(question: Column) -> Column:
+    """Structs (word, negated) of the words of a question that a boolean search asks for.
+
+    A negator marks the word before it; negators, words of other letters than ASCII, dates and bare numbers go.
+    """
+    words = F.filter(F.split(question, r"\s+"), lambda w: w != "")
+    keep = lambda w: ~w.rlike(r"[^\x00-\x7F]") & ~w.rlike(r"^\d{4}[-./]\d{1,2}([-./]\d{1,2})?$|^\d+$")
+    return _bound(words, lambda ws: F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get(ws, i + 1).rlike("^မဟုတ်"), F.lit(False)).alias("negated"))), lambda x: keep(x["word"])))
+
+
+def boolean_query(question: Column, also: Column | None = None) -> Column:
+    """Terms joined by ``&``; a negator turns the term before it into ``!term``.
+
+    ``also`` (a map from words in lower case) makes ``(term | other)`` of a term that it holds.
+    """
+    other = (lambda w: F.try_element_at(also, F.lower(w))) if also is not None else (lambda w: F.lit(None).cast("string"))
+    group = lambda x: F.when(other(x["word"]) != x["word"], F.concat(F.lit("("), x["word"], F.lit(" | "), other(x["word"]), F.lit(")"))).otherwise(x["word"])
+    said = F.transform(_asked_tokens(question), lambda x: F.concat(F.when(x["negated"], "!").otherwise(""), group(x)))
+    return F.when(F.size(said) > 0, F.array_join(said, " & "))
+
+
+def well_formed(search: Column) -> Column:
+    """Whether a boolean search has its brackets closed in order, and an operator between all terms and nowhere else."""
+    packed = F.regexp_replace(search, r"\s+", "")
+    depth = F.aggregate(F.split(packed, ""), F.struct(F.lit(0).alias("open"), F.lit(0).alias("least")), lambda s, c: F.struct((s["open"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("open"), F.least(s["least"], s["open"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("least")))
+    return ~packed.rlike(r"^[&|)]|[&|!(]$|[&|(][&|)]|![&|)]|[^&|!(][(!]|\)[^&|)]") & (packed != "") & _bound(depth, lambda d: (d["open"] == 0) & (d["least"] == 0))
 
 
 def sanitise_boolean(text: Column) -> Column:
-    """A boolean search with letters, digits, operators and Burmese only, ``&`` between words that stand side by side; null if nothing is left."""
+    """A boolean search with letters, digits, operators and Burmese only, ``&`` between words that stand side by side.
+
+    Null if nothing is left, or if what is left is not well formed.
+    """
     kept = F.trim(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9\s&|!()'\x{1000}-\x{109F}]", " "), r"\s+", " "))
-    joined = F.regexp_replace(kept, r"(?<=[^\s&|!(]) (?=[^\s&|)])", " & ")
-    return F.when(~joined.isin("", "''", "()"), joined)
+    joined = F.regexp_replace(kept, r"(?<=[A-Za-z0-9\x{1000}-\x{109F}]) (?=[A-Za-z0-9\x{1000}-\x{109F}])", " & ")
+    return _bound(joined, lambda j: F.when(~j.isin("", "''", "()") & well_formed(j), j))
 
 
 def search_strategy(boolean: Column, plain: Column) -> Column:

@@ -3,67 +3,13 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import terms
 from docquarry.functions.vectors import cosine, norm
-
-#: Metadata keys that may be filtered on.
-META_KEYS = ("user_id", "user_name", "project", "report_date", "document_title", "section", "page_number")
-
-
-def filters(where: dict, vector_leg: bool = True) -> Column:
-    """One predicate from a filter map; unknown metadata keys are an error.
-
-    Keys: document_ids, user_ids, date_from, date_to (of created_at), project,
-    report_date_from, report_date_to, model_name (vector leg only), meta.
-    """
-    parts = [F.col("deleted_at").isNull()] if where.get("live_only") else []
-    for key, column in (("document_ids", "doc_id"), ("user_ids", "user_id")):
-        if where.get(key):
-            parts.append(F.col(column).isin(list(where[key])))
-    for key, column, op in (("date_from", "created_at", "ge"), ("date_to", "created_at", "le"), ("report_date_from", "report_date", "ge"), ("report_date_to", "report_date", "le")):
-        if where.get(key) is not None:
-            value = F.lit(where[key])
-            parts.append(F.col(column) >= value if op == "ge" else F.col(column) <= value)
-    for key in ("project", *(("model_name",) if vector_leg else ())):
-        if where.get(key) is not None:
-            parts.append(F.col(key) == where[key])
-    for key, value in (where.get("meta") or {}).items():
-        if key not in META_KEYS:
-            raise ValueError(f"{key} is not a metadata key")
-        parts.append(F.col("metadata")[key] == str(value))
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
-
-
-def merge_filters(extracted: dict, requested: dict, owner: str | int | None = None) -> dict:
-    """What was asked for overrides what was read from the question; the owner overrides both."""
-    merged = {**extracted, **{k: v for k, v in requested.items() if k in ("document_ids", "date_from", "date_to", "meta")}}
-    return merged if owner is None else {**merged, "user_ids": [owner]}
-
-
-#: What a question's own filters test: column of a chunk, filter, and how.
-OWN_FILTERS = (("user_name", "user_names", "in"), ("project", "project", "is"), ("report_date", "date_from", "from"), ("report_date", "date_to", "to"), ("doc_id", "doc_ids", "in"))
-
-
-def passes(wanted: str, row: str, held: list[str]) -> Column:
-    """Whether a chunk (a struct with the columns ``held``) meets a question's own filters (a struct); a null filter asks nothing."""
-    tests = []
-    for column, name, how in OWN_FILTERS:
-        if column in held:
-            asked, has = F.col(f"{wanted}.{name}"), F.col(f"{row}.{column}")
-            test = {"in": F.array_contains(asked, has), "is": has == asked, "from": has >= asked, "to": has <= asked}[how]
-            tests.append(asked.isNull() | F.coalesce(test, F.lit(False)))
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
-
-
-def facts(columns: list[str]) -> list[str]:
-    """The columns of a chunk that a question's own filters test."""
-    return [c for c in dict.fromkeys(column for column, _, _ in OWN_FILTERS) if c in columns]
-
+from docquarry.operators.filtering import META_KEYS, OWN_FILTERS, facts, filters, merge_filters, passes  # noqa: F401
+from docquarry.operators.textsearch import match_terms, postings, text_topk  # noqa: F401
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None, vector: str = "embedding", tie: str = "vec_id") -> DataFrame:
     """The k rows most similar to one vector; the threshold applies after the limit. Rows of another length have no part."""
@@ -96,53 +42,6 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: st
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", tie, "score")
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, term, positions``: the full-text index, a row for each term of a text."""
-    placed = docs.select(id_col, F.posexplode(terms(F.col(text_col))).alias("pos", "term"))
-    return placed.groupBy(id_col, "term").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
-
-
-def match_terms(docs: DataFrame, every: list[str] = (), some: list[str] = (), none: list[str] = (), text_col: str = "text") -> DataFrame:
-    """Texts with all of ``every``, one of ``some`` (if given) and none of ``none``."""
-    held = terms(F.col(text_col))
-    tests = [F.array_contains(held, t.lower()) for t in every] + [~F.array_contains(held, t.lower()) for t in none]
-    if some:
-        tests.append(F.arrays_overlap(held, F.array(*[F.lit(t.lower()) for t in some])))
-    return docs.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
-
-
-def term_rank(n: Column) -> Column:
-    """Rank of a term with n occurrences in an OR query: 0.1 for the first, less by the square of its number."""
-    return F.lit(0.1) * F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, j: s + 1 / (j * j)) / 1.64493406685
-
-
-def text_topk(docs: DataFrame, query_terms: DataFrame, k: int, mode: str = "all", id_col: str = "doc_id", text_col: str = "text", wanted: DataFrame | None = None) -> DataFrame:
-    """``query_id, rank, id, score`` for queries (query_id, term).
-
-    ``mode``: all terms must occur, or any. The score is the sum of term ranks over the number
-    of terms; scores equal to nine digits tie, to the lesser id. Tokens that no query asks for are
-    dropped before the shuffle, and occurrences are counted on the map side first. ``wanted``
-    (query_id, wanted) gives queries their own filters, which hold before the k best are taken.
-    """
-    asked = query_terms.select("query_id", F.lower("term").alias("term")).distinct()
-    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    tokens = docs.select(id_col, F.explode(terms(F.col(text_col))).alias("term")).join(_few(asked.select("term").distinct()), "term", "left_semi")
-    counts = tokens.groupBy(id_col, "term").agg(F.count("*").alias("n"))
-    hits = counts.join(asked, "term").withColumn("w", term_rank(F.col("n")))
-    scored = hits.groupBy("query_id", id_col).agg(F.count("*").alias("found"), F.sum("w").alias("w")).join(_few(sizes), "query_id")
-    kept = scored if mode == "any" else scored.where("found = n_terms")
-    if wanted is not None and (has := facts(docs.columns)):
-        rows = docs.select(F.col(id_col).alias("_key"), F.struct(*has).alias("row"))
-        kept = kept.join(wanted.select("query_id", "wanted"), "query_id").join(rows, F.col(id_col) == F.col("_key")).where(passes("wanted", "row", has)).drop("wanted", "row", "_key")
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_col)
-    return kept.withColumn("score", F.col("w") / F.col("n_terms")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
-
-
-def _few(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """With a broadcast hint if it is counted to have at most ``rows`` narrow rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int, key: str = "chunk_id", constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (query_id, rank, key): the best gets 1.
 
