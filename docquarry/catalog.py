@@ -306,14 +306,14 @@ def fts_rank_topk(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
-# any of four words of each item
-_FOUR = f"a AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice({TERMS.format(t='text')}, 1, 4)) AS term FROM benchmark)"
+# any of the first four longer words of each item
+_FOUR = f"a AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice(list_filter({TERMS.format(t='text')}, lambda x: length(x) > 6), 1, 4)) AS term FROM benchmark)"
 _ANY_SCORED = "SELECT query_id, doc_id, c.s / n.n AS score FROM c JOIN n USING (query_id)"
 
 
 @query(f"WITH {_PLACES}, {_FOUR}, {_ANY_HELD}, {_OWN}, {_OFTEN}, {_N} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (" + _BEST.format(scored=_ANY_SCORED) + ") WHERE rank <= 10")
 def fts_rank_any(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(t.terms(F.col("text")), 1, 4)).alias("term"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(F.filter(t.terms(F.col("text")), lambda x: F.length(x) > 6), 1, 4)).alias("term"))
     return retrieval.text_topk(documents(spark, sf_dir), asked, 10, mode="any").withColumn("score", F.round("score", 6))
 
 

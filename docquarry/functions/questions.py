@@ -129,8 +129,8 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 _NAMES = "|".join(MONTHS)
 _BURMESE = "|".join(MYANMAR_MONTHS)
 _LEXEMES = (
-    r"(?i)\b\d{4}-\d{2}-\d{2}\b" rf"|\b\d{{4}}-(?:\d{{2}}|{_NAMES})\b" rf"|\b(?:{_NAMES})\s+\d{{1,2}}\b" r"|\bQ[1-4]\s*\d{4}\b(?!-\d)" rf"|\b(?:{_NAMES})\s+\d{{4}}\b(?!-\d)"
-    rf"|\d{{4}}\s*ခုနှစ်\s*(?:{_BURMESE})လ|(?:{_BURMESE})လ(?:\s*\d{{4}}(?![-\d]))?" r"|\b\d{4}\b|\w+"
+    r"(?i)(\b\d{4}-\d{2}-\d{2}\b" rf"|\b\d{{4}}-(?:\d{{2}}|{_NAMES})\b" rf"|\b(?:{_NAMES})\s+\d{{1,2}}\b" r"|\bQ[1-4]\s*\d{4}\b(?!-\d)" rf"|\b(?:{_NAMES})\s+\d{{4}}\b(?!-\d)"
+    rf"|\d{{4}}\s*ခုနှစ်\s*(?:{_BURMESE})လ|(?:{_BURMESE})လ(?:\s*\d{{4}}(?![-\d]))?" r"|\b\d{4}\b)|\w+"
 )
 
 
@@ -180,7 +180,8 @@ def date_range(question: Column, today: Column) -> Column:
     name and day, quarter, month name and year, Myanmar months (of this year, if they name none), year; then
     named periods. A day after the end of a named month is its last, after that of a numbered one the whole month; other impossible dates give no range.
     """
-    said = F.transform(F.regexp_extract_all(F.translate(question, MYANMAR_DIGITS, "0123456789"), F.lit(_LEXEMES), 0), lambda x, i: F.struct(_dated(x, today).alias("day"), i.alias("at")))
+    lexemes = F.filter(F.regexp_extract_all(F.translate(question, MYANMAR_DIGITS, "0123456789"), F.lit(_LEXEMES), 1), lambda x: x != "")
+    said = F.transform(lexemes, lambda x, i: F.struct(_dated(x, today).alias("day"), i.alias("at")))
     found = F.transform(F.filter(said, lambda x: x["day"]["from"].isNotNull()), lambda x: F.struct(x["day"]["rank"].alias("rank"), x["at"].alias("at"), _span(x["day"]["from"], x["day"]["to"]).alias("days")))
     return F.coalesce(_bound(F.array_min(found), lambda best: best["days"]), _bound(relative_period(question), lambda p: period_range(p, today)))
 

@@ -92,17 +92,9 @@ def prepared(searches: DataFrame, stem: bool = False) -> DataFrame:
     return found.where("best IS NOT NULL").select("query_id", "groups", asked.alias("asked"), anchor.alias("anchor"))
 
 
-def search_texts(docs: DataFrame, searches: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", wanted: DataFrame | None = None, stem: bool = False) -> DataFrame:
-    """``query_id, rank, id, score``: the texts that meet each search (query_id, group, term, negated), the ``k`` best or all.
-
-    Searches of several groups rank by the nearness of their terms, others (and those of one
-    term) by how often they occur. Scores equal to nine digits tie, to the lesser id. ``wanted`` (query_id, wanted) gives queries their own
-    filters, which hold before the k best are taken. A search of negated terms alone finds nothing; null texts hold no term.
-    """
-    asked = prepared(searches, stem)
-    if wanted is not None:
-        asked = asked.join(wanted.select("query_id", "wanted"), "query_id")
-    own = ["wanted"] if wanted is not None else []
+def _near(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, stem: bool) -> DataFrame:
+    """``query_id, id, score`` of the texts that meet prepared searches of several groups."""
+    own = ["wanted"] if "wanted" in asked.columns else []
     has = facts(docs.columns) if own else []
     listed, anchors = _listed(asked.select(F.explode("asked"))), _listed(asked.select(F.explode("anchor")))
     placed = F.transform(tokens(F.col(text_col), stem), lambda t, i: F.struct(t.alias("t"), (i + 1).alias("p")))
@@ -114,13 +106,47 @@ def search_texts(docs: DataFrame, searches: DataFrame, k: int | None = None, id_
     pairs = held.withColumn("at", F.explode(meets)).join(_few(by_anchor), "at")
     # a text that holds several terms of the anchor counts at the first
     pairs = pairs.where(F.array_min(F.array_intersect("anchor", "held")) == F.col("at"))
-    met = F.forall("groups", lambda g: F.exists(g, lambda t: F.array_contains("held", t["term"]) != t["negated"]))
-    pairs = pairs.where(met)
+    pairs = pairs.where(F.forall("groups", lambda g: F.exists(g, lambda t: F.array_contains("held", t["term"]) != t["negated"])))
     if has:
         pairs = pairs.where(passes("wanted", "row", has))
-    near = pairs.select("query_id", id_col, "groups", "asked", F.filter("places", lambda x: F.array_contains("asked", x["t"])).alias("places"))
-    score = F.when((F.size("groups") > 1) & (F.size("asked") > 1), rank_all(F.col("places"))).otherwise(rank_any(F.col("places"), F.col("asked")))
-    scored = near.select("query_id", id_col, score.alias("score"))
+    near = pairs.select("query_id", id_col, "asked", F.filter("places", lambda x: F.array_contains("asked", x["t"])).alias("places"))
+    score = F.when(F.size("asked") > 1, rank_all(F.col("places"))).otherwise(rank_any(F.col("places"), F.col("asked")))
+    return near.select("query_id", id_col, score.alias("score"))
+
+
+def _often(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, stem: bool) -> DataFrame:
+    """``query_id, id, score`` of the texts that meet prepared searches of one group: occurrences are counted before they meet a search."""
+    own = ["wanted"] if "wanted" in asked.columns else []
+    has = facts(docs.columns) if own else []
+    listed = _listed(asked.select(F.explode("asked")))
+    said = docs.select(F.col(id_col), F.explode(tokens(F.col(text_col), stem)).alias("term"))
+    counts = (said if listed is None else said.where(F.col("term").isin(listed))).groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    terms_asked = asked.select("query_id", F.size("asked").alias("n_terms"), F.explode("asked").alias("term"), *own)
+    hits = counts.join(_few(terms_asked), "term").groupBy("query_id", id_col, "n_terms", *own).agg(F.sum(term_rank(F.col("n"))).alias("w"))
+    if has:
+        rows = docs.select(F.col(id_col).alias("_key"), F.struct(*has).alias("row"))
+        hits = hits.join(rows, F.col(id_col) == F.col("_key")).where(passes("wanted", "row", has))
+    return hits.select("query_id", id_col, (F.col("w") / F.col("n_terms")).alias("score"))
+
+
+def search_texts(docs: DataFrame, searches: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", wanted: DataFrame | None = None, stem: bool = False, groups: str | None = None) -> DataFrame:
+    """``query_id, rank, id, score``: the texts that meet each search (query_id, group, term, negated), the ``k`` best or all.
+
+    Searches of several groups rank by the nearness of their terms, others (and those of one
+    term) by how often they occur. Scores equal to nine digits tie, to the lesser id. ``wanted`` (query_id, wanted) gives queries their own
+    filters, which hold before the k best are taken. A search without a group of plain terms finds nothing; null texts hold no term.
+    ``groups``: "one" or "several" where that is known of all searches.
+    """
+    asked = prepared(searches, stem)
+    if wanted is not None:
+        asked = asked.join(wanted.select("query_id", "wanted"), "query_id")
+    if groups == "one":
+        scored = _often(docs, asked, id_col, text_col, stem)
+    elif groups == "several":
+        scored = _near(docs, asked, id_col, text_col, stem)
+    else:
+        several = F.size("groups") > 1
+        scored = _near(docs, asked.where(several), id_col, text_col, stem).unionByName(_often(docs, asked.where(~several), id_col, text_col, stem))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_col)
     ranked = scored.withColumn("rank", F.row_number().over(best))
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "rank", id_col, "score")
@@ -128,7 +154,7 @@ def search_texts(docs: DataFrame, searches: DataFrame, k: int | None = None, id_
 
 def text_topk(docs: DataFrame, query_terms: DataFrame, k: int, mode: str = "all", id_col: str = "doc_id", text_col: str = "text", wanted: DataFrame | None = None, stem: bool = False) -> DataFrame:
     """``query_id, rank, id, score``: the k best texts of each list of terms (query_id, term); all must occur, or any (``mode``)."""
-    return search_texts(docs, plain_search(query_terms, mode), k, id_col, text_col, wanted, stem)
+    return search_texts(docs, plain_search(query_terms, mode), k, id_col, text_col, wanted, stem, "one" if mode == "any" else "several")
 
 
 def match_terms(docs: DataFrame, every: list[str] = (), some: list[str] = (), none: list[str] = (), text_col: str = "text", stem: bool = False) -> DataFrame:
