@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.frequent import most_frequent
 from docquarry.llm.shared import narrow, staged
-from docquarry.llm.token_blocks import BLOCK_BYTES, parts_of, token_blocks
+from docquarry.llm.token_blocks import parts_of, token_blocks
 
 #: Words that move between classes; words whose counts workers hold, and the bytes that such a word may have.
 CLASSED, HELD, HELD_BYTES = 65_536, 400_000, 64
-#: Pairs of neighbours that are put together before they are sent.
-PAIRS = 4_000_000
+#: Pairs of neighbours that are put together before they are sent; bytes of text that are held as words at a time.
+PAIRS, BLOCK_BYTES = 2_000_000, 2_000_000
 #: Words whose moves are computed at a time.
 MOVED = 64
 
@@ -47,7 +48,7 @@ def _plain(text: str) -> bytes:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[bytes], int, int]]:
-    return token_blocks(((0, _plain(t.as_py())) for batch in batches for t in batch.column("text")), _split, END, _BLANK, 1)
+    return token_blocks(((0, _plain(t.as_py())) for batch in batches for t in batch.column("text")), _split, END, _BLANK, 1, BLOCK_BYTES)
 
 
 def training_words(texts: DataFrame) -> DataFrame:
@@ -64,10 +65,10 @@ def training_words(texts: DataFrame) -> DataFrame:
 class Places(dict):
     """Places of held words by frequency; any other word is ``rest``."""
 
-    def __init__(self, words: list[bytes], end: int):
-        super().__init__(zip(words, range(len(words))))
-        self[END] = end
-        self.rest = end - 1
+    def __init__(self, words: bytes):
+        super().__init__(zip(words.split(END), range(len(words))) if words else ())
+        self.rest = len(self)
+        self[END] = self.rest + 1
 
     def __missing__(self, word: bytes) -> int:
         return self.rest
@@ -76,28 +77,29 @@ class Places(dict):
 _places: dict[str, Places] = {}
 
 
-def _places_of(key: str, words: list[bytes]) -> Places:
+def _places_of(key: str, words: bytes) -> Places:
     """The words in this Python worker."""
     if key not in _places:
         _places.clear()
-        _places[key] = Places(words, len(words) + 1)
+        _places[key] = Places(words)
     return _places[key]
 
 
 def neighbour_rows(texts: DataFrame, words: object, key: str, classed: int) -> DataFrame:
-    """id, around (side 0: follows it, 1: stands before it; other; n): all neighbours of each word.
+    """id, others, n: all neighbours of each word, packed: whether they stand before it (1) or after (0) and their id, as
+    ``side * size + id`` in 32 bits, and how often, in 64 bits.
 
-    Ids are 0 to ``classed`` - 1, then one for all other words, then the end. ``words`` is a broadcast list.
-    A row has at most 2 * (``classed`` + 2) neighbours.
+    Ids are 0 to ``classed`` - 1, then one for all other words, then the end: ``size`` of them. ``words`` is the broadcast list of held words.
+    A row has at most 2 * size neighbours.
     """
+    size = classed + 2
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _places_of(key, words.value)
-        size = classed + 2
 
         def send(parts: list[np.ndarray]) -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((code // size).astype(np.int32)), pa.array((code % size).astype(np.int32)), pa.array(n.astype(np.int64))], names=["prev", "cur", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
 
         waiting, held = [], 0
         for _, tokens, begin, end in _blocks(batches):
@@ -112,20 +114,42 @@ def neighbour_rows(texts: DataFrame, words: object, key: str, classed: int) -> D
         if waiting:
             yield send(waiting)
 
-    found = texts.mapInArrow(pairs, "prev int, cur int, n long").groupBy("prev", "cur").agg(F.sum("n").alias("n"))
-    ways = F.array(F.struct(F.col("prev").alias("id"), F.lit(0).alias("side"), F.col("cur").alias("other"), "n"), F.struct(F.col("cur").alias("id"), F.lit(1).alias("side"), F.col("prev").alias("other"), "n"))
-    return found.select(F.inline(ways)).groupBy("id").agg(F.collect_list(F.struct("side", "other", "n")).alias("around"))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            around = batch.column("around")
+            flat = around.flatten()
+            lengths = pa.compute.list_value_length(around).to_numpy()
+            packed = [_as_binary(flat.field(k).to_numpy(), lengths, kind) for k, kind in ((0, "<i4"), (1, "<i8"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *packed], names=["id", "others", "n"])
+
+    found = texts.mapInArrow(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    prev, cur = F.expr(f"cast(code div {size} AS int)"), (F.col("code") % size).cast("int")
+    ways = F.array(F.struct(prev.alias("id"), cur.alias("other"), "n"), F.struct(cur.alias("id"), (prev + size).alias("other"), "n"))
+    return found.select(F.inline(ways)).groupBy("id").agg(F.collect_list(F.struct("other", "n")).alias("around")).mapInArrow(pack, "id int, others binary, n binary")
+
+
+def _as_binary(values: np.ndarray, lengths: np.ndarray, kind: str) -> pa.Array:
+    """A binary array of as many values each as ``lengths`` says."""
+    data = values.astype(kind)
+    ends = np.concatenate(([0], np.cumsum(lengths * data.itemsize))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _values(column: pa.Array, kind: str) -> np.ndarray:
+    """All values of a binary array, row after row."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    held = column.buffers()[2]
+    return np.frombuffer(held, np.uint8)[ends[0] : ends[-1]].view(kind) if held is not None else np.zeros(0, kind)
 
 
 def _class_counts(batch: pa.RecordBatch, classes: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row: its id, how often each class (side 0) follows and (side 1) stands before it, and itself."""
-    around = batch.column("around")
-    flat = around.flatten()
-    side, other, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-    row = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(around).to_numpy())
+    others, n = _values(batch.column("others"), "<i4"), _values(batch.column("n"), "<i8")
     ids = batch.column("id").to_numpy()
-    sums = np.bincount((row * 2 + side) * count + classes[other], n, len(batch) * 2 * count).reshape(len(batch), 2, count)
-    own = np.bincount(row, np.where((side == 0) & (other == ids[row]), n, 0), len(batch))
+    row = np.repeat(np.arange(len(batch)), pa.compute.binary_length(batch.column("others")).to_numpy() // 4)
+    side = (others >= len(classes)).astype(np.int64)
+    sums = np.bincount((row * 2 + side) * count + np.concatenate((classes, classes))[others], n, len(batch) * 2 * count).reshape(len(batch), 2, count)
+    own = np.bincount(row, np.where(others == ids[row], n, 0), len(batch))
     return ids, sums, own
 
 
@@ -147,11 +171,12 @@ def best_moves(classes: np.ndarray, sums: np.ndarray, own: np.ndarray, matrix: n
     left[row, classes, classes] += own
     out[row, classes] -= own
     into[row, classes] -= own
-    gain = (_weighed(left + out[:, None, :]) - _weighed(left)).sum(axis=2)
-    gain += (_weighed(left + into[:, :, None]) - _weighed(left)).sum(axis=1)
+    alone = _weighed(left)
+    gain = _weighed(left + out[:, None, :]).sum(axis=2) - alone.sum(axis=2)
+    gain += _weighed(left + into[:, :, None]).sum(axis=1) - alone.sum(axis=1)
     k = np.arange(matrix.shape[0])
     both = left[:, k, k]
-    gain += _weighed(both + out + into + own[:, None]) - _weighed(both + out) - _weighed(both + into) + _weighed(both)
+    gain += _weighed(both + out + into + own[:, None]) - _weighed(both + out) - _weighed(both + into) + alone[:, k, k]
     size = np.repeat(matrix.sum(axis=1)[None], len(classes), axis=0)
     size[row, classes] -= n
     gain -= 2 * (_weighed(size + n[:, None]) - _weighed(size))
@@ -208,10 +233,9 @@ def exchange(rows: DataFrame, classed: int, classes: int, rounds: int, shares: i
                     moves = gain > 1e-6
                     yield pa.RecordBatch.from_arrays([pa.array(ids[some][moves]), pa.array(best[moves])], names=["id", "best"])
 
-        found = rows.mapInArrow(move, "id int, best long").collect()  # at most `classed` rows of two numbers
+        found = rows.mapInArrow(move, "id int, best long").toArrow()  # at most `classed` rows of two numbers
         after = now.copy()
-        if found:
-            after[[r["id"] for r in found]] = [r["best"] for r in found]
+        after[found.column("id").to_numpy()] = found.column("best").to_numpy()
         tried = _matrix(rows, after, count)
         if likelihood(tried) >= reached[-1]:
             now, matrix, part = after, tried, part + 1
@@ -224,9 +248,9 @@ def exchange(rows: DataFrame, classed: int, classes: int, rounds: int, shares: i
 
 @dataclass
 class BrownModel:
-    """What texts are scored with. ``words`` and ``counts`` are of the held words, by frequency; ``known`` holds the counts of all training words."""
+    """What texts are scored with. ``words`` (a line break between them) and ``counts`` are of the held words, by frequency; ``known`` holds the counts of all training words."""
 
-    words: list[bytes]
+    words: bytes
     counts: np.ndarray
     classes: np.ndarray
     matrix: np.ndarray
@@ -271,12 +295,12 @@ def fit_brown(docs: DataFrame, classes: int = 64, rounds: int = 8, classed: int
     known = staged(training_words(texts), "model-words")
     end = F.col("word") == END.decode()
     total = known.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct"), F.sum(F.when(end, F.col("n"))).alias("ends")).first()
-    top = known.where(~end & (F.octet_length("word") <= HELD_BYTES)).orderBy(F.desc("n"), "word").limit(HELD).collect()  # HELD rows of bounded width
-    words, counts = [r["word"].encode() for r in top], np.array([r["n"] for r in top], np.int64)
-    classed = min(len(words), CLASSED if classed is None else classed)
+    top, _ = most_frequent(known.where(~end), HELD, HELD_BYTES)
+    words, counts = "\n".join(top.column("word").to_pylist()).encode(), top.column("n").to_numpy()
+    classed = min(len(counts), CLASSED if classed is None else classed)
     rows = staged(neighbour_rows(texts, spark.sparkContext.broadcast(words), uuid.uuid4().hex, classed), "neighbours")
     found, matrix, reached = exchange(rows, classed, classes, rounds)
-    every = np.full(len(words) + 2, classes, np.int32)
+    every = np.full(len(counts) + 2, classes, np.int32)
     every[:classed], every[-1] = found[:classed], classes + 1
     return BrownModel(words, counts, every, matrix, known, int(total["tokens"] or 0), int(total["distinct"]), int(total["ends"] or 0), reached)
 
@@ -293,7 +317,7 @@ def score_texts(docs: DataFrame, model: BrownModel, mix: float = 0.95) -> DataFr
     """
     spark = docs.sparkSession
     key = uuid.uuid4().hex
-    held, end = len(model.words), len(model.classes) - 1
+    held, end = len(model.counts), len(model.classes) - 1
     steps = model.transitions()
     sizes = np.maximum(model.matrix.sum(axis=1), 1)
     other, other_kinds = model.rest_share()
