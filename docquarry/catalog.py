@@ -11,6 +11,8 @@ from docquarry.functions import questions as q
 from docquarry.functions import text as t
 from docquarry.functions.vectors import cosine
 from docquarry.operators import cache, chunking, context, embedding, ranking, records, retrieval, textsearch
+from docquarry.operators.vector_index import MOST_LISTS, build_index
+from docquarry.sources.workspace import new_folder
 from docquarry.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +100,25 @@ def vector_topk_batch(spark, sf_dir):
     return _batch(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+def _indexed(spark, sf_dir, probes):
+    held = vectors(spark, sf_dir)
+    index = build_index(held, new_folder(spark, "vector-index"))
+    asked = held.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return index.search(asked, 5, probes=probes).withColumn("score", F.round("score", 6))
+
+
+@query()
+def vector_index_topk(spark, sf_dir):
+    """Every 50th vector against the lists nearest to it; recall is measured in the tests."""
+    return _indexed(spark, sf_dir, None)
+
+
+@query(f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM ({_BATCH})")
+def vector_index_exhaustive(spark, sf_dir):
+    """The same with every list probed: what the exact scan gives."""
+    return _indexed(spark, sf_dir, MOST_LISTS)
+
+
 @query("SELECT vec_id, 0.0::DOUBLE AS score FROM embeddings")
 def zero_norm_cosine(spark, sf_dir):
     held = vectors(spark, sf_dir)

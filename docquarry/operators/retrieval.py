@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.vectors import cosine, norm
+from docquarry.functions.vectors import cosine
 from docquarry.operators.filtering import META_KEYS, OWN_FILTERS, facts, filters, merge_filters, passes  # noqa: F401
 from docquarry.operators.textsearch import match_terms, postings, text_topk  # noqa: F401
+from docquarry.operators.vector_scan import vector_topk_batch  # noqa: F401
+
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None, vector: str = "embedding", tie: str = "vec_id") -> DataFrame:
     """The k rows most similar to one vector; the threshold applies after the limit. Rows of another length have no part."""
@@ -20,28 +22,6 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, threshold: float
     return top if threshold is None else top.where(F.col("score") >= threshold)
 
 
-def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", tie: str = "vec_id", queries_at_once: int = 1000) -> DataFrame:
-    """``query_id, rank, <tie>, score``: the k best of each query (query_id, query).
-
-    A stated set of queries goes against all rows: queries are gathered in blocks
-    of ``queries_at_once``, each block is compared with a row in one step, and
-    only the k best of a block and row group reach the shuffle. If queries have own filters
-    (``wanted``), rows that fail them are dropped before they are scored.
-    """
-    own = ["wanted"] if "wanted" in queries.columns else []
-    has = facts(vectors.columns) if own else []
-    asked = queries.where(F.col("query").isNotNull()).select("query_id", F.col("query").alias("q"), norm(F.col("query")).alias("q_norm"), *own)
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // queries_at_once))))).groupBy("block").agg(F.collect_list(F.struct("query_id", "q", "q_norm", *own)).alias("qs"))
-    row = [F.struct(*has).alias("row")] if has else []
-    held = vectors.where(F.col(vector).isNotNull()).select(tie, F.col(vector).alias("v"), norm(F.col(vector)).alias("v_norm"), *row)
-    each = held.join(blocks, how="cross").select(tie, "v", "v_norm", *(["row"] if has else []), F.explode("qs").alias("a")).where(F.size("a.q") == F.size("v"))
-    if has:
-        each = each.where(passes("a.wanted", "row", has))
-    scored = each.select(F.col("a.query_id").alias("query_id"), tie, cosine(F.col("v"), F.col("a.q"), F.col("v_norm"), F.col("a.q_norm")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", tie, "score")
-
-
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int, key: str = "chunk_id", constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (query_id, rank, key): the best gets 1.
 
