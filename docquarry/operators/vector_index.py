@@ -58,6 +58,8 @@ def _probes_for(rows: np.ndarray, centroids: np.ndarray, recall: float, k: int =
     near = nearest_lists(asked @ rows.T, np.eye(len(rows)), k + 1)  # the k + 1 largest inner products: itself is one
     own = nearest_lists(rows, centroids, 1)[:, 0]
     order = nearest_lists(asked, centroids, len(centroids))
+    if len(rows) < 2:
+        return 1
     depth = np.sort([int(np.flatnonzero(order[q] == own[r])[0]) for q in range(len(asked)) for r in near[q] if r != q])
     return int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))) - 1)]) + 1
 
