@@ -72,7 +72,7 @@ def test_scores_match_a_plain_model(spark, monkeypatch, held, classed, block):
     assert model.reached == sorted(model.reached)
 
     rest = len(model.matrix) - 2
-    class_of = {w.decode(): int(c) for w, c in zip(model.words, model.classes)} | {"\n": rest + 1}
+    class_of = {w.decode(): int(c) for w, c in zip(model.words.split(b"\n") if model.words else [], model.classes)} | {"\n": rest + 1}
     size = Counter()
     for w, n in counts.items():
         size[class_of.get(w, rest)] += n
