@@ -90,19 +90,24 @@ def _span(a: Column, b: Column) -> Column:
     return F.struct(a.cast("date").alias("from"), b.cast("date").alias("to"))
 
 
+def _period_days(name: str, today: Column) -> Column:
+    week, month, year = (F.trunc(today, unit) for unit in ("week", "month", "year"))
+    first, last = {
+        "today": (today, today),
+        "yesterday": (F.date_sub(today, 1), F.date_sub(today, 1)),
+        "this_week": (week, F.date_add(week, 6)),
+        "this_month": (month, F.last_day(today)),
+        "this_year": (year, F.date_sub(F.add_months(year, 12), 1)),
+        "last_week": (F.date_sub(week, 7), F.date_sub(week, 1)),
+        "last_month": (F.add_months(month, -1), F.date_sub(month, 1)),
+        "last_year": (F.add_months(year, -12), F.date_sub(year, 1)),
+    }[name]
+    return _span(first, last)
+
+
 def period_range(period: Column, today: Column) -> Column:
     """Dates of a named period; weeks start on Monday."""
-    week, month, year = (F.trunc(today, unit) for unit in ("week", "month", "year"))
-    return (
-        F.when(period == "today", _span(today, today))
-        .when(period == "yesterday", _span(F.date_sub(today, 1), F.date_sub(today, 1)))
-        .when(period == "this_week", _span(week, F.date_add(week, 6)))
-        .when(period == "this_month", _span(month, F.last_day(today)))
-        .when(period == "this_year", _span(year, F.date_sub(F.add_months(year, 12), 1)))
-        .when(period == "last_week", _span(F.date_sub(week, 7), F.date_sub(week, 1)))
-        .when(period == "last_month", _span(F.add_months(month, -1), F.date_sub(month, 1)))
-        .when(period == "last_year", _span(F.add_months(year, -12), F.date_sub(year, 1)))
-    )
+    return F.coalesce(*[F.when(period == name, _period_days(name, today)) for name in dict.fromkeys(name for _, name in PERIODS)])
 
 
 def relative_period(question: Column) -> Column:
@@ -114,9 +119,9 @@ def resolve_times(question: Column, today: Column) -> Column:
     """The question with the words of named periods put as dates, ``a to b`` for spans; English "last week" and the like stay."""
     for pattern, name in PERIODS:
         if not (name.startswith("last_") and pattern.startswith("(?i)")):
-            span = period_range(F.lit(name), today)
+            span = _period_days(name, today)
             first, last = span["from"].cast("string"), span["to"].cast("string")
-            question = F.regexp_replace(question, pattern, F.when(first == last, first).otherwise(F.concat(first, F.lit(" to "), last)))
+            question = F.regexp_replace(question, pattern, first if name in ("today", "yesterday") else F.concat(first, F.lit(" to "), last))
     return question
 
 
@@ -197,6 +202,40 @@ def search_terms(question: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, F.lower(w))))
 
 
+def without_names(question: Column, names: Column, project: Column) -> Column:
+    """The question without the given names (an array; a trailing ``(...)`` may be absent) and project, in any case."""
+    literal = lambda x: F.concat(F.lit("(?i)\\Q"), x, F.lit("\\E"))
+    base = lambda x: F.regexp_replace(x, r"\s*\([^)]*\)$", "")
+    strip = lambda text, x: F.when(x.isNull() | (x == ""), text).otherwise(F.regexp_replace(text, literal(x), F.lit(" ")))
+    bare = F.aggregate(F.coalesce(names, F.array().cast("array<string>")), question, lambda s, n: strip(strip(s, n), base(n)))
+    return strip(bare, project)
+
+
+def asked_terms(bare: Column, question: Column) -> Column:
+    """The search terms of a question without its names; if none are left, the words of the whole question but dates, stopwords too."""
+    undated = F.regexp_replace(question, r"\b\d{4}[-./]\d{1,2}([-./]\d{1,2})?\b|\b\d{4}\b", " ")
+    words = F.filter(F.split(F.regexp_replace(undated, r"[^a-zA-Z0-9]+", " "), " "), lambda w: F.length(w) > 2)
+    return _bound(search_terms(bare), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array_distinct(words)))
+
+
+def search_groups(terms: Column, question: Column, also: Column) -> Column:
+    """Structs (group, term, negated) of a boolean search: all terms must occur, a term before a negator must not.
+
+    A term that the map ``also`` (lower case to other words) holds may be replaced by each word of the other in turn. Terms with signs inside are several.
+    """
+    marked = F.transform(F.filter(_asked_tokens(question), lambda x: x["negated"]), lambda x: F.lower(x["word"]))
+    spread = lambda text: F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    row = lambda group, term, said: F.struct(group.alias("group"), term.alias("term"), F.array_contains(marked, F.lower(said)).alias("negated"))
+
+    def groups(said: Column, i: Column) -> Column:
+        own = F.transform(spread(said), lambda w, j: row(F.concat_ws(".", i, j), w, said))
+        other = F.try_element_at(also, F.lower(said))
+        either = F.flatten(F.transform(spread(other), lambda w, j: F.array(row(F.concat_ws(".", i, j), F.lower(said), said), row(F.concat_ws(".", i, j), w, said))))
+        return F.when(F.coalesce(F.size(spread(other)), F.lit(0)) > 0, either).otherwise(own)
+
+    return F.flatten(F.transform(terms, groups))
+
+
 def _asked_tokens(question: Column) -> Column:
     """Structs (word, negated) of the words of a question that a boolean search asks for.
 

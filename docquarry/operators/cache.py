@@ -114,3 +114,19 @@ def inherit_filters(messages: DataFrame) -> DataFrame:
         "date_from": F.when(lacks & F.col("date_from").isNull() & told, F.lag("date_from").over(before)).otherwise(F.col("date_from")),
         "date_to": F.when(lacks & F.col("date_to").isNull() & told, F.lag("date_to").over(before)).otherwise(F.col("date_to")),
     })
+
+
+def inherit(filters: DataFrame) -> DataFrame:
+    """``query_id`` and filters of questions, completed from the question before (old_*), whose answer cited documents or was refused.
+
+    Only questions that name nobody and no project inherit: names and project, and unless the answer was a refusal the dates they lack and the
+    documents cited.
+    """
+    lacks = F.col("user_names").isNull() & F.col("project").isNull() & (F.col("old_user_names").isNotNull() | F.col("old_project").isNotNull() | F.col("old_date_from").isNotNull() | (F.size("cited") > 0))
+    told = lacks & ~F.coalesce("refused", F.lit(False))
+    dates = told & F.col("date_from").isNull()
+    return filters.select(
+        "query_id", F.when(lacks, F.col("old_user_names")).otherwise(F.col("user_names")).alias("user_names"), F.when(lacks, F.col("old_project")).otherwise(F.col("project")).alias("project"),
+        F.when(dates, F.col("old_date_from")).otherwise(F.col("date_from")).alias("date_from"), F.when(dates, F.col("old_date_to")).otherwise(F.col("date_to")).alias("date_to"),
+        F.when(told & (F.size("cited") > 0), F.col("cited")).alias("doc_ids"),
+    )

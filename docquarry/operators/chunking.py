@@ -78,7 +78,7 @@ def chunk_sections(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Dat
 def with_header(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks with the author, project and date of their document before the text, and a metadata map without nulls.
 
-    ``docs``: doc_id, title, user_name, project, report_date, created_at.
+    ``docs``: doc_id, title, user_name, project, report_date, created_at, and user_id if the chunks are to keep their owner.
     """
     date = F.coalesce(F.col("report_date").cast("string"), F.date_format("created_at", "yyyy-MM-dd"))
     head = F.concat(F.lit("Report by: "), F.coalesce("user_name", F.lit("Unknown")), F.lit("\nProject: "), F.coalesce("project", F.lit("General")), F.lit("\nDate: "), date, F.lit("\n\n"))
@@ -86,6 +86,7 @@ def with_header(chunks: DataFrame, docs: DataFrame) -> DataFrame:
         F.array(*[F.lit(k) for k in ("user_name", "project", "report_date", "document_title", "chunk_index", "section")]),
         F.array(F.col("user_name"), F.col("project"), F.col("report_date").cast("string"), F.col("title"), F.col("chunk_index").cast("string"), F.col("section")),
     )
-    joined = chunks.join(docs.select("doc_id", "title", "user_name", "project", "report_date", "created_at"), "doc_id")
+    owner = ["user_id"] if "user_id" in docs.columns else []
+    joined = chunks.join(docs.select("doc_id", "title", "user_name", "project", "report_date", "created_at", *owner), "doc_id")
     full = F.concat(head, F.col("content"))
-    return joined.select("doc_id", "chunk_index", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")), 256).alias("chunk_id"), full.alias("content"), estimated_tokens(full).alias("token_count"), F.md5(full).alias("content_hash"), F.map_filter(facts, lambda _, v: v.isNotNull()).alias("metadata"), "char_start", "char_end", "user_name", "project", "report_date", "created_at")
+    return joined.select("doc_id", "chunk_index", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")), 256).alias("chunk_id"), full.alias("content"), estimated_tokens(full).alias("token_count"), F.md5(full).alias("content_hash"), F.map_filter(facts, lambda _, v: v.isNotNull()).alias("metadata"), "char_start", "char_end", "user_name", "project", "report_date", "created_at", *owner)

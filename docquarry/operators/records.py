@@ -202,3 +202,10 @@ def alias_terms(query_terms: DataFrame, aliases: DataFrame) -> DataFrame:
     live = aliases.where("active").select(F.lower("alias").alias("word"), F.lower("canonical").alias("canonical"))
     joined = query_terms.withColumn("word", F.lower("term")).join(live, "word", "left")
     return joined.groupBy("query_id", "term").agg(F.array_sort(F.collect_set("canonical")).alias("also"))
+
+
+def alias_map(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``query_id, also``: a map from the words of questions (in lower case) that are aliases to their canonical words; the least of several."""
+    words = questions.select("query_id", F.explode(F.array_distinct(F.split(F.lower("question"), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
+    live = aliases.where("active").select(F.lower("alias").alias("word"), "canonical").groupBy("word").agg(F.min("canonical").alias("canonical"))
+    return words.join(live, "word").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "canonical"))).alias("also"))
