@@ -12,6 +12,7 @@ from docquarry.functions import text as t
 from docquarry.functions.vectors import cosine
 from docquarry.operators import cache, chunking, context, embedding, ranking, records, retrieval, textsearch
 from docquarry.operators.vector_index import MOST_LISTS, build_index
+from docquarry.sources.store import DocumentStore
 from docquarry.sources.workspace import new_folder
 from docquarry.streaming import jobs
 
@@ -244,6 +245,25 @@ def cascade_delete(spark, sf_dir):
     return retrieval.delete_vectors(vectors(spark, sf_dir), gone, "vec_id").select("vec_id", "model_name")
 
 
+_SHARDS = "SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_slice(embedding, 1, 32) FROM embeddings WHERE vec_id % 3 = 0"
+
+
+@query(f"""WITH s AS ({_SHARDS}), q AS (SELECT * FROM s WHERE vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, project, round(score, 6) AS score FROM (
+SELECT q.vec_id AS query_id, s.vec_id AS chunk_id, d.source AS project, {COS.format(a='s.embedding', b='q.embedding')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='s.embedding', b='q.embedding')}, 12) DESC, s.vec_id) AS rank
+FROM q JOIN s ON len(s.embedding) = len(q.embedding) JOIN documents d ON d.doc_id = s.vec_id % 1000000000 WHERE d.lang <> 'de') WHERE rank <= 5""")
+def shard_search(spark, sf_dir):
+    """Vectors of two lengths in the store, each query against its own length, joined with chunks and documents; deleted documents do not show."""
+    held = vectors(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    both = held.unionByName(held.where("vec_id % 3 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.slice("embedding", 1, 32).alias("embedding")))
+    rows = both.select((F.col("vec_id") % 1_000_000_000).alias("doc_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    docs = documents(spark, sf_dir).select("doc_id", "project", F.when(F.col("lang") == "de", F.lit("2024-01-01").cast("timestamp")).alias("deleted_at"))
+    store = DocumentStore(spark, new_folder(spark, "store"), buckets=8)
+    store.replace(docs, rows.select("doc_id", "chunk_id"), rows)
+    found = store.search(both.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)
+    return found.join(store.joined().select("chunk_id", "project"), "chunk_id").select("query_id", "rank", "chunk_id", "project", F.round("score", 6).alias("score"))
+
+
 # chunks and text
 
 _CUT = """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''),

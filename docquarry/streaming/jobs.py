@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docquarry.sources.store import DocumentStore
+
 
 def file_stream(spark: SparkSession, path: str, glob: str = "*", max_files: int = 1000) -> DataFrame:
     """Files as they arrive, at most ``max_files`` a batch."""
@@ -26,6 +28,14 @@ def ingest(files: DataFrame, process: Callable[[DataFrame], DataFrame], out: str
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_store(files: DataFrame, process: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], store: DocumentStore, checkpoint: str, source: str = "files") -> StreamingQuery:
+    """Runs ``process`` (documents, chunks and vectors of files) on each batch and puts its documents in place of those that the store has.
+
+    A batch that is tried again is committed once.
+    """
+    return files.writeStream.foreachBatch(lambda batch, number: store.replace(*process(batch), batch=(source, number))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def on_changes(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hands each batch of the change log (doc_id) to ``apply``, distinct ids only."""
     return changes.writeStream.foreachBatch(lambda batch, number: apply(batch.select("doc_id").distinct(), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
