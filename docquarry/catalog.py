@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import questions as q
 from docquarry.functions import text as t
+from docquarry.functions.containment import variant_contains
 from docquarry.functions.vectors import cosine
-from docquarry.operators import cache, chunking, context, embedding, ranking, records, retrieval, textsearch
+from docquarry.operators import cache, chunking, context, embedding, queue, ranking, records, retrieval, textsearch
 from docquarry.operators.vector_index import MOST_LISTS, build_index
 from docquarry.sources.store import DocumentStore
 from docquarry.sources.workspace import new_folder
 from docquarry.streaming import jobs
+from docquarry.streaming.changes import RETENTION, expirations
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -676,10 +678,50 @@ def boolean_sanitised(spark, sf_dir):
 def sorted_settings(spark, sf_dir):
     # one row for each language and source
     named = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    return named.withColumn("place", F.row_number().over(Window.orderBy(F.asc("lang"), F.desc("source"))))
+    return records.sorted_rows(named, [("lang", "asc"), ("source", "desc")], "place")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, list_sort(json_keys(props)) AS keys FROM events")
 def json_metadata(spark, sf_dir):
     held = t.json_map(F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", F.try_element_at(held, F.lit("k")).alias("k"), F.array_sort(F.map_keys(held)).alias("keys"))
+
+
+# jobs, retention, containment
+
+_EVENT = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'started' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE event_type END"
+
+
+def _job_log(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("ts").alias("at"), F.expr(_EVENT).alias("event"))
+
+
+@query(f"""SELECT doc_id, s.status AS status, CAST(s.attempts AS INTEGER) AS attempts, s.due AS due FROM (
+SELECT doc_id, list_reduce(list({{'at': ts, 'event': event, 'status': '', 'attempts': 0, 'due': CAST(NULL AS TIMESTAMP)}} ORDER BY ts, event), lambda s, x:
+ CASE WHEN x.event = 'queued' AND s.status IN ('none', 'failed') THEN {{'at': x.at, 'event': '', 'status': 'pending', 'attempts': 0, 'due': CAST(NULL AS TIMESTAMP)}}
+  WHEN x.event = 'started' AND (s.status = 'pending' OR (s.status = 'failed' AND s.due IS NOT NULL AND x.at >= s.due)) THEN {{'at': x.at, 'event': '', 'status': 'processing', 'attempts': s.attempts + 1, 'due': CAST(NULL AS TIMESTAMP)}}
+  WHEN x.event = 'done' AND s.status = 'processing' THEN {{'at': x.at, 'event': '', 'status': 'completed', 'attempts': s.attempts, 'due': CAST(NULL AS TIMESTAMP)}}
+  WHEN x.event = 'failed' AND s.status = 'processing' THEN {{'at': x.at, 'event': '', 'status': 'failed', 'attempts': s.attempts, 'due': CASE s.attempts WHEN 1 THEN x.at + INTERVAL 30 SECONDS WHEN 2 THEN x.at + INTERVAL 300 SECONDS END}}
+  ELSE s END, {{'at': CAST(NULL AS TIMESTAMP), 'event': '', 'status': 'none', 'attempts': 0, 'due': CAST(NULL AS TIMESTAMP)}}) AS s
+FROM (SELECT user_id AS doc_id, CAST(ts AS TIMESTAMP) AS ts, {_EVENT} AS event FROM events) GROUP BY doc_id)""")
+def job_states(spark, sf_dir):
+    return queue.job_states(_job_log(spark, sf_dir)).withColumn("due", F.col("due").cast("timestamp_ntz"))
+
+
+@query("""SELECT user_id, max(ts) + INTERVAL 24 HOURS AS expired_at, count(*) AS touches FROM (
+SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 24 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def retention_expiry(spark, sf_dir):
+    return expirations(table(spark, sf_dir, "events"), RETENTION["embeddings"], "user_id")
+
+
+_NESTED = "concat('{{\"a\": ', props, ', \"tags\": [\"', event_type, '\", ', {user}, ', {{\"v\": ', {value}, '}}]}}')"
+
+
+@query(f"""SELECT event_id, CAST(json_contains(j, '{{"a": {{"k": 7}}}}') AS INTEGER) + 2 * CAST(json_contains(j, '{{"tags": [3, "click"]}}') AS INTEGER) + 4 * CAST(json_contains(j, '{{"a": {{"k": "7"}}}}') AS INTEGER)
+ + 8 * CAST(json_contains(j, '{{"tags": [{{"v": 1.5}}], "a": {{}}}}') AS INTEGER) AS held FROM (SELECT event_id, CAST({_NESTED.format(user="CAST(user_id AS VARCHAR)", value="CAST(event_id % 4 * 0.5 AS VARCHAR)")} AS JSON) AS j FROM events)""")
+def typed_containment(spark, sf_dir):
+    """Objects, lists and numbers in metadata made of every event; a number is not its string."""
+    text = F.expr(_NESTED.format(user="cast(user_id AS STRING)", value="cast(event_id % 4 * 0.5 AS STRING)"))
+    held = table(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("j"))
+    tests = ({"a": {"k": 7}}, {"tags": [3, "click"]}, {"a": {"k": "7"}}, {"tags": [{"v": 1.5}], "a": {}})
+    return held.select("event_id", sum(2**i * variant_contains(F.col("j"), v).cast("int") for i, v in enumerate(tests)).alias("held"))

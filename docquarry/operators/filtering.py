@@ -7,15 +7,18 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docquarry.functions.containment import json_contains, variant_contains
+
 #: Metadata keys that may be filtered on.
 META_KEYS = ("user_id", "user_name", "project", "report_date", "document_title", "section", "page_number")
 
 
-def filters(where: dict, vector_leg: bool = True) -> Column:
+def filters(where: dict, vector_leg: bool = True, metadata: str = "map") -> Column:
     """One predicate from a filter map; unknown metadata keys are an error.
 
     Keys: document_ids, user_ids, date_from, date_to (of created_at), project,
-    report_date_from, report_date_to, model_name (vector leg only), meta.
+    report_date_from, report_date_to, model_name (vector leg only), meta. ``metadata`` says what the column of that
+    name is: a "map" of strings, "json" text or a "variant"; in the last two, values are held by kind and may be nested.
     """
     parts = [F.col("deleted_at").isNull()] if where.get("live_only") else []
     for key, column in (("document_ids", "doc_id"), ("user_ids", "user_id")):
@@ -31,7 +34,10 @@ def filters(where: dict, vector_leg: bool = True) -> Column:
     for key, value in (where.get("meta") or {}).items():
         if key not in META_KEYS:
             raise ValueError(f"{key} is not a metadata key")
-        parts.append(F.col("metadata")[key] == str(value))
+        if metadata == "map":
+            parts.append(F.col("metadata")[key] == str(value))
+        else:
+            parts.append((json_contains if metadata == "json" else variant_contains)(F.col("metadata"), {key: value}))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 

@@ -76,11 +76,11 @@ def reembed_selection(documents: DataFrame, chunks: DataFrame, vectors: DataFram
     return found if report_date is None else found.where(report_date_filter("report_date", report_date))
 
 
-def repair_selection(first: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, newest: int = 1000, most: int = 200) -> DataFrame:
+def repair_selection(first: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, scanned: int = 1000, most: int = 200) -> DataFrame:
     """At most ``most`` documents without any vector: of those named in ``first`` (doc_id), which go before the others,
-    and of the ``newest`` completed ones by id."""
+    and of the ``scanned`` completed ones with the least ids."""
     wanted = documents.join(first.select("doc_id").distinct().withColumn("turn", F.lit(0)), "doc_id")
-    others = documents.where("status = 'completed'").orderBy("doc_id").limit(newest).withColumn("turn", F.lit(1))
+    others = documents.where("status = 'completed'").orderBy("doc_id").limit(scanned).withColumn("turn", F.lit(1))
     both = wanted.unionByName(others).groupBy("doc_id").agg(F.min("turn").alias("turn"))
     held = chunks.join(vectors.select("chunk_id"), "chunk_id", "left_semi").select("doc_id")
     return both.join(held, "doc_id", "left_anti").orderBy("turn", "doc_id").limit(most).select("doc_id")
@@ -112,14 +112,27 @@ def single_model(rows: DataFrame, scope: str, model: str) -> DataFrame:
     return rows.groupBy(scope).agg(F.count_distinct(model).alias("n"), F.min(model).alias(model)).where("n = 1").select(scope, model)
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: bool = True) -> DataFrame:
-    """Rows by natural key: ``source`` replaces what is there, or (update=False) only adds."""
-    newest = source.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).where("_n = 1").drop("_n")
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: bool = True, order: list[str] | None = None) -> DataFrame:
+    """Rows by natural key: ``source`` replaces what is there, or (update=False) only adds.
+
+    Of rows of ``source`` with one key that with the greatest ``order`` counts, then (or without it) with the greatest other values, in the order of the columns.
+    """
+    last = [F.desc_nulls_last(c) for c in [*(order or []), *[c for c in source.columns if c not in keys and c not in (order or [])]]]
+    newest = source.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*(last or [F.lit(0)])))).where("_n = 1").drop("_n")
     if update:
         return target.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
     return target.unionByName(newest.join(target.select(*keys), keys, "left_anti"))
 
 
+def sorted_rows(rows: DataFrame, keys: list[tuple[str, str]], place: str | None = None) -> DataFrame:
+    """Rows by several keys (column, "asc" or "desc"); nulls come first in rising and last in falling order.
+
+    ``place`` names a column for the place of each row, which puts all rows in one task: for tables of settings.
+    """
+    order = [F.asc(c) if way == "asc" else F.desc(c) for c, way in keys]
+    return rows.orderBy(*order) if place is None else rows.withColumn(place, F.row_number().over(Window.orderBy(*order)))
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 

@@ -28,20 +28,53 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return raw.select("path", name.alias("name"), ext.alias("ext"), types[ext].alias("mime"), F.col("length").alias("bytes"), "content")
 
 
+def content_type(content: Column) -> Column:
+    """The type that the bytes themselves show: pdf, docx, zip (another archive), text, or binary.
+
+    A DOCX is an archive that names ``word/document.xml`` among its members. Text has no zero byte in it and hardly
+    other control characters, be it UTF-8 or Latin-1; UTF-16 shows by its mark.
+    """
+    start = F.hex(F.substring(content, 1, 5))
+    named = lambda member: F.contains(content, F.lit(member.encode()))
+    text = F.decode(content, "ISO-8859-1")
+    control = F.length(F.regexp_replace(text, r"[^\x00-\x08\x0E-\x1A\x1C-\x1F\x7F]+", ""))
+    return (
+        F.when(start == "255044462D", "pdf")
+        .when(start.startswith("504B0304"), F.when(named("word/document.xml"), "docx").otherwise("zip"))
+        .when(start.rlike("^(FFFE|FEFF)"), "text")
+        .when(F.contains(content, F.lit(b"\x00")) | (control * 100 > F.length(text)), "binary")
+        .otherwise("text")
+    )
+
+
 def validate(files: DataFrame) -> DataFrame:
-    """Adds ``problem``: null for a good file, else the first rule it breaks."""
-    start = F.hex(F.substring("content", 1, 5))
-    return files.withColumn(
+    """Adds ``found`` (the type by content) and ``problem``: null for a good file, else the first rule it breaks.
+
+    The content must be of the kind that the extension says, and of the kind that the sender said, if there is a column ``declared`` (a
+    MIME type; null or ``application/octet-stream`` says nothing).
+    """
+    family = F.when(F.col("ext").isin("pdf", "docx"), F.col("ext")).otherwise("text")
+    said = F.col("declared") if "declared" in files.columns else F.lit(None).cast("string")
+    sent = F.when(said == TYPES["pdf"], "pdf").when(said == TYPES["docx"], "docx").when(said.startswith("text/"), "text").when(said.isNull() | (said == "application/octet-stream"), F.col("found")).otherwise("other")
+    return files.withColumn("found", content_type(F.col("content"))).withColumn(
         "problem",
         F.when(F.col("name").contains("..") | F.col("name").rlike(r"[/\\]"), "bad name")
         .when(F.col("bytes") == 0, "empty")
         .when(F.col("bytes") > MOST_BYTES, "too large")
         .when(F.col("mime").isNull(), "type not allowed")
-        .when((F.col("ext") == "pdf") & (start != "255044462D"), "not a PDF")
-        .when((F.col("ext") == "docx") & ~start.startswith("504B0304"), "not a DOCX"),
+        .when((F.col("ext") == "pdf") & (F.col("found") != "pdf"), "not a PDF")
+        .when((F.col("ext") == "docx") & (F.col("found") != "docx"), "not a DOCX")
+        .when(F.col("found") != family, F.concat(F.lit("content is "), F.col("found")))
+        .when(F.col("found") != sent, "not what was declared"),
     )
 
 
+def rejected(files: DataFrame) -> DataFrame:
+    """``path, name, ext, declared, found, bytes, problem`` of validated files that break a rule: a table of their own."""
+    said = F.col("declared") if "declared" in files.columns else F.lit(None).cast("string")
+    return files.where("problem IS NOT NULL").select("path", "name", "ext", said.alias("declared"), "found", "bytes", "problem")
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 if the bytes are valid, else Latin-1 (which every byte string is)."""
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))

@@ -136,7 +136,7 @@ def test_sessions_and_repairs(spark):
     chunks = spark.createDataFrame([(i, i, f"text {i}", [0.0], "old") for i in range(5)], "doc_id long, chunk_id long, content string, embedding array<double>, model_name string")
     vectors = spark.createDataFrame([(1,), (2,)], "chunk_id long")
     first = spark.createDataFrame([(4,), (1,)], "doc_id long")
-    assert [r[0] for r in records.repair_selection(first, docs, chunks, vectors, newest=4, most=2).collect()] == [4, 0]
+    assert [r[0] for r in records.repair_selection(first, docs, chunks, vectors, scanned=4, most=2).collect()] == [4, 0]
     provider = embedding.provider_for("hashing", dimensions=8)
     again = {r["doc_id"]: r for r in embedding.reembed(chunks, first, provider).collect()}
     assert {i for i, r in again.items() if r["model_name"] == provider.name} == {1, 4} and len(again) == 5
