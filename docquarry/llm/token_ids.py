@@ -47,8 +47,11 @@ class WordEncoder:
         suffix = spec["model"].get("end_of_word_suffix") or ""
         #: Bytes of each token: a token has a letter for each.
         self.width = np.zeros(1 + max(spec["model"]["vocab"].values()), np.int64)
+        #: Tokens that end a piece.
+        self.ends = np.zeros(len(self.width), bool)
         for token, i in spec["model"]["vocab"].items():
             self.width[i] = len(token.removesuffix(suffix))
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.table: dict[str, bytes] = {}
         self.bytes_held = 0
 
@@ -67,6 +70,20 @@ class WordEncoder:
             out += [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         return out
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """The same for words of letters alone, in lower case too: each is one piece, so its last token tells where it ends."""
+        out: list[bytes] = []
+        for at in range(0, len(words), CALL_WORDS):
+            some = words[at : at + CALL_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            if len(cut) != len(some):
+                out += self._library(some)
+                continue
+            cut = cut.tolist()
+            out += [ids[a:b].tobytes() for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+        return out
+
     def _very_long(self, word: str) -> bytes:
         """The ids of a word of any length, STEP characters at a time: pieces of the tokenizer are
         never encoded across, and a piece is cut where both sides agree on a token."""
@@ -120,8 +137,10 @@ class WordEncoder:
                 parts.append((w, w[:-1], w[-1]))
         asked = words.difference(w for w, _, _ in parts)
         asked.update(x for _, base, tail in parts for x in (base, tail))
-        ask = [w for w in asked if w not in table]
-        ids = self._library(ask)
+        asked = asked.difference(table)
+        plain = [w for w in asked if w.isalpha() and w.lower().isalpha()]
+        other = list(asked.difference(plain))
+        ask, ids = plain + other, self._letters(plain) + self._library(other)
         table.update(zip(ask, ids, strict=True))
         for w, base, tail in parts:
             table[w] = table[base] + table[tail]
@@ -146,8 +165,7 @@ class WordEncoder:
         if len(self.table) > WORDS_KEPT or self.bytes_held > BYTES_KEPT:
             self.table.clear()
             self.bytes_held = 0
-        get = self.table.get
-        new = {w for w in chain.from_iterable(split) if get(w) is None}
+        new = set(chain.from_iterable(split)).difference(self.table)
         long = [w for w in new if len(w) >= LONG]
         new.difference_update(long)
         if new:
