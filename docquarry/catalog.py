@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -234,11 +235,14 @@ def upsert_by_key(spark, sf_dir):
     return records.upsert(docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("key"), F.col("lang").alias("value")), docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("key"), F.col("project").alias("value")), ["key"])
 
 
-@query("SELECT doc_id, user_id FROM (SELECT doc_id, doc_id % 8 AS user_id FROM documents) WHERE user_id <> 3")
+@query("""SELECT 'documents' AS tbl, doc_id AS id FROM documents WHERE doc_id % 8 <> 3 UNION ALL SELECT 'chunks', doc_id FROM documents WHERE doc_id % 8 <> 3
+UNION ALL SELECT 'vectors', vec_id FROM embeddings WHERE NOT (vec_id % 8 = 3 AND vec_id IN (SELECT doc_id FROM documents)) UNION ALL SELECT DISTINCT 'sessions', user_id FROM events WHERE user_id <> 3 UNION ALL SELECT 'cache', vec_id FROM embeddings WHERE vec_id % 2 <> 3""")
 def account_purge(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    none = docs.select("user_id").limit(0)
-    return records.purge_user(3, docs, _chunks(spark, sf_dir), _store(spark, sf_dir), none, none)["documents"].select("doc_id", "user_id")
+    """What is left of all five tables."""
+    left = records.purge_user(3, documents(spark, sf_dir), _chunks(spark, sf_dir), _store(spark, sf_dir), _activity(spark, sf_dir), _entries(spark, sf_dir))
+    ids = {"documents": "doc_id", "chunks": "chunk_id", "vectors": "chunk_id", "sessions": "session_id", "cache": "entry_id"}
+    parts = [rows.select(F.lit(name).alias("tbl"), F.col(ids[name]).cast("long").alias("id")) for name, rows in left.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT vec_id, concat('m', label) AS model_name FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
@@ -446,12 +450,26 @@ def _with_text(spark, sf_dir, k=5):
     return _batch(spark, sf_dir, k).join(docs, "vec_id")
 
 
-@query()
+_SETS = "w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS s FROM documents)"
+_PICKS = f"""WITH RECURSIVE {_SETS}, h AS (SELECT query_id, rank, vec_id, score, s FROM ({_BATCH.replace('rank <= 5', 'rank <= 10')}) JOIN w ON doc_id = vec_id),
+c AS (SELECT a.query_id, a.rank, any_value(a.vec_id) AS vec_id, any_value(a.score) AS score, map(list(b.rank), list(CASE WHEN len(a.s) + len(b.s) = 0 THEN 0.0 ELSE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END)) AS near
+ FROM h a JOIN h b ON a.query_id = b.query_id GROUP BY a.query_id, a.rank),
+p AS (
+ SELECT query_id, [min(rank)] AS picked FROM c GROUP BY query_id
+ UNION ALL
+ SELECT query_id, picked FROM (SELECT p.query_id, list_append(p.picked, c.rank) AS picked, row_number() OVER (PARTITION BY p.query_id ORDER BY 0.7 * c.score - (1 - 0.7) * list_max(list_transform(p.picked, lambda r: c.near[r])) DESC, c.rank) AS best
+  FROM p JOIN c ON c.query_id = p.query_id AND NOT list_contains(p.picked, c.rank) WHERE len(p.picked) < 5) WHERE best = 1)"""
+
+
+@query(_PICKS + """ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (SELECT query_id, unnest(picked) AS at, generate_subscripts(picked, 1) AS place FROM (SELECT query_id, arg_max(picked, len(picked)) AS picked FROM p GROUP BY query_id)) x
+JOIN c USING (query_id) WHERE c.rank = x.at""")
 def mmr_select(spark, sf_dir):
     return ranking.diversify(_with_text(spark, sf_dir, 10), 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {_SETS}, h AS (SELECT * FROM ({_BATCH.replace('rank <= 5', 'rank <= 8')})), o AS (
+SELECT query_id, h.rank AS was, vec_id, CASE WHEN len(q.s) > 0 THEN len(list_intersect(q.s, d.s)) / len(q.s) ELSE 0 END AS score FROM h JOIN w q ON q.doc_id = query_id JOIN w d ON d.doc_id = vec_id)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was) AS place FROM o) WHERE place <= 5""")
 def rerank_overlap(spark, sf_dir):
     asked = documents(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
     hits = _with_text(spark, sf_dir, 8).join(asked, "query_id")
@@ -508,9 +526,16 @@ def classify_questions(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", q.classify(F.col("text")).alias("type"))
 
 
-@query("SELECT conv_id, turn, CAST(CASE WHEN n <= 3 THEN 0 WHEN n <= 6 THEN 1 WHEN n <= 10 THEN 2 ELSE 3 END AS INTEGER) AS score FROM (SELECT conv_id, turn, len(regexp_split_to_array(trim(text), '\\s+')) AS n FROM conversations)")
+# every turn asked with none, one or several of the words that make a question hard
+_HARD = "concat(text, CASE turn % 6 WHEN 1 THEN ' မဟုတ်' WHEN 2 THEN ' အဲဒါ ' WHEN 3 THEN ' a နဲ့ b' WHEN 4 THEN ' ဒါပေမယ့် မရှိ' WHEN 5 THEN ' ဘာလဲ နဲ့ သို့' ELSE '' END)"
+
+
+@query(f"""SELECT conv_id, turn, CAST(CASE WHEN n <= 3 THEN 0 WHEN n <= 6 THEN 1 WHEN n <= 10 THEN 2 ELSE 3 END + CASE WHEN contains(t, 'မဟုတ်') OR contains(t, 'မရှိ') THEN 2 ELSE 0 END
+ + CASE WHEN contains(t, 'အဲဒါ') OR contains(t, 'ဒါ') OR contains(t, 'ဟို') OR contains(t, 'ဘယ်လို') OR contains(t, 'ဘာလဲ') OR contains(t, 'ဘယ်') THEN 2 ELSE 0 END
+ + CAST(contains(t, 'နဲ့') AS INTEGER) + CAST(contains(t, 'သို့') AS INTEGER) + CAST(contains(t, 'ဒါပေမယ့်') AS INTEGER) AS INTEGER) AS score
+FROM (SELECT conv_id, turn, t, len(regexp_split_to_array(trim(t), '\\s+')) AS n FROM (SELECT conv_id, turn, {_HARD} AS t FROM conversations))""")
 def complexity_score(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", q.complexity(F.col("text")).alias("score"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", q.complexity(F.expr(_HARD)).alias("score"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN d WHEN 1 THEN CAST(date_trunc('month', d) AS DATE) WHEN 2 THEN CAST(date_trunc('quarter', d) AS DATE) ELSE CAST(date_trunc('year', d) AS DATE) END AS date_from,
@@ -535,9 +560,12 @@ def alias_expand(spark, sf_dir):
     return records.expand_aliases(asked, _aliases(spark)).select("query_id.conv_id", "query_id.turn", F.md5("expanded").alias("expanded"))
 
 
-@query("SELECT item_id AS query_id, arg_min(source, struct_pack(n := -length(source), s := source)) AS project FROM benchmark JOIN (SELECT DISTINCT source FROM documents) s ON contains(lower(concat('report of ', 'src', item_id % 20, ' today')), lower(source)) GROUP BY 1")
+@query("""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, lower(concat(text, ' Src', conv_id % 20, ' and SRC', turn)) AS t FROM conversations)
+SELECT query_id, arg_min(source, struct_pack(n := -length(source), s := source)) AS project FROM q JOIN (SELECT DISTINCT source FROM documents) s ON contains(t, lower(source)) GROUP BY 1""")
 def project_extraction(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("report of src"), (F.col("item_id") % 20).cast("string"), F.lit(" today")).alias("question"))
+    """The longest project that each turn names, in any case, among all its other words."""
+    said = F.concat("text", F.lit(" Src"), (F.col("conv_id") % 20).cast("string"), F.lit(" and SRC"), F.col("turn").cast("string"))
+    asked = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), said.alias("question"))
     names = documents(spark, sf_dir).select(F.col("project").alias("name")).distinct()
     return records.longest_match(records.match_names(asked, names)).select("query_id", F.col("name").alias("project"))
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.sources.workspace import staged
+
 
 def elbow_cut(hits: DataFrame, base: Column | float = 0.65, most: int = 10, gap: float = 0.15, scaling: float = 0.85, fallback: float = 0.25) -> DataFrame:
     """Rows of ranked lists (query_id, rank, score) above a cut that each list sets itself.
@@ -30,12 +32,12 @@ def elbow_cut(hits: DataFrame, base: Column | float = 0.65, most: int = 10, gap:
     return marked.where(keep).select(*hits.columns)
 
 
-def diversify(hits: DataFrame, k: int, weight: float = 0.7, text: str = "content") -> DataFrame:
-    """Maximal marginal relevance over lists that are already cut to a few rows (at most 100 a query).
+def diversify(hits: DataFrame, k: int, weight: float = 0.7, text: str = "content", candidates: int = 100) -> DataFrame:
+    """Maximal marginal relevance: ``k`` of the first ``candidates`` rows of each list, which one task compares with each other.
 
     Each pick maximises weight * score - (1 - weight) * its largest word overlap with what is picked; ties go to the earlier rank.
     """
-    short = hits.where(F.col("rank") <= 100)
+    short = hits.where(F.col("rank") <= candidates)
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank").reset_index(drop=True)
@@ -74,20 +76,24 @@ def rerank(hits: DataFrame, reranker: Reranker, candidates: int = 8, final: int
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank").reset_index(drop=True)
-        some = rows.head(candidates).copy()
+        some = rows.sort_values("rank").reset_index(drop=True)
         try:
             found = {i: s for i, s in reranker.scores(str(some["question"].iloc[0]), some["content"].fillna("").tolist()).items() if 0 <= i < len(some)}
         except Exception:  # the provider is outside: its failure leaves the order as it is
             found = {}
         if not found:
-            return rows
+            return some.assign(_new=False)
         some["score"] = [found.get(i, s) for i, s in enumerate(some["score"])]
         some = some.sort_values(["score", "rank"], ascending=[False, True], kind="stable").head(final)
         some["rank"] = range(1, len(some) + 1)
-        return some
-
-    return hits.where(F.col("rank") <= 200).groupBy("query_id").applyInPandas(run, hits.schema)
+        return some.assign(_new=True)
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in hits.dtypes)
+    # written once: the provider is asked once for each list
+    first = staged(hits.where(F.col("rank") <= candidates).groupBy("query_id").applyInPandas(run, f"{kinds}, _new boolean"), "reranked")
+    # lists that stay as they are keep what comes after the candidates
+    same = first.where("NOT _new").select("query_id").distinct()
+    return first.drop("_new").unionByName(hits.where(F.col("rank") > candidates).join(same, "query_id", "left_semi"))
 
 
 def confidence(hits: DataFrame) -> DataFrame:
