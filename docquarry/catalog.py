@@ -364,9 +364,9 @@ def fts_rank_any(spark, sf_dir):
     return retrieval.text_topk(documents(spark, sf_dir), asked, 10, mode="any").withColumn("score", F.round("score", 6))
 
 
-# the first four distinct words of a turn, in order of their first place
+# the first four distinct words of over five letters of a turn, in order of their first place
 _TURN_WORDS = f"""t AS (SELECT query_id, list(term ORDER BY p) AS w FROM (SELECT query_id, term, min(p) AS p FROM (SELECT conv_id * 1000 + turn AS query_id, unnest(w) AS term, generate_subscripts(w, 1) AS p
- FROM (SELECT *, {TERMS.format(t='text')} AS w FROM conversations)) GROUP BY ALL) GROUP BY query_id HAVING count(*) >= 4)"""
+ FROM (SELECT *, {TERMS.format(t='text')} AS w FROM conversations)) WHERE length(term) > 5 GROUP BY ALL) GROUP BY query_id HAVING count(*) >= 4)"""
 _TURN_SEARCH = f"""WITH {_PLACES}, {_TURN_WORDS}, a AS (SELECT query_id, unnest(list_slice(w, 1, 4)) AS term FROM t), d AS (SELECT doc_id, list(DISTINCT term) AS h FROM pl GROUP BY doc_id),
 m AS (SELECT query_id, doc_id FROM t JOIN pl ON pl.term = t.w[3] JOIN d USING (doc_id) WHERE (list_contains(h, w[1]) OR list_contains(h, w[2])) AND NOT list_contains(h, w[4]) GROUP BY ALL), {_OWN}, {_NEAR}
 """
@@ -374,8 +374,8 @@ m AS (SELECT query_id, doc_id FROM t JOIN pl ON pl.term = t.w[3] JOIN d USING (d
 
 @query(_TURN_SEARCH + "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (" + _BEST.format(scored="SELECT query_id, doc_id, coalesce(1 - exp(s.s), 0) AS score FROM m LEFT JOIN s USING (query_id, doc_id)") + ") WHERE rank <= 5")
 def fts_boolean_search(spark, sf_dir):
-    """``(first | second) & third & !fourth`` of the distinct words of every turn, as text that is compiled to rows."""
-    said = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.array_distinct(t.terms(F.col("text"))).alias("w")).where(F.size("w") >= 4)
+    """``(first | second) & third & !fourth`` of the distinct longer words of every turn, as text that is compiled to rows."""
+    said = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.filter(F.array_distinct(t.terms(F.col("text"))), lambda x: F.length(x) > 5).alias("w")).where(F.size("w") >= 4)
     search = F.concat(F.lit("("), F.col("w")[0], F.lit(" | "), F.col("w")[1], F.lit(") & "), F.col("w")[2], F.lit(" & !"), F.col("w")[3])
     rows = textsearch.search_rows(said.select("query_id", q.sanitise_boolean(search).alias("boolean")))
     return textsearch.search_texts(documents(spark, sf_dir), rows, 5).withColumn("score", F.round("score", 6))

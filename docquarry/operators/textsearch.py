@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.stemming import stemmed
 from docquarry.functions.text import terms
 from docquarry.operators.filtering import facts, passes
+from docquarry.sources.workspace import staged
 
 #: Asked terms that are put into the scan of the texts; with more, every token stays until the join.
 ASKED = 20_000
@@ -140,6 +141,7 @@ def search_texts(docs: DataFrame, searches: DataFrame, k: int | None = None, id_
     asked = prepared(searches, stem)
     if wanted is not None:
         asked = asked.join(wanted.select("query_id", "wanted"), "query_id")
+    asked = staged(asked, "searches")  # read several times: to see what is asked for, and to meet the texts
     if groups == "one":
         scored = _often(docs, asked, id_col, text_col, stem)
     elif groups == "several":
