@@ -23,6 +23,8 @@ from docquarry.llm import token_ids
 from docquarry.llm.shared import narrow
 from docquarry.llm.token_ids import WordEncoder, default_path, encoder
 
+#: Words whose prefix counts are remembered.
+PREFIXES_KEPT = 100_000
 #: Pairs of tokens whose compatibility is remembered.
 PAIRS_KEPT = 500_000
 
@@ -156,7 +158,13 @@ def runs_of(enc: WordEncoder) -> RunCounts:
 
 
 class PrefixCounts:
-    """The table of one text: ``ends[i]`` characters and ``counts[i]`` tokens up to word i's end."""
+    """The table of one text: ``ends[i]`` characters and ``counts[i]`` tokens up to word i's end.
+
+    Inside a word the dynamic programme counts, once for each distinct word that is asked about; no text is encoded again.
+    """
+
+    #: Counts at the prefixes of words, shared by the texts of a Python worker.
+    kept: dict[str, np.ndarray] = {}
 
     def __init__(self, enc: WordEncoder, text: str, by_word: list[bytes] | None = None):
         self.enc, self.text = enc, text
@@ -176,16 +184,46 @@ class PrefixCounts:
         w = int(np.searchsorted(self.ends, chars))
         before = int(self.counts[w - 1]) if w else 0
         start = int(self.ends[w - 1]) + 1 if w else 0
-        part = self.text[start:chars]
-        return before + (self.enc.counts([part])[0] if part else 0)
+        if chars <= start:
+            return before
+        word = self.words[w]
+        if len(word) >= token_ids.LONG:  # its prefixes are not kept: only as far as asked
+            return before + self.in_word(word[: chars - start])[-1]
+        return before + int(self.of_word(word)[chars - start - 1])
+
+    def of_word(self, word: str) -> np.ndarray:
+        """``in_word`` of a word of under LONG characters, kept for each distinct word."""
+        known = self.kept.get(word)
+        if known is None:
+            if len(self.kept) > PREFIXES_KEPT:
+                self.kept.clear()
+            known = self.kept[word] = np.array(self.in_word(word), np.int32)
+        return known
 
     def in_word(self, word: str, most: int | None = None) -> list[int]:
         """Tokens of the first 1, 2, ... characters of a word; may end where every longer prefix has over ``most``."""
-        if len(word) < token_ids.LONG or regex.search(r"\s", word):
-            return self.enc.counts([word[:k] for k in range(1, len(word))] + [word]) if word else []
-        if unicodedata.is_normalized("NFC", word):
-            return runs_of(self.enc).of_word(word, most)
-        # in parts that no composition crosses: a prefix that ends inside one counts as the one after it
+        runs = runs_of(self.enc)
+        out: list[int] = []
+        base = 0
+        for part in regex.split(r"(\s)", word):  # white space other than blanks and line ends parts words too
+            if regex.fullmatch(r"\s", part):
+                out.append(base)
+                continue
+            left = None if most is None else most - base
+            if unicodedata.is_normalized("NFC", part):
+                own = runs.of_word(part, left)
+            elif len(part) < token_ids.LONG:
+                own = [runs.of_word(unicodedata.normalize("NFC", part[:k]))[-1] for k in range(1, len(part) + 1)]
+            else:
+                own = self._composed(part, left)
+            out += [base + n for n in own]
+            if len(own) < len(part):
+                break
+            base = out[-1] if own else base
+        return out
+
+    def _composed(self, word: str, most: int | None) -> list[int]:
+        """``in_word`` of a long word that is not in normal form, in parts that no composition crosses: a prefix that ends inside one counts as the one after it."""
         parts = regex.findall(r"\P{M}?\p{M}+|[\u1100-\u115F]?[\u1160-\u11FF]+|.", word, regex.DOTALL)
         whole = [unicodedata.normalize("NFC", p) for p in parts]
         counts = runs_of(self.enc).of_word("".join(whole), most)
@@ -202,7 +240,7 @@ class PrefixCounts:
         out[0], start, before = 0, 0, 0
         for word, count in zip(self.words, self.counts.tolist(), strict=True):
             if word:
-                out[start + 1 : start + len(word) + 1] = [before + x for x in self.in_word(word)]
+                out[start + 1 : start + len(word) + 1] = before + (self.of_word(word) if len(word) < token_ids.LONG else np.array(self.in_word(word)))
             if start + len(word) < len(self.text):
                 out[start + len(word) + 1] = count
             before, start = count, start + len(word) + 1
