@@ -104,7 +104,8 @@ def _near(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, stem: b
     held = docs.select(id_col, places.alias("places"), *row).withColumn("held", F.array_distinct(F.transform("places", lambda x: x["t"])))
     meets = F.col("held") if anchors is None else F.filter("held", lambda t: t.isin(anchors))
     by_anchor = asked.select(F.explode("anchor").alias("at"), "query_id", "groups", "asked", "anchor", *own)
-    pairs = held.withColumn("at", F.explode(meets)).join(_few(by_anchor), "at")
+    # outer: else the whole reduction of the texts is computed once more to filter what explodes to nothing
+    pairs = held.withColumn("at", F.explode_outer(meets)).join(_few(by_anchor), "at")
     # a text that holds several terms of the anchor counts at the first
     pairs = pairs.where(F.array_min(F.array_intersect("anchor", "held")) == F.col("at"))
     pairs = pairs.where(F.forall("groups", lambda g: F.exists(g, lambda t: F.array_contains("held", t["term"]) != t["negated"])))

@@ -6,7 +6,7 @@ million share one plan. What questions compile to and what a search finds are sm
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields, replace
 from typing import Protocol
 
@@ -64,6 +64,20 @@ class ExtractiveAnswer:
         return prompts.withColumn("answer", F.col("context"))
 
 
+_ANSWERERS: dict[str, Callable[..., AnswerProvider]] = {"extractive": ExtractiveAnswer}
+
+
+def register_answerer(name: str, make: Callable[..., AnswerProvider]) -> None:
+    _ANSWERERS[name] = make
+
+
+def answerer_for(name: str, **options: object) -> AnswerProvider:
+    """The answer provider registered under a name; an unknown name is an error."""
+    if name not in _ANSWERERS:
+        raise ValueError(f"{name} is not a known answer provider")
+    return _ANSWERERS[name](**options)
+
+
 @dataclass
 class Memory:
     """What a conversation brings to its next question.

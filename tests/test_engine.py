@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docquarry.operators import cache
 from docquarry.operators.embedding import HashingProvider
 from docquarry.operators.vector_index import build_index
-from docquarry.plans.engine import Engine, Memory, Settings
+from docquarry.plans.engine import Engine, Memory, Settings, answerer_for, register_answerer
 from docquarry.sources.workspace import new_folder, staged
 
 DOCS = [
@@ -141,6 +141,13 @@ def test_the_cache_answers_the_first_question_of_a_session(spark, chunks, today)
     assert not engine.ask(asked, today, owner="u1", memory=Memory(talk, entries, cache.document_versions(none))).where("cached").count()
 
 
+def test_answer_providers_are_registered():
+    register_answerer("telling", Telling)
+    assert answerer_for("telling").name == "telling" and answerer_for("extractive").name == "extractive"
+    with pytest.raises(ValueError):
+        answerer_for("nobody")
+
+
 def test_settings_overlay():
     got = Settings().overlay({"top_k": "7", "threshold": "0.5", "unknown": 1, "mode": None})
     assert (got.top_k, got.threshold, got.mode) == (7, 0.5, "hybrid")
