@@ -181,12 +181,15 @@ def quality_scores(model: LineCrf, texts: list[str], bytes_at_once: int = 400_00
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, label: str = "quality") -> LineCrf:
-    """Trains on at most ``sample_rows`` labelled rows, never held-out ones."""
+    """Trains on at most ``sample_rows`` labelled rows, never held-out ones; with labels of one class the model says its rate, without labels a half."""
     return train_crf(labelled_sample(docs, labels, label, sample_rows))
 
 
 def score_quality(docs: DataFrame, model: LineCrf) -> DataFrame:
-    """All columns of ``docs`` with ``quality_score``; whole texts, null as empty."""
+    """All columns of ``docs`` with ``quality_score``; whole texts, null as empty.
+
+    Repeated rows score alike, an empty table gives no rows, and a column of that name is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: a few hundred numbers
 
     @F.pandas_udf("double")
@@ -197,4 +200,7 @@ def score_quality(docs: DataFrame, model: LineCrf) -> DataFrame:
 
 
 def quality_result(docs: DataFrame, model: LineCrf, threshold: float = 0.7) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of each row of ``docs``; repeated rows come out as often as they came in, a null id is
+    not held out, and an empty table gives no rows. Only doc_id and text are read.
+    """
     return score_quality(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))

@@ -297,7 +297,7 @@ def prefix_token_counts(docs: DataFrame, budget: int = 2048, tokenizer: str | No
 
 def token_totals(tables: DataFrame, budget: int = 2048) -> DataFrame:
     """Answers from stored tables of prefix counts, without the texts or the tokenizer: tokens, whether
-    they go over ``budget``, and the words that fit it."""
+    they go over ``budget``, and the words that fit it. Repeated rows come out each; an empty table gives no rows."""
     from pyspark.sql import functions as F
 
     last = F.element_at("word_counts", -1).cast("long")

@@ -268,7 +268,11 @@ def read_records(places: DataFrame, archives: str, run_bytes: int = 4 << 20, pay
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """Writes every page to archives, indexes them, looks every page up and reads it back."""
+    """Writes every page to archives, indexes them, looks every page up and reads it back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A null html is an empty payload. Of equal payloads of ``least_bytes`` and more the greatest page_id is the response; smaller ones are all responses. An
+    empty table gives no rows; only page_id, url and html are read.
+    """
     spark = pages.sparkSession
     archives, folder = new_folder(spark, "warc"), new_folder(spark, "warc-index")
     captures = write_archives(with_record_types(pages, least_bytes), archives)
