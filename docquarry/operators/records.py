@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.questions import classify, expand_synonyms
 from docquarry.functions.text import like_pattern
+from docquarry.sources.workspace import staged
 
 #: Columns a document list may be sorted by, and columns an update may set.
 SORT_KEYS = ("created_at", "title", "report_date", "project", "status", "file_size", "chunks_count", "last_activity_at")
 UPDATE_KEYS = ("title", "description", "report_date", "project")
+#: Needles that every text is searched for one by one, and first letters of needles that are put into the scan of the texts.
+FEW_NEEDLES, LISTED_GRAMS = 200, 2_000
 
 
 def store_stats(vectors: DataFrame, *by: str) -> DataFrame:
@@ -164,14 +167,33 @@ def status_of(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("doc_id").agg(state.alias("status"), F.sum(F.when(F.col("event") == "started", 1).otherwise(0)).alias("attempts"))
 
 
+def _first_grams(text: Column, listed: list[str] | None) -> Column:
+    """The distinct runs of one to three letters of a text, of ``listed`` ones only if they are given; in time linear in its length."""
+
+    def grams(letters: Column) -> Column:
+        at = lambda i, k: F.coalesce(F.get(letters, i + k), F.lit(""))
+        runs = lambda c, i: F.array(c, F.concat(c, at(i, 1)), F.concat(c, at(i, 1), at(i, 2)))
+        return F.flatten(F.transform(letters, runs))
+
+    found = F.transform(F.array(F.split(text, "")), grams)[0]
+    return F.array_distinct(found) if listed is None else F.array_intersect(found, F.array(*[F.lit(g) for g in listed]))
+
+
 def containing(questions: DataFrame, needles: DataFrame) -> DataFrame:
     """Pairs of ``questions`` (query_id, q) and ``needles`` (needle, not empty) with the needle anywhere in q.
 
-    Joined by equality on the needle's first three letters (or all, if fewer), which must be among the question's grams.
+    Up to FEW_NEEDLES go to the questions as they are. More are met by their first three letters (or all, if fewer): only ids and letters
+    are dealt out for that, and a text is read again once for each needle that it may hold.
     """
-    grams = F.expr("flatten(transform(sequence(1, char_length(q)), i -> array(substring(q, i, 3), substring(q, i, 2), substring(q, i, 1))))")
-    asked = questions.where("q <> ''").select("query_id", "q", F.explode(F.array_distinct(grams)).alias("gram"))
-    return asked.join(needles.withColumn("gram", F.substring("needle", 1, 3)), "gram").where(F.contains("q", "needle")).drop("gram")
+    needles = staged(needles, "needles")
+    asked = questions.where("q <> ''").select("query_id", "q")
+    if needles.limit(FEW_NEEDLES + 1).count() <= FEW_NEEDLES:
+        return asked.join(F.broadcast(needles), F.contains("q", "needle"))
+    first = F.substring("needle", 1, 3)
+    listed = [r[0] for r in needles.select(first).distinct().limit(LISTED_GRAMS + 1).collect()]
+    grams = asked.select("query_id", F.explode(_first_grams(F.col("q"), listed if len(listed) <= LISTED_GRAMS else None)).alias("gram"))
+    may = grams.join(needles.withColumn("gram", first), "gram").drop("gram").distinct()
+    return asked.join(may, "query_id").where(F.contains("q", "needle"))
 
 
 def match_names(questions: DataFrame, names: DataFrame, label: str = "name") -> DataFrame:
