@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.vectors import norm
-from docquarry.operators.vector_scan import _units, _vectors, best_of, blocks_of
+from docquarry.operators.vector_scan import DIGITS, _units, _vectors, best_of, blocks_of
 
 #: Rows that centroids are fitted on, for each vector length.
 SAMPLE = 50_000
@@ -130,10 +130,10 @@ class VectorIndex:
             self._centroids = {d: np.array(cs) for d, cs in found.items()}
         return self._centroids
 
-    def search(self, queries: DataFrame, k: int, probes: int | None = None, tie: str = "vec_id", where: Column | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, tie: str = "vec_id", where: Column | None = None, digits: int | None = DIGITS) -> DataFrame:
         """``query_id, rank, <tie>, score``: the k best of each query (query_id, query, own filters ``wanted``) in the ``probes`` lists nearest to it (by default, what the index was fitted to).
 
-        Scores are exact cosines. A query with no list of its length finds nothing.
+        Scores are exact cosines, which tie if equal to ``digits`` (None: as they are). A query with no list of its length finds nothing.
         """
         blocks = blocks_of(queries)
         asked: set[tuple[int, int]] = set()
@@ -151,4 +151,4 @@ class VectorIndex:
             read = read | ((F.col("dimensions") == size) & F.col("list").isin([n for d, n in sorted(asked) if d == size]))
         rows = rows.where(read)
         rows = rows if where is None else rows.where(where)
-        return best_of(rows.withColumn("v", F.col(self.vector)), blocks, queries, k, tie, rows.columns)
+        return best_of(rows.withColumn("v", F.col(self.vector)), blocks, queries, k, tie, rows.columns, digits)

@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.operators import records, text_scan, textsearch
+from docquarry import catalog
+from docquarry.functions.vectors import cosine
+from docquarry.operators import records, retrieval, text_scan, textsearch
 
 
 @pytest.mark.parametrize("few,listed", [(200, 2000), (0, 2000), (0, 0)])
@@ -66,3 +68,27 @@ def test_a_search_deals_out_only_its_best_of_each_task(spark):
     search = textsearch.prepared(textsearch.plain_search(spark.createDataFrame([(1, "red"), (1, "blue")], "query_id long, term string")))
     found = text_scan.scan_texts(docs, search.withColumn("first", F.col("query_id")), 4, "doc_id", textsearch.tokens(F.col("text")))
     assert found.count() == 8 and {r.doc_id for r in found.collect()} == {0, 1, 2, 3, 1000, 1001, 1002, 1003}
+
+
+def test_scores_of_the_scan_are_those_of_the_expression(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(33)]) for k in range(300)]
+    rows += [(300 + k, [x * (k + 1) / 7 for x in rows[4][1]]) for k in range(20)]  # as near as the last bits tell
+    held = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = held.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    scored = asked.crossJoin(held).withColumn("score", cosine(F.col("embedding"), F.col("query")))
+    want: dict = {}
+    for r in scored.select("query_id", "vec_id", "score").collect():
+        want.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    got: dict = {}
+    for r in retrieval.vector_topk_batch(held, asked, 9, digits=None).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert got == {q: sorted(found)[:9] for q, found in want.items()}
+
+
+def test_the_list_of_a_model_is_cut_before_it_meets_the_queries(spark, tmp_path):
+    held = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"), F.lit(1).alias("label"))
+    held.write.parquet(str(tmp_path / "embeddings.parquet"))
+    second = catalog._legs(spark, str(tmp_path))[1]
+    plan = second._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window") and second.count() == 8 * 15
