@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import estimated_tokens
 
 SEPARATORS = ("\n\n", "\n", ".", ",", " ")
+#: Texts that are held as Python strings at a time.
+AT_ONCE = 200
 
 
 def split_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,16 +54,24 @@ def chunk_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id, chunk_index, char_start, char_end, content`` of each text.
 
     Where a chunk ends depends on where it began, so a text is walked in order
-    inside its row; rows are spread by Spark. Null and empty texts have no chunks.
+    inside its row; rows are spread by Spark. Only offsets come back from Python, where few texts are held at a time,
+    and contents are cut only if they are read. Null and empty texts have no chunks.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, k, a, b, text[a:b]) for i, text in zip(frame[id_col], frame[text_col], strict=True) if text for k, (a, b) in enumerate(cut_points(text, size, overlap))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "char_start", "char_end", "content"])
-
-    return docs.select(id_col, text_col).mapInPandas(cut, f"`{id_col}` {kind}, chunk_index int, char_start int, char_end int, content string")
+    @F.arrow_udf("array<struct<char_start int, char_end int>>")
+    def cut(column: pa.Array) -> pa.Array:
+        points, ends = array("i"), [0]
+        for low in range(0, len(column), AT_ONCE):
+            for text in column.slice(low, AT_ONCE).to_pylist():
+                for point in cut_points(text or "", size, overlap):
+                    points.extend(point)
+                ends.append(len(points) // 2)
+        pairs = np.frombuffer(points, np.int32).reshape(-1, 2) if points else np.zeros((0, 2), np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], ["char_start", "char_end"]))
+
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.posexplode(cut(F.col(text_col))).alias("chunk_index", "_cut"))
+    first, last = F.col("_cut.char_start"), F.col("_cut.char_end")
+    return rows.select(id_col, "chunk_index", first.alias("char_start"), last.alias("char_end"), F.col("_text").substr(first + 1, last - first).alias("content"))
 
 
 def chunk_sections(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
