@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.labelled import labelled_sample
-from docquarry.llm.shared import held_out, text_of
+from docquarry.llm.labelled import dealt, labelled_rows, one_round, shard_count
+from docquarry.llm.shared import held_out, staged, text_of
 
 #: Classes of bytes whose share of a line is a feature.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", ".", ",;:", "!?", "|", "#$%&*@^~=+<>/\\_{}[]", "\"'()-", "\t\r\x00")
@@ -127,35 +129,95 @@ def forward_backward(emit: np.ndarray, moves: np.ndarray, counts: np.ndarray, sh
     return good, pairs, float(np.log(norm).sum() + top.sum())
 
 
-def train_crf(sample: pd.DataFrame, steps: int = 250, rate: float = 0.1, ridge: float = 1e-4) -> LineCrf:
+class CrfTrainer:
     """Adam on the conditional log likelihood; the lines of a text take its label.
 
     Likelihoods are per text and line, so long texts count no more than short ones.
     """
-    own, _, counts = line_features(sample["text"].tolist()) if len(sample) else (np.zeros((0, N_OWN), np.float32), None, np.zeros(0, np.int64))
-    model = LineCrf(np.zeros(3 * N_OWN + 1), np.ones(3 * N_OWN + 1), np.zeros(3 * N_OWN + 1), np.zeros((2, 2)))
-    if not len(sample) or sample["y"].nunique() < 2:
-        rate_of_1 = float(sample["y"].mean()) if len(sample) else 0.5
-        model.weights[-1] = np.log((rate_of_1 + 0.01) / (1.01 - rate_of_1))
-        return model
-    x = with_neighbours(own, counts).astype(np.float64)
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-3
-    model.mean[-1], model.scale[-1] = 0, 1
-    x = (x - model.mean) / model.scale
-    weight = (sample["weight"].to_numpy(float) ** 0.5 / np.maximum(counts, 1)) / len(sample)
-    y = np.repeat(sample["y"].to_numpy(float), counts)
-    per_line = np.repeat(weight, counts)
-    seen_moves = np.zeros((2, 2))
-    for label in (0, 1):
-        seen_moves[label, label] = (weight * (counts - 1))[sample["y"].to_numpy() == label].sum()
-    m, v = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
-    for step in range(1, steps + 1):
+
+    def __init__(self, model: LineCrf, ridge: float = 1e-4):
+        self.model, self.ridge, self.steps = model, ridge, 0.0
+        self.m, self.v = np.zeros(len(model.weights) + 4), np.zeros(len(model.weights) + 4)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.model.weights, self.model.moves.ravel(), self.m, self.v, [self.steps]])
+
+    def take(self, flat: np.ndarray) -> None:
+        """Goes on from another trainer's ``flat``."""
+        cuts = np.cumsum([len(self.model.weights), 4, len(self.m), len(self.v)])
+        self.model.weights, moves, self.m, self.v, steps = np.split(flat, cuts)
+        self.model.moves, self.steps = moves.reshape(2, 2), float(steps[0])
+
+    def step(self, texts: list[str], labels: np.ndarray, weight: np.ndarray, now: float) -> None:
+        model = self.model
+        own, _, counts = line_features(texts)
+        x = (with_neighbours(own, counts).astype(np.float64) - model.mean) / model.scale
+        weight = weight / np.maximum(counts, 1) / len(texts)
+        y, per_line = np.repeat(labels, counts), np.repeat(weight, counts)
+        seen_moves = np.zeros((2, 2))
+        for label in (0, 1):
+            seen_moves[label, label] = (weight * (counts - 1))[labels == label].sum()
         good, pairs, _ = forward_backward(x @ model.weights, model.moves, counts, per_line)
-        grad = np.concatenate([x.T @ (per_line * (good - y)) + ridge * model.weights, (pairs - seen_moves + 0.02 * model.moves).ravel()])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        move = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        grad = np.concatenate([x.T @ (per_line * (good - y)) + self.ridge * model.weights, (pairs - seen_moves + 0.02 * model.moves).ravel()])
+        self.steps += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * grad, 0.999 * self.v + 0.001 * grad * grad
+        move = now * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.v / (1 - 0.999**self.steps)) + 1e-8)
         model.weights = model.weights - move[:-4]
         model.moves = model.moves - move[-4:].reshape(2, 2)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int, most_letters: int = 400_000) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts and labels, ``most`` or so many letters at a time."""
+    texts, ys, letters = [], [], 0
+    for batch in batches:
+        for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+            texts.append(text.as_py())
+            ys.append(y)
+            letters += len(texts[-1])
+            if len(texts) == most or letters > most_letters:
+                yield texts, ys
+                texts, ys, letters = [], [], 0
+    if texts:
+        yield texts, ys
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Means of the features and of their squares, and the number of lines."""
+    sums, lines = np.zeros((3 * N_OWN + 1, 2)), 0
+    for texts, _ in _groups(batches, 100):
+        own, _, counts = line_features(texts)
+        x = with_neighbours(own, counts).astype(np.float64)
+        sums += np.stack([x.sum(0), (x * x).sum(0)], 1)
+        lines += len(x)
+    return sums / max(1, lines), np.full(len(sums), float(lines)), np.zeros(0), 1.0
+
+
+def train_crf(rows: DataFrame, counts: dict[int, int], epochs: int = 8, batch: int = 32, rate: float = 0.1) -> LineCrf:
+    """A model of all ``rows`` (doc_id, text, y), learnt in shards. ``counts``: rows of each label."""
+    width, total = 3 * N_OWN + 1, sum(counts.values())
+    model = LineCrf(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)))
+    if len(counts) < 2:
+        rate_of_1 = counts.get(1, 0) / total if total else 0.5
+        model.weights[-1] = np.log((rate_of_1 + 0.01) / (1.01 - rate_of_1))
+        return model
+    shards = dealt(rows, shard_count(total))
+    moments, _ = one_round(shards, _moments, np.zeros((width, 2)), np.zeros(0))
+    model.mean, model.scale = moments[:, 0], np.sqrt(np.maximum(moments[:, 1] - moments[:, 0] ** 2, 0)) + 1e-3
+    model.mean[-1], model.scale[-1] = 0, 1
+    trainer = CrfTrainer(model)
+    # the loss of balanced classes, each weighed by the root of its share
+    weight = np.array([np.sqrt(0.5 * total / counts[y]) for y in (0, 1)])
+    for epoch in range(epochs):
+
+        def learn(batches: Iterator[pa.RecordBatch], start=trainer, now=rate * (1 - epoch / epochs)) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+            own, seen = deepcopy(start), 0
+            for texts, ys in _groups(batches, batch):
+                own.step(texts, np.array(ys, float), weight[ys], now)
+                seen += len(texts)
+            return np.zeros((0, 1)), np.zeros(0), own.flat(), float(seen)
+
+        trainer.take(one_round(shards, learn, np.zeros((0, 1)), trainer.flat())[1])
+    shards.unpersist()
     return model
 
 
@@ -180,9 +242,11 @@ def quality_scores(model: LineCrf, texts: list[str], bytes_at_once: int = 400_00
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, label: str = "quality") -> LineCrf:
-    """Trains on at most ``sample_rows`` labelled rows, never held-out ones; with labels of one class the model says its rate, without labels a half."""
-    return train_crf(labelled_sample(docs, labels, label, sample_rows))
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> LineCrf:
+    """Trains on all labelled rows, never held-out ones; with labels of one class the model says its rate, without labels a half."""
+    rows = staged(labelled_rows(docs, labels, label).drop("lang"), "labelled")
+    counts = {int(r["y"]): int(r["n"]) for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return train_crf(rows, counts)
 
 
 def score_quality(docs: DataFrame, model: LineCrf) -> DataFrame:

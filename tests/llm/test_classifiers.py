@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm.line_crf import LineCrf, fit_quality, forward_backward, line_features, quality_result, quality_scores
-from docquarry.llm.toxicity import WIDTHS, Scorer, fit_toxicity, score_toxicity, toxicity_result, train, word_rows
+from docquarry.llm.toxicity import WIDTHS, Scorer, best_threshold, fit_toxicity, new_model, score_toxicity, toxicity_result, train, winners, word_rows
 from tests.llm.helpers import empty_docs, make_docs, words
 
 
@@ -122,3 +123,39 @@ def test_quality_is_the_length_weighted_mean():
     d = own.shape[1]
     model = LineCrf(np.zeros(3 * d + 1), np.ones(3 * d + 1), np.zeros(3 * d + 1), np.zeros((2, 2)))
     assert np.allclose(quality_scores(model, ["ab\nabcd efg", "", "x"]), 0.5)
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    """The rows that a sample of 3000 would leave out are the only ones with the words that tell the classes apart."""
+    rng = random.Random(6)
+    n = 9000
+    plain = [(i, " ".join(words(rng, 6, 50).split())) for i in range(n)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in plain], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(n)], "doc_id long, quality int, toxic int")
+    known = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    first = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(1500) for y in (0, 1)]
+    sample = first[0].unionByName(first[1]).select("doc_id", F.lit(True).alias("sampled"))
+    marked = docs.join(labels, "doc_id").join(F.broadcast(sample), "doc_id", "left")
+    marked = marked.withColumn("text", F.when(F.col("sampled").isNull() & (F.col("toxic") == 1), F.concat("text", F.lit(" VILE!! VILE!!"))).otherwise(F.col("text"))).select("doc_id", "text", "lang").localCheckpoint()
+    asked = spark.createDataFrame([(1, "w1 w2 w3 VILE!! VILE!!", "en"), (2, "w1 w2 w3", "en")], "doc_id long, text string, lang string")
+    for result, model in ((toxicity_result, fit_toxicity(marked, labels)), (quality_result, fit_quality(marked, labels))):
+        score = {r.doc_id: r.score for r in result(asked, model).collect()}
+        assert score[1] > 0.9 and score[2] < 0.6
+
+
+def test_thresholds_come_from_all_rows_set_aside():
+    rows = [(0.05 * k, int(k > 12 or k == 3)) for k in range(20)]
+    frame = pd.DataFrame([{"low": s, "high": s, "ones": y * 50, "n": 50} for s, y in rows])
+    assert best_threshold(frame, 20) == pytest.approx((0.05 * 13 + 0.05 * 12) / 2)
+    assert best_threshold(frame, 401) is None
+
+
+def test_responses_of_a_long_text_in_pieces():
+    rng = np.random.default_rng(8)
+    model = new_model()
+    texts = [np.concatenate([rng.integers(0, model.buckets, (n, 3)), np.full((max(WIDTHS), 3), model.buckets)]).astype("<u2") for n in (0, 1, 40, 7, 90)]
+    best, spots = winners(model, texts)
+    for most in (6, 11, 30):
+        best_of, spots_of = winners(model, texts, most)
+        assert np.allclose(best, best_of, atol=1e-5)
+        assert all((a == b).all() for a, b in zip(spots, spots_of))
