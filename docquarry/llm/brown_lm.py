@@ -30,8 +30,8 @@ from docquarry.llm.token_blocks import parts_of, token_blocks
 CLASSED, HELD, HELD_BYTES = 65_536, 400_000, 64
 #: Pairs of neighbours that are put together before they are sent; bytes of text that are held as words at a time.
 PAIRS, BLOCK_BYTES = 2_000_000, 2_000_000
-#: Words whose moves are computed at a time.
-MOVED = 64
+#: Words whose moves are computed at a time; neighbours that are summed by class at a time.
+MOVED, NEIGHBOURS = 64, 500_000
 
 _WHITE = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)
 #: The token at the end of a text; no word holds it.
@@ -142,6 +142,17 @@ def _values(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(held, np.uint8)[ends[0] : ends[-1]].view(kind) if held is not None else np.zeros(0, kind)
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of at most ``most`` neighbours (``NEIGHBOURS`` without it), or one row."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.binary_length(batch.column("others")).to_numpy() // 4)
+        at, before = 0, 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, before + (most or NEIGHBOURS), "right")))
+            yield batch.slice(at, to - at)
+            at, before = to, int(ends[to - 1])
+
+
 def _class_counts(batch: pa.RecordBatch, classes: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row: its id, how often each class (side 0) follows and (side 1) stands before it, and itself."""
     others, n = _values(batch.column("others"), "<i4"), _values(batch.column("n"), "<i8")
@@ -191,7 +202,7 @@ def _matrix(rows: DataFrame, classes: np.ndarray, count: int) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((count, count))
-        for batch in batches:
+        for batch in _bounded(batches):
             ids, sums, _ = _class_counts(batch, held.value, count)
             np.add.at(total, held.value[ids], sums[:, 0])
         a, b = np.nonzero(total)
@@ -224,7 +235,7 @@ def exchange(rows: DataFrame, classed: int, classes: int, rounds: int, shares: i
 
         def move(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             current, counts, turn, parts = held.value
-            for batch in batches:
+            for batch in _bounded(batches):
                 ids, sums, own = _class_counts(batch, current, count)
                 asked = np.flatnonzero((ids < classed) & (ids % parts == turn))
                 for at in range(0, len(asked), MOVED):

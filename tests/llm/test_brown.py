@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docquarry.llm import brown_lm
@@ -116,3 +117,40 @@ def test_no_rows_and_nothing_to_learn_from(spark):
     rows = score_texts(only, fit_brown(only)).collect()
     assert rows and all(r.held_out and r.n_tokens == 3 and r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in rows)
     assert score_texts(make_docs(spark), fit_brown(make_docs(spark))).where("score >= 0 OR base_score >= 0").count() == 0
+
+
+def test_neighbours_are_summed_a_bounded_number_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    size, count = 3000, 6
+    classes = rng.integers(0, count, size)
+    lengths = np.array([0, 1, *rng.integers(0, 2 * size, 97), 2 * size])
+    others = [rng.permutation(2 * size)[:n].astype("<i4") for n in lengths]
+    n = [rng.integers(1, 9, k).astype("<i8") for k in lengths]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(100), pa.int32()), *[pa.array([x.tobytes() for x in c], pa.binary()) for c in (others, n)]], names=["id", "others", "n"])
+    monkeypatch.setattr(brown_lm, "NEIGHBOURS", 10_000)
+    parts = list(brown_lm._bounded([batch.slice(0, 60), batch.slice(60)]))
+    assert all(len(brown_lm._values(p.column("others"), "<i4")) <= 10_000 for p in parts) and len(parts) > 20
+    whole = brown_lm._class_counts(batch, classes, count)
+    for k in range(3):
+        assert (np.concatenate([brown_lm._class_counts(p, classes, count)[k] for p in parts]) == whole[k]).all()
+
+
+def test_rounds_hold_few_neighbours_at_once(spark, monkeypatch):
+    held = []
+    counts = brown_lm._class_counts
+    monkeypatch.setattr(brown_lm, "_class_counts", lambda batch, *more: (held.append(len(brown_lm._values(batch.column("others"), "<i4"))), counts(batch, *more))[1])
+    monkeypatch.setattr(brown_lm, "NEIGHBOURS", 50)
+
+    class Rows:  # one task, in this process
+        sparkSession = spark
+
+        def __init__(self, batch):
+            self.batch = batch
+
+        def mapInArrow(self, f, schema):
+            found = pa.Table.from_batches(list(f(iter([self.batch])))).to_pylist()
+            return spark.createDataFrame(found, schema)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int32()), *[pa.array([np.arange(30, dtype=k).tobytes()] * 40, pa.binary()) for k in ("<i4", "<i8")]], names=["id", "others", "n"])
+    brown_lm._matrix(Rows(batch), np.zeros(42, np.int32), 4)
+    assert sum(held) == 40 * 30 and max(held) <= 50
