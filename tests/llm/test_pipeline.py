@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -68,3 +69,19 @@ def test_registered():
     assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == [] and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert [f for _, f in corpus_pipeline.STAGES] == [stages.drop_toxic, stages.drop_repeated_lines, stages.keep_one_of_similar, stages.drop_contaminated, stages.pack]
+
+
+def test_toxic_texts_go_by_what_all_labelled_rows_say(spark, tmp_path):
+    """Words of toxic texts that a sample of 3000 labelled rows would not hold."""
+    rng = random.Random(9)
+    n = 9000
+    docs = spark.createDataFrame([(i, words(rng, 6, 50), "en") for i in range(n)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+    known = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    first = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(1500) for y in (0, 1)]
+    sampled = {r.doc_id for some in first for r in some.collect()}
+    vile = [i for i in range(n) if i % 2 and i not in sampled]
+    marked = docs.withColumn("text", F.when((F.col("doc_id") % 2 == 1) & ~F.col("doc_id").isin(list(sampled)), F.concat("text", F.lit(" VILE!! VILE!!"))).otherwise(F.col("text"))).localCheckpoint()
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in stages.drop_toxic(spark, marked, str(tmp_path)).select("doc_id").collect()}
+    assert not kept & set(vile) and len(kept) > 4000
