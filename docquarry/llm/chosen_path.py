@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.components import connected_components
 from docquarry.llm.rolling import RangeHash, mix, runs_of
-from docquarry.llm.shared import join_hot, staged, text_of
+from docquarry.llm.shared import join_hot, staged, staged_alone, text_of, unstaged
 from docquarry.llm.shingles import WORDS, clean_text
 
 COORDS = 128
@@ -338,12 +338,18 @@ def similar_classes(docs: DataFrame, num: int = 4, den: int = 5, miss: float = 1
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean_text(text_of()).alias("clean"))
     with_digest = clean.select("doc_id", "clean", F.md5("clean").alias("digest"))
     sketched = staged(with_digest.mapInPandas(sketch, "doc_id long, digest string, size int, sig binary, paths array<long>"), "sketched")
-    members = sketched.select("doc_id", "digest")
-    copies = sketched.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    members = staged(sketched.select("doc_id", "digest"), "members")
+    copies = members.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
     distinct = sketched.where("size > 0").dropDuplicates(["digest"]).select("digest", "size", "sig", "paths", F.monotonically_increasing_id().alias("node"))
     sketches = staged(distinct, "sketches")
-    groups = connected_components(candidate_links(sketches))
-    named = staged(groups.select("node", F.col("root").alias("grp")).join(sketches.select("node", "digest", "size"), "node").join(copies, "digest"), "groups")
+    unstaged(sketched)  # the largest table: what is left to do reads the distinct ones
+
+    def grouped() -> DataFrame:
+        groups = connected_components(candidate_links(sketches))
+        return groups.select("node", F.col("root").alias("grp")).join(sketches.select("node", "digest", "size"), "node").join(copies, "digest")
+
+    named = staged_alone(grouped, "groups")
+    unstaged(sketches)
     # the texts of candidate groups only; equal ones count once
     wanted = named.select("digest")
     if wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
@@ -351,11 +357,16 @@ def similar_classes(docs: DataFrame, num: int = 4, den: int = 5, miss: float = 1
     # copies of a text are put together before the shuffle
     once = with_digest.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("clean").alias("clean"))
     texts = once.join(named, "digest").select("node", "grp", "clean", "copies", "size")
-    checked = staged(verify(texts, num, den), "verified")
-    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = connected_components(block_ties(checked))
-    least = classes.join(named.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("class_id"))
-    by_digest = named.select("node", "digest").join(links, "node").join(classes, "node", "left").join(least, "root", "left").select("digest", "links", "class_id", F.col("root").isNotNull().alias("tied"))
+
+    def by_text() -> DataFrame:
+        checked = staged(verify(texts, num, den), "verified")
+        links = checked.groupBy("node").agg(F.sum("links").alias("links"))
+        classes = connected_components(block_ties(checked))
+        least = classes.join(named.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("class_id"))
+        return named.select("node", "digest").join(links, "node").join(classes, "node", "left").join(least, "root", "left").select("digest", "links", "class_id", F.col("root").isNotNull().alias("tied"))
+
+    by_digest = staged_alone(by_text, "classes")
+    unstaged(named)
     facts = copies.join(by_digest, "digest", "left").select("digest", F.struct("copies", "first", "links", "class_id", "tied").alias("fact"))
     joined = join_hot(members, facts, ["digest"], F.col("fact.copies") > HOT_COPIES, HOT_KEYS).select("doc_id", "digest", "fact.*")
     return joined.select("doc_id", F.when(F.coalesce(F.col("tied"), F.lit(False)), F.col("class_id")).otherwise(F.col("first")).alias("class_id"), (F.coalesce(F.col("links"), F.lit(0)) + F.col("copies") - 1).alias("n_links"), "digest")

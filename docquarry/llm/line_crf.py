@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.labelled import dealt, labelled_rows, one_round, shard_count
-from docquarry.llm.shared import held_out, staged, text_of
+from docquarry.llm.shared import held_out, staged, text_of, unstaged
 
 #: Classes of bytes whose share of a line is a feature.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", ".", ",;:", "!?", "|", "#$%&*@^~=+<>/\\_{}[]", "\"'()-", "\t\r\x00")
@@ -246,7 +246,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> L
     """Trains on all labelled rows, never held-out ones; with labels of one class the model says its rate, without labels a half."""
     rows = staged(labelled_rows(docs, labels, label).drop("lang"), "labelled")
     counts = {int(r["y"]): int(r["n"]) for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    return train_crf(rows, counts)
+    model = train_crf(rows, counts)
+    unstaged(rows)
+    return model
 
 
 def score_quality(docs: DataFrame, model: LineCrf) -> DataFrame:

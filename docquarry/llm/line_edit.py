@@ -23,7 +23,7 @@ from docquarry.llm.chosen_path import contracted, whole_runs
 from docquarry.llm.components import connected_components
 from docquarry.llm.edit_distance import within
 from docquarry.llm.rolling import RangeHash, mix, runs_of
-from docquarry.llm.shared import broadcast_if_small, join_hot, staged, text_of
+from docquarry.llm.shared import broadcast_if_small, join_hot, staged, staged_alone, text_of
 from docquarry.llm.shingles import WORDS
 
 #: Rows of one key that are paired in one task; larger keys are cut into blocks, paired block by block.
@@ -300,27 +300,31 @@ def dedup_lines(docs: DataFrame, tau: int = 2, min_bytes: int = 20, alike: float
     Lines under ``min_bytes`` bytes and empty lines stay. A null text is an empty one, with one line. Rows
     equal in id and text are treated alike. Exact repeats are told by 96 bits of two hashes. An empty table gives no rows.
     """
-    lines = staged(line_table(docs, min_bytes), "lines")
-    similar = staged(similar_lines(docs, tau, min_bytes), "line-classes")
-    held = lines.where("lid IS NOT NULL")
-    named = held.join(broadcast_if_small(similar.select("lid", "root", "links"), BROADCAST_ROWS), "lid", "left").withColumns({"cls": F.coalesce("root", "lid"), "tag": F.when(F.col("root").isNull(), F.col("tag")).otherwise(0)})
-    many = named.groupBy("cls", "tag").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "line_no", "bytes")).alias("first")).where("n > 1")
-    facts = many.select("cls", "tag", F.struct("n", "first").alias("fact"))
-    marked = join_hot(named, facts, ["cls", "tag"], F.col("fact.n") > HOT_LINES, HOT_KEYS).withColumn("first", F.col("fact.first"))
-    in_text = staged(marked.groupBy("doc_id", "thash", "cls", "tag").agg(F.min("line_no").alias("line_no"), F.max("links").alias("links"), F.collect_set("line_no").alias("all"), F.first("first").alias("first"), F.sum("size").alias("size"), F.first("bytes").alias("bytes")), "lines-in-texts")
-    shared = in_text.where("thash <> first.thash").groupBy("doc_id", "thash", F.col("first.thash").alias("other")).agg(F.sum("size").alias("shared"), F.greatest(F.max("bytes"), F.max("first.bytes")).alias("larger"))
-    pairs = staged(shared.where(F.col("shared") >= F.lit(LINE_SHARE) * F.col("larger")).select("thash", "other").distinct(), "text-pairs")
-    copied = staged(copied_texts(docs, pairs, alike), "copied-texts").withColumn("copied", F.lit(True))
-    in_text = in_text.withColumn("other", F.col("first.thash")).join(broadcast_if_small(copied, BROADCAST_ROWS), ["thash", "other"], "left")
-    elsewhere = F.coalesce(F.col("thash") != F.col("other"), F.lit(False)) & F.col("copied").isNull()
-    # sets of line numbers within one text: bounded by the text
-    decided = in_text.select("doc_id", "thash", F.size("all").alias("k"), F.col("first").isNotNull().alias("repeated"), (F.coalesce("links", F.lit(0)) > 0).alias("similar"), F.when(elsewhere, F.col("all")).otherwise(F.array_remove("all", F.col("line_no"))).alias("gone"))
-    per_text = decided.groupBy("doc_id", "thash").agg(
-        F.sum(F.when(F.col("repeated"), F.col("k")).otherwise(0)).alias("n_repeated"),
-        F.sum(F.when(F.col("similar"), F.col("k")).otherwise(0)).alias("n_similar"),
-        F.flatten(F.collect_list(F.when(F.size("gone") > 0, F.col("gone")))).alias("gone"),
-    ).where("n_repeated > 0 OR n_similar > 0")
-    found = staged(per_text.select(F.col("doc_id").alias("_id"), F.col("thash").alias("_thash"), F.col("n_repeated").alias("_rep"), F.col("n_similar").alias("_sim"), F.col("gone").alias("_gone")), "line-decisions")
+
+    def decisions() -> DataFrame:
+        lines = staged(line_table(docs, min_bytes), "lines")
+        similar = staged(similar_lines(docs, tau, min_bytes), "line-classes")
+        held = lines.where("lid IS NOT NULL")
+        named = held.join(broadcast_if_small(similar.select("lid", "root", "links"), BROADCAST_ROWS), "lid", "left").withColumns({"cls": F.coalesce("root", "lid"), "tag": F.when(F.col("root").isNull(), F.col("tag")).otherwise(0)})
+        many = named.groupBy("cls", "tag").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "line_no", "bytes")).alias("first")).where("n > 1")
+        facts = many.select("cls", "tag", F.struct("n", "first").alias("fact"))
+        marked = join_hot(named, facts, ["cls", "tag"], F.col("fact.n") > HOT_LINES, HOT_KEYS).withColumn("first", F.col("fact.first"))
+        in_text = staged(marked.groupBy("doc_id", "thash", "cls", "tag").agg(F.min("line_no").alias("line_no"), F.max("links").alias("links"), F.collect_set("line_no").alias("all"), F.first("first").alias("first"), F.sum("size").alias("size"), F.first("bytes").alias("bytes")), "lines-in-texts")
+        shared = in_text.where("thash <> first.thash").groupBy("doc_id", "thash", F.col("first.thash").alias("other")).agg(F.sum("size").alias("shared"), F.greatest(F.max("bytes"), F.max("first.bytes")).alias("larger"))
+        pairs = staged(shared.where(F.col("shared") >= F.lit(LINE_SHARE) * F.col("larger")).select("thash", "other").distinct(), "text-pairs")
+        copied = staged(copied_texts(docs, pairs, alike), "copied-texts").withColumn("copied", F.lit(True))
+        in_text = in_text.withColumn("other", F.col("first.thash")).join(broadcast_if_small(copied, BROADCAST_ROWS), ["thash", "other"], "left")
+        elsewhere = F.coalesce(F.col("thash") != F.col("other"), F.lit(False)) & F.col("copied").isNull()
+        # sets of line numbers within one text: bounded by the text
+        decided = in_text.select("doc_id", "thash", F.size("all").alias("k"), F.col("first").isNotNull().alias("repeated"), (F.coalesce("links", F.lit(0)) > 0).alias("similar"), F.when(elsewhere, F.col("all")).otherwise(F.array_remove("all", F.col("line_no"))).alias("gone"))
+        per_text = decided.groupBy("doc_id", "thash").agg(
+            F.sum(F.when(F.col("repeated"), F.col("k")).otherwise(0)).alias("n_repeated"),
+            F.sum(F.when(F.col("similar"), F.col("k")).otherwise(0)).alias("n_similar"),
+            F.flatten(F.collect_list(F.when(F.size("gone") > 0, F.col("gone")))).alias("gone"),
+        ).where("n_repeated > 0 OR n_similar > 0")
+        return per_text.select(F.col("doc_id").alias("_id"), F.col("thash").alias("_thash"), F.col("n_repeated").alias("_rep"), F.col("n_similar").alias("_sim"), F.col("gone").alias("_gone"))
+
+    found = staged_alone(decisions, "line-decisions")
     held_rows = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_gone")), F.lit(0)).alias("numbers")).first()
     if max(held_rows["rows"], held_rows["numbers"]) <= BROADCAST_ROWS:
         found = F.broadcast(found)

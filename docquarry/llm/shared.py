@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,15 +57,24 @@ def _sweep() -> None:
 
 def staged_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``make`` gives, staged; all tables that were staged on the way are removed."""
-    before = len(_staged)
+    before = set(_staged)
     out = staged(make(), name)
-    inner = _staged[before:-1]
-    del _staged[before:-1]
-    for spark, path in inner:
-        _remove(spark, path)
+    _forget(path for kept, path in _staged if (kept, path) not in before and path != out.staged_at)
     return out
 
 
+def unstaged(*tables: DataFrame) -> None:
+    """Removes tables that ``staged`` gave and that nothing reads any more."""
+    _forget(t.staged_at for t in tables)
+
+
+def _forget(paths: Iterable[str]) -> None:
+    gone = set(paths)
+    for spark, path in [x for x in _staged if x[1] in gone]:
+        _remove(spark, path)
+    _staged[:] = [x for x in _staged if x[1] not in gone]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -77,7 +86,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def text_of(column: str = "text") -> Column:

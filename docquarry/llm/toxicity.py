@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.labelled import dealt, labelled_rows, one_round, shard_count
-from docquarry.llm.shared import held_out, staged, text_of
+from docquarry.llm.shared import held_out, staged, text_of, unstaged
 from docquarry.llm.token_ids import free_encoders
 
 WIDTHS = (1, 2, 3)
@@ -361,7 +361,7 @@ def _texts_with(rows: DataFrame, buckets: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["at", "n"])
 
     out = np.zeros(buckets + 1, np.int64)
-    for r in rows.select("words").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in rows.select("words").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most buckets + 1 rows
         out[r["at"]] = r["n"]
     return out
 
@@ -451,6 +451,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", epoch
     counts = {int(r["y"]): int(r["n"]) for r in rows.where("NOT aside").groupBy("y").agg(F.count("*").alias("n")).collect()}
     model = _trained(rows.where("NOT aside").select("doc_id", "y", "words"), counts, BUCKETS, epochs, batch, rate)
     model.thresholds = calibrate(model, rows.where("aside"))
+    unstaged(rows)
     return model
 
 

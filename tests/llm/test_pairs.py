@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm import bucket_refine, chosen_path, line_edit
+from docquarry.llm import bucket_refine, chosen_path, components, line_edit
 from docquarry.llm.components import connected_components
 from docquarry.llm.decontaminate import contained_items
 from docquarry.llm.edit_distance import within
+from docquarry.llm.shared import staged
 from tests.llm.helpers import empty_docs, make_docs, words
 
 
@@ -96,6 +97,16 @@ def test_components(spark):
     assert got == {x: root[x] for a, b in links for x in (a, b) if a != b}
 
 
+def test_nodes_tied_to_one_root_take_no_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "staged", lambda df, name: rounds.append(name) or staged(df, name))
+    for links, most in (([(5, 1), (6, 1), (1, 7), (9, 8), (9, 9)], 1), ([], 1), ([(2, 1), (3, 2)], 3)):
+        got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+        root = roots(10, links)
+        assert got == {x: root[x] for a, b in links for x in (a, b) if a != b} and len(rounds) <= most
+        rounds.clear()
+
+
 def test_containment(spark):
     rng = random.Random(8)
     items = [(k, words(rng, rng.randrange(5, 60))) for k in range(12)] + [(50, "too short"), (51, None), (52, ""), (3, words(rng, 20))]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from docquarry.llm import stages
+from docquarry.llm import shared, stages
 from docquarry.llm.shared import join_hot, staged
 from tests.llm.helpers import make_docs, words
 
@@ -64,6 +64,17 @@ def test_hot_keys_join_like_others(spark):
         assert Counter((r.a, r.b, r.x, None if r.fact is None else r.fact.n) for r in got.collect()) == want
 
 
+def test_stages_leave_only_the_tables_that_their_result_reads(spark, tmp_path):
+    folder = tables(spark, tmp_path)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = set(shared._staged)
+        out = stage(spark, docs, folder)
+        left = {path.rsplit("/", 1)[1].split("-", 2)[2] for _, path in set(shared._staged) - before}
+        read = {f.rsplit("/", 2)[1].split("-", 2)[2] for f in out.inputFiles() if "docquarry-" in f.rsplit("/", 2)[1]}
+        assert left == read and out.count() > 0, name
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == [] and "pipeline" in names
