@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.frequent import most_frequent
-from docquarry.llm.shared import narrow, staged
+from docquarry.llm.shared import arrow_batches, narrow, staged, unstaged
 from docquarry.llm.token_blocks import parts_of, token_blocks
 
 #: Words that move between classes; words whose counts workers hold, and the bytes that such a word may have.
@@ -32,6 +32,8 @@ CLASSED, HELD, HELD_BYTES = 65_536, 400_000, 64
 PAIRS, BLOCK_BYTES = 2_000_000, 2_000_000
 #: Words whose moves are computed at a time; neighbours that are summed by class at a time.
 MOVED, NEIGHBOURS = 64, 500_000
+#: Texts, or words with their neighbours, that are sent to Python at a time; counted pairs that it sends back at a time.
+ROWS, SENT = 250, 100_000
 
 _WHITE = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)
 #: The token at the end of a text; no word holds it.
@@ -97,9 +99,10 @@ def neighbour_rows(texts: DataFrame, words: object, key: str, classed: int) -> D
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _places_of(key, words.value)
 
-        def send(parts: list[np.ndarray]) -> pa.RecordBatch:
+        def send(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             code, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+            for at in range(0, len(code), SENT):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + SENT].astype(np.int64)) for x in (code, n)], names=["code", "n"])
 
         waiting, held = [], 0
         for _, tokens, begin, end in _blocks(batches):
@@ -109,10 +112,10 @@ def neighbour_rows(texts: DataFrame, words: object, key: str, classed: int) -> D
             waiting.append(before[begin:end] * size + ids[begin:end])
             held += end - begin
             if held >= PAIRS:
-                yield send(waiting)
+                yield from send(waiting)
                 waiting, held = [], 0
         if waiting:
-            yield send(waiting)
+            yield from send(waiting)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,14 +306,17 @@ def fit_brown(docs: DataFrame, classes: int = 64, rounds: int = 8, classed: int
     """
     spark = docs.sparkSession
     texts = narrow(docs).where(trains()).select("text")
-    known = staged(training_words(texts), "model-words")
+    with arrow_batches(spark, ROWS):
+        known = staged(training_words(texts), "model-words")
     end = F.col("word") == END.decode()
     total = known.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct"), F.sum(F.when(end, F.col("n"))).alias("ends")).first()
     top, _ = most_frequent(known.where(~end), HELD, HELD_BYTES)
     words, counts = "\n".join(top.column("word").to_pylist()).encode(), top.column("n").to_numpy()
     classed = min(len(counts), CLASSED if classed is None else classed)
-    rows = staged(neighbour_rows(texts, spark.sparkContext.broadcast(words), uuid.uuid4().hex, classed), "neighbours")
-    found, matrix, reached = exchange(rows, classed, classes, rounds)
+    with arrow_batches(spark, ROWS):
+        rows = staged(neighbour_rows(texts, spark.sparkContext.broadcast(words), uuid.uuid4().hex, classed), "neighbours")
+        found, matrix, reached = exchange(rows, classed, classes, rounds)
+    unstaged(rows)
     every = np.full(len(counts) + 2, classes, np.int32)
     every[:classed], every[-1] = found[:classed], classes + 1
     return BrownModel(words, counts, every, matrix, known, int(total["tokens"] or 0), int(total["distinct"]), int(total["ends"] or 0), reached)
@@ -385,7 +391,8 @@ def score_texts(docs: DataFrame, model: BrownModel, mix: float = 0.95) -> DataFr
             yield pa.RecordBatch.from_arrays([*whole, pa.nulls(len(batch), pa.string()), pa.nulls(len(batch), pa.float64()), pa.nulls(len(batch), pa.int64())], schema=_SCANNED)
 
     rows = narrow(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", (~trains()).alias("held_out"), "text")
-    scanned = staged(rows.mapInArrow(scan, SCANNED), "scored")
+    with arrow_batches(spark, ROWS):
+        scanned = staged(rows.mapInArrow(scan, SCANNED), "scored")
     c = F.coalesce(F.col("n"), F.lit(0))
     share = (c + 0.5) / F.lit(model.tokens + 0.5 * (model.distinct + 1))
     mixed = F.lit(mix) * F.col("before") * (c + 0.5) / F.lit(float(other + other_kinds)) + F.lit(1 - mix) * share

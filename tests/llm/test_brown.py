@@ -9,6 +9,7 @@ import pytest
 
 from docquarry.llm import brown_lm
 from docquarry.llm.brown_lm import best_moves, fit_brown, likelihood, score_texts
+from docquarry.llm.shared import arrow_batches
 from tests.llm.helpers import empty_docs, make_docs
 
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -154,3 +155,34 @@ def test_rounds_hold_few_neighbours_at_once(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int32()), *[pa.array([np.arange(30, dtype=k).tobytes()] * 40, pa.binary()) for k in ("<i4", "<i8")]], names=["id", "others", "n"])
     brown_lm._matrix(Rows(batch), np.zeros(42, np.int32), 4)
     assert sum(held) == 40 * 30 and max(held) <= 50
+
+
+def test_few_rows_reach_python_at_a_time(spark, monkeypatch):
+    """Texts and words with their neighbours: 10,000 at a time by Spark's default, however large."""
+    kind = type(spark.range(0))
+    plain = kind.mapInArrow
+
+    def few(self, f, schema, *more):
+        def held(batches):
+            def checked():
+                for batch in batches:
+                    assert batch.num_rows <= 20
+                    yield batch
+
+            for out in f(checked()):
+                assert out.num_rows <= 100
+                yield out
+
+        return plain(self, held, schema, *more)
+
+    docs = grammar_docs(spark)
+    want = sorted(score_texts(docs, fit_brown(docs, classes=4, rounds=3)).drop("base_score", "score").collect(), key=str)
+    monkeypatch.setattr(kind, "mapInArrow", few)
+    monkeypatch.setattr(brown_lm, "ROWS", 20)
+    monkeypatch.setattr(brown_lm, "SENT", 30)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    got = sorted(score_texts(docs, fit_brown(docs, classes=4, rounds=3)).drop("base_score", "score").collect(), key=str)
+    assert got == want and spark.conf.get(key) == before
+    with arrow_batches(spark, 10**9):
+        assert spark.conf.get(key) == before
